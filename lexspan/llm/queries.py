@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.llm.license import scan_sql
+from lexspan.llm.mixing import MIX_SQL
 from lexspan.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +33,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("feature", F.concat_ws(",", F.transform("peaks", lambda x: F.lower(F.hex(x))))).drop("peaks")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.license import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.tokfst import count_tokens
 
@@ -43,11 +51,26 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), ids=False)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_media": op2_media,
+    "op3_licenses": op3_licenses,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
+    "op9_mixing": op9_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_licenses": scan_sql(), "op9_mixing": MIX_SQL}
