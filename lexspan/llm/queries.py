@@ -63,6 +63,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.langid import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_media": op2_media,
@@ -71,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {"op3_licenses": scan_sql(), "op9_mixing": MIX_SQL}
