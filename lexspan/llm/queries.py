@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.license import scan_sql
+from lexspan.llm.linededup import DEDUP_SQL
 from lexspan.llm.mixing import MIX_SQL
 from lexspan.plans.runtime import table
 
@@ -39,6 +40,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.linededup import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.tokfst import count_tokens
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_media": op2_media,
     "op3_licenses": op3_licenses,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
@@ -81,4 +89,4 @@ QUERIES: dict[str, Query] = {
     "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {"op3_licenses": scan_sql(), "op9_mixing": MIX_SQL}
+SQL: dict[str, str] = {"op5_line_dedup": DEDUP_SQL, "op3_licenses": scan_sql(), "op9_mixing": MIX_SQL}
