@@ -40,6 +40,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspan.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspan.llm.linededup import dedup_report
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_media": op2_media,
     "op3_licenses": op3_licenses,
+    "op4_jaccard": op4_jaccard,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
