@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåç
 FOLD_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyoa "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: expressions that use a part often stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -22,14 +29,13 @@ def finditer(text: Column, pattern: str) -> Column:
     The pieces between matches and the matches themselves alternate, so that summed lengths give positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
     zero = F.struct(F.lit(0).alias("at"), empty_spans().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"))
+        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     every = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step, lambda a: a["out"])
     return F.when(F.rlike(text, F.lit(pattern)), every).otherwise(empty_spans())

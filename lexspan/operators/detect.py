@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions import patterns as P
-from lexspan.functions.text import before, cut, digits, ends_with_break, finditer, first, has, iou
+from lexspan.functions.text import after, before, cut, digits, ends_with_break, finditer, first, has, iou, let
 
 CANDIDATES = "array<struct<start:int,end:int,rule:string,family:string,text:string>>"
 NUMBERED, CONTEXTUAL = "processo_ou_recurso_numerado", "jurisprudencia_tribunal_contextual"
@@ -82,17 +82,18 @@ def decisions(text: Column) -> Column:
     def crosses(part: Column) -> Column:
         return F.contains(part, F.lit("\n\n")) | has(part, P.SENTENCE_BREAK)
 
+    def split(part: Column, pattern: str) -> Column:
+        return F.struct(before(part, pattern).alias("gap"), F.length(first(part, pattern)).alias("n"), after(part, pattern).alias("rest"))
+
+    def ended(d: Column, at: Column, year: Column, mark: Column) -> Column:
+        name = F.length(first(mark["rest"], P.RELATOR_NAME))
+        fine = (at > d["end"]) & (year["n"] > 0) & ~crosses(year["gap"]) & (mark["n"] > 0) & ~crosses(mark["gap"]) & (name > 0)
+        end = F.when(fine, at + F.length(year["gap"]) + year["n"] + F.length(mark["gap"]) + mark["n"] + name).otherwise(-1)
+        return let(end, lambda e: _candidate(d["start"], e, "decision_tribunal_relator_year", CONTEXTUAL, cut(text, d["start"], e)))
+
     def chain(d: Column) -> Column:
-        court = F.length(first(cut(text, d["end"], d["end"] + 45), P.DECISION_COURT))
-        at = d["end"] + court
-        window = cut(text, at, at + 72)
-        to_year, year = before(window, P.DECISION_YEAR), F.length(first(window, P.DECISION_YEAR))
-        rest = F.substr(window, F.length(to_year) + year + 1)
-        to_mark, mark = before(rest, P.RELATOR_MARK), F.length(first(rest, P.RELATOR_MARK))
-        name = F.length(first(F.substr(rest, F.length(to_mark) + mark + 1), P.RELATOR_NAME))
-        fine = (court > 0) & (year > 0) & ~crosses(to_year) & (mark > 0) & ~crosses(to_mark) & (name > 0)
-        end = F.when(fine, at + F.length(to_year) + year + F.length(to_mark) + mark + name).otherwise(-1)
-        return _candidate(d["start"], end, "decision_tribunal_relator_year", CONTEXTUAL, cut(text, d["start"], end))
+        court = d["end"] + F.length(first(cut(text, d["end"], d["end"] + 45), P.DECISION_COURT))
+        return let(court, lambda at: let(split(cut(text, at, at + 72), P.DECISION_YEAR), lambda year: let(split(year["rest"], P.RELATOR_MARK), lambda mark: ended(d, at, year, mark))))
 
     return F.array_distinct(F.filter(F.transform(finditer(text, P.DECISION), chain), lambda c: c["end"] >= 0))
 
@@ -101,15 +102,16 @@ def degraded(text: Column) -> Column:
     """20 digits in a damaged layout with a class marker directly before them."""
     bodies = F.filter(finditer(text, P.DEGRADED_BODY), lambda m: (F.length(digits(m["text"])) == 20) & ~has(F.regexp_replace(m["text"], r"(?U)\s+", ""), P.CANONICAL_CNJ))
 
-    def marked(m: Column) -> Column:
-        window = cut(text, m["start"] - 96, m["start"])
-        marker = F.length(first(window, P.DEGRADED_MARKER))
-        start = m["start"] - marker - ends_with_break(window)
-        local = cut(text, start, m["end"])
+    def ended(m: Column, start: Column, local: Column) -> Column:
         breaks = F.length(local) - F.length(F.replace(local, F.lit("\n"), F.lit("")))
-        fine = (marker > 0) & (breaks <= 1) & ~F.contains(local, F.lit("\n\n")) & ~has(local, "[!?;]")
+        fine = (start < m["start"]) & (breaks <= 1) & ~F.contains(local, F.lit("\n\n")) & ~has(local, "[!?;]")
         end = F.when(fine, m["end"] + F.length(first(F.substr(text, m["end"] + 1), P.DEGRADED_UF))).otherwise(-1)
-        return _candidate(start, end, "degraded_compact_cnj", NUMBERED, cut(text, start, end))
+        return let(end, lambda e: _candidate(start, e, "degraded_compact_cnj", NUMBERED, cut(text, start, e)))
+
+    def marked(m: Column) -> Column:
+        window = cut(text, m["start"] - 96, m["start"])
+        begin = let(window, lambda w: m["start"] - let(F.length(first(w, P.DEGRADED_MARKER)), lambda n: F.when(n > 0, n + ends_with_break(w)).otherwise(0)))
+        return let(begin, lambda start: let(cut(text, start, m["end"]), lambda local: ended(m, start, local)))
 
     return F.filter(F.transform(bodies, marked), lambda c: c["end"] >= 0)
 
@@ -128,14 +130,15 @@ def chain_is_short(text: Column) -> Column:
 def uf_expanded(text: Column, c: Column) -> Column:
     tail = F.length(first(F.substr(text, c["end"] + 1), P.PROCESS_UF_TAIL))
     fits = (c["rule"] == "processo_ou_recurso") & (c["family"] == NUMBERED)
-    return F.when(fits, _moved(c, text, c["start"], c["end"] + tail)).otherwise(c)
+    return F.when(fits, let(c["end"] + tail, lambda end: _moved(c, text, c["start"], end))).otherwise(c)
 
 
 def _prefixed(text: Column, c: Column, fits: Column, pattern: str, width: int) -> Column:
-    window = cut(text, c["start"] - width, c["start"])
-    prefix = F.length(first(window, pattern))
-    start = F.when(prefix > 0, c["start"] - prefix - ends_with_break(window)).otherwise(c["start"])
-    return F.when(fits, _moved(c, text, start, c["end"])).otherwise(c)
+    def begin(window: Column) -> Column:
+        return let(F.length(first(window, pattern)), lambda n: F.when(n > 0, c["start"] - n - ends_with_break(window)).otherwise(c["start"]))
+
+    start = let(cut(text, c["start"] - width, c["start"]), begin)
+    return F.when(fits, let(start, lambda s: _moved(c, text, s, c["end"]))).otherwise(c)
 
 
 def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
@@ -162,7 +165,7 @@ def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates")
 
     def ocr(x: Column) -> Column:
         tail = F.length(first(F.substr(t, x["end"] + 1), P.OCR_TAIL, 1))
-        return F.when(x["family"] == NUMBERED, _moved(x, t, x["start"], x["end"] + tail)).otherwise(x)
+        return F.when(x["family"] == NUMBERED, let(x["end"] + tail, lambda end: _moved(x, t, x["start"], end))).otherwise(x)
 
     df = df.withColumn("__c", F.transform(c, ocr)).withColumn("__d", degraded(t)).withColumn("__h", scan(t, "compound_procedural_chain", P.COMPOUND_CHAIN, NUMBERED, keep=lambda m: chain_is_short(m["text"])))
     df = df.withColumn("__c", F.concat(c, F.filter("__d", lambda d: ~F.exists(c, lambda x: iou(d, x) >= 0.5))))
