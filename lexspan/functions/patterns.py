@@ -140,6 +140,7 @@ MARKER_BROKEN = rf"\A[.\-]*{HS}*\n"
 UF_TAIL = rf"(?U)\A\s*((?:[-/]\s*|\(\s*|{HS}+)({UF})(?:\s*\))?)\b"
 OCR_TOKEN = r"(?iU)\d(?:[\d.\-/\s]*[OIlS])(?:[\d.\-/\sOIlS]*\d)"
 SUMULA_NUMBER = r"(?iU)\bS[ÚU]MULA(?:\s+VINCULANTE)?\s*(?:N[ºO.]?\s*)?(\d+)"
+SUMULA_CORPUS = r"(?iU)S[ÚU]MULA(?:\s+VINCULANTE)?\s+(\d+)"
 PARSE_ARTICLE = r"(?iU)\b(?:art(?:igo)?s?[.]?\s*)(\d+(?:[.]\d+)*(?:[ºo])?(?:-[A-Za-z])?)"
 PARSE_PARAGRAPH = (
     r"(?iU)(§{1,2}\s*(\d+(?:[ºo])?(?:-[A-Za-z])?|único)|parágrafo\s+(\d+(?:[ºo])?(?:-[A-Za-z])?|único))"
