@@ -49,7 +49,7 @@ def detect_on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "parse_fields",
     f"""WITH {S.SPANS_SQL} SELECT documento_id, kind, CASE kind WHEN 'processo' THEN 'REsp' END AS classe_raw,
-    CASE kind WHEN 'processo' THEN regexp_replace(regexp_extract(text, '[0-9.]+ '), '[^0-9]', '', 'g') END AS numero_normalizado, CASE kind WHEN 'processo' THEN 'SP' END AS uf,
+    CASE kind WHEN 'processo' THEN regexp_replace(regexp_extract(text, '[0-9][0-9.]+'), '[^0-9]', '', 'g') END AS numero_normalizado, CASE kind WHEN 'processo' THEN 'SP' END AS uf,
     CASE kind WHEN 'sumula' THEN regexp_extract(text, '[0-9]+') END AS sumula_numero, CASE WHEN kind IN ('lei', 'artigo') THEN regexp_extract(text, '[0-9]+') END AS artigo,
     CASE kind WHEN 'lei' THEN 'CDC' END AS diploma_normalizado, CASE kind WHEN 'lei' THEN '1990' END AS law_year FROM spans""",
 )
@@ -122,10 +122,10 @@ def sumula_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).sumulas.select("number", F.explode("records").alias("r")).select("number", "r.id", "r.tribunal")
 
 
-@query("ocr_repair", "SELECT o_orderkey, translate('21' || CAST(o_orderkey AS VARCHAR) || 'lO', 'OoIilSs', '0011155') AS numero FROM orders")
+@query("ocr_repair", "SELECT o_orderkey, translate('2100' || CAST(o_orderkey AS VARCHAR) || 'lO', 'OoIilSs', '0011155') AS numero FROM orders")
 def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    rows = o.select("o_orderkey", F.lit(0).alias("start"), F.lit(0).alias("end"), F.concat(F.lit("REsp 21"), F.col("o_orderkey").cast("string"), F.lit("lO")).alias("text"), F.lit("x").alias("rule"), F.lit("processo_ou_recurso_numerado").alias("family"))
+    rows = o.select("o_orderkey", F.lit(0).alias("start"), F.lit(0).alias("end"), F.concat(F.lit("REsp 2100"), F.col("o_orderkey").cast("string"), F.lit("lO")).alias("text"), F.lit("x").alias("rule"), F.lit("processo_ou_recurso_numerado").alias("family"))
     # the damaged tail only counts when a digit ends it
     fixed = rows.withColumn("text", F.concat("text", F.lit("0")))
     number = parse(fixed).select("o_orderkey", F.col("numero_normalizado").alias("n"))
