@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(documento_id, text) of every *.txt directly in a folder: UTF-8, the name without its end as the id.
 
-    The binary source keeps empty files, and names that begin with a dot or underscore come from a listing of their
-    own (Spark hides them). Line ends become \\n, so that positions count one sign per line end. Any path Spark reads.
+    Spark's binary source skips empty files and names that begin with a dot or underscore; those few come from a
+    listing of the folder. Line ends become \\n, so that positions count one sign per line end. Any path Spark reads.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise ValueError(f"not a folder: {folder}")
-    named = [s.getPath() for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().endswith(".txt")]
-    hidden = [p.getName() for p in named if p.getName()[:1] in "._"]
+    named = [s for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().endswith(".txt")]
+    hidden = [s.getPath().getName() for s in named if s.getPath().getName()[:1] in "._" or s.getLen() == 0]
     frame = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
     for name in hidden:  # rare: each is opened by its full path
         stream = fs.open(jvm.org.apache.hadoop.fs.Path(path, name))
