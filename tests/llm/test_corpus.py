@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexspan.llm import langid, mixing, pii
 
@@ -81,7 +82,7 @@ def test_languages_held_out(docs):
     rows = [(i, speech(lang, i), lang, "s") for i, lang in enumerate(list(WORDS) * 40)] + [(500 + i, t) for i, t in enumerate(["", None, "123 !!", "ß"])]
     frame = docs(rows)
     model = langid.learn(frame)
-    got = {r.doc_id: r for r in langid.identify(frame, model).withColumn("h", langid.held_out(frame["doc_id"])).collect()}
+    got = {r.doc_id: r for r in langid.identify(frame, model).withColumn("h", langid.held_out(F.col("doc_id"))).collect()}
     assert all(got[i].h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
     assert all(got[i].lang_pred == lang for i, _, lang, _ in rows[:120]) and all(0 <= r.score <= 1 for r in got.values())
     assert [got[500 + i].lang_pred for i in range(3)] == ["und"] * 3 and got[503].lang_pred in WORDS
@@ -122,7 +123,7 @@ def test_code_length_by_brute_force(docs):
 def test_pipeline_stages(docs, spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, speech(lang, i) + f"\nline number {i} of this", lang, f"s{i % 2}") for i, lang in enumerate(list(WORDS) * 12)]
-    rows += [(300, rows[0][1] + " extra", "en", "s0"), (301, "123 456", None, "s0")]
+    rows += [(300, "odd " + rows[0][1] + " extra", "en", "s0"), (301, "123 456", None, "s0")]
     frame = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
     seen = [frame.count()]
     for name, stage in pipeline.STAGES:
