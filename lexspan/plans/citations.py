@@ -65,26 +65,6 @@ def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(run.raw).select("documento_id", "kind", "resolution.status", "resolution.id_canonico")
 
 
-@query("arbitrated_spans", f"WITH {S.STATUS_SQL} SELECT documento_id, kind, span_start, span_end, status, id_canonico, CASE kind WHEN 'lei' THEN 1 ELSE 0 END::BIGINT AS n_suppressed FROM result WHERE kind <> 'artigo'")
-def arbitrated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = run_pipeline(S.documents(spark, sf_dir), S.corpus(spark, sf_dir))
-    return _spans(run.final).select("documento_id", "kind", "span_start", "span_end", "status", "id_canonico", F.size("suppressed").cast("long").alias("n_suppressed"))
-
-
-@query(
-    "citation_cells",
-    f"""WITH {S.STATUS_SQL} SELECT documento_id, string_agg(span_start || ',' || span_end || ',' || CASE status WHEN 'resolved' THEN 'real' WHEN 'no_match' THEN 'inventada' ELSE 'incompleta' END
-    || ',' || coalesce(CAST(id_canonico AS VARCHAR), '-') || ',0.8500', '|' ORDER BY span_start) AS citacoes FROM result WHERE kind <> 'artigo' GROUP BY documento_id""",
-)
-def citation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_pipeline(S.documents(spark, sf_dir), S.corpus(spark, sf_dir)).rows
-
-
-@query("class_counts", f"WITH {S.STATUS_SQL} SELECT status, count(*)::BIGINT AS n FROM result WHERE kind <> 'artigo' GROUP BY status")
-def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_pipeline(S.documents(spark, sf_dir), S.corpus(spark, sf_dir)).final.groupBy("status").agg(F.count("*").alias("n"))
-
-
 @query("case_identities", "SELECT 'r' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS documento_id, 'STJ' AS tribunal, '1500' || lpad(CAST(c_custkey % 250 AS VARCHAR), 3, '0') AS numero_normalizado FROM customer WHERE c_custkey BETWEEN 1 AND 300")
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_identities(S.corpus(spark, sf_dir)).select("documento_id", "tribunal", "numero_normalizado")
