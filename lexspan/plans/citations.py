@@ -102,6 +102,49 @@ def sumula_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).sumulas.select("number", F.explode("records").alias("r")).select("number", "r.id", "r.tribunal")
 
 
+# --- the same on rulings, súmulas and provisions of the whole customer and part tables -------------------------------------
+
+
+@query("resolve_status_whole", f"WITH {S.WHOLE_STATUS_SQL} SELECT documento_id, kind, status, id_canonico FROM result")
+def resolve_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = run_pipeline(S.documents(spark, sf_dir), S.whole_corpus(spark, sf_dir))
+    return _spans(run.raw).select("documento_id", "kind", "resolution.status", "resolution.id_canonico")
+
+
+@query("case_identities_whole", f"SELECT 'r' || CAST(c_custkey AS VARCHAR) AS documento_id, 'STJ' AS tribunal, CAST({S.NUMBER} AS VARCHAR) AS numero_normalizado FROM customer")
+def identities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_identities(S.whole_corpus(spark, sf_dir)).select("documento_id", "tribunal", "numero_normalizado")
+
+
+@query(
+    "index_stats_whole",
+    f"""WITH k AS (SELECT {S.NUMBER} AS n, count(*) AS c FROM customer GROUP BY 1)
+    SELECT coalesce(sum(c), 0)::BIGINT AS records, count(*)::BIGINT AS case_keys, count(*) FILTER (c = 1)::BIGINT AS single, count(*) FILTER (c > 1)::BIGINT AS multi, coalesce(max(c), 0)::BIGINT AS largest FROM k""",
+)
+def stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_stats(build_corpus(S.whole_corpus(spark, sf_dir)).cases)
+
+
+@query(
+    "case_index_whole",
+    f"""SELECT CAST({S.NUMBER} AS VARCHAR) AS numero_normalizado, string_agg(CAST(c_custkey AS VARCHAR), ':' ORDER BY 'r' || CAST(c_custkey AS VARCHAR)) AS ids
+    FROM customer GROUP BY {S.NUMBER}""",
+)
+def case_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.transform("records", lambda r: r["id"].cast("string")), ":")
+    return build_corpus(S.whole_corpus(spark, sf_dir)).cases.select("numero_normalizado", ids.alias("ids"))
+
+
+@query("provision_keys_whole", "SELECT (2000000000000 + p_partkey)::BIGINT AS id, CAST(p_partkey AS VARCHAR) AS article, 'CDC' AS diploma FROM part")
+def provision_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_corpus(S.whole_corpus(spark, sf_dir)).provisions.select(F.explode("ids").alias("id"), "article", "diploma")
+
+
+@query("sumula_numbers_whole", "SELECT CAST(p_partkey AS VARCHAR) AS number, (1000000000000 + p_partkey)::BIGINT AS id, 'STJ' AS tribunal FROM part")
+def sumula_numbers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_corpus(S.whole_corpus(spark, sf_dir)).sumulas.select("number", F.explode("records").alias("r")).select("number", "r.id", "r.tribunal")
+
+
 @query("ocr_repair", "SELECT o_orderkey, translate('2100' || CAST(o_orderkey AS VARCHAR) || 'lO', 'OoIilSs', '0011155') AS numero FROM orders")
 def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
