@@ -1,8 +1,9 @@
 """License scans: entire texts are brought to a canonical form, digested and hash-joined to known licence digests.
 
-Canonical form: lower case; lines that begin with a copyright notice go, as does "all rights reserved"; every run
+Canonical form: lower case; copyright notices go, as does "all rights reserved"; every run
 of signs that are neither letters nor digits becomes one blank; equivalent spellings become one of them. So two
-copies of a licence that differ in case, punctuation, holders, line breaks or spelling have equal digests.
+copies of a licence that differ in case, punctuation, holders, line breaks or spelling have equal digests. A notice
+ends with its line, at a full stop or where a licence begins; a holder's name that is broken over two lines keeps its second part.
 DataFrame functions only.
 
 Defined results: a null text counts as empty; a text without letters or digits has no words, the digest of the
@@ -15,9 +16,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A line that begins with a copyright notice, and the closing formula.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-RESERVED = r"all rights reserved\.?"
+_SIGN = r"(?:\(c\)|©|&copy;)"
+_YEAR = r"(?:[(\[<{]?(?:19|20)\d\d(?!\d)|[\[<{](?:year|yyyy))"
+#: Words after "copyright" in running text; other words are a holder where a line begins with "copyright".
+_NO_HOLDER = (
+    r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|interests?|statements?|claims?|rights?|protections?|permissions?|information|infringements?|treat(?:y|ies)|acts?|terms?|messages?|"
+    r"headers?|disclaimers?|grants?|management|material|works?|and|or|in|of|to|is|are|for|on|as|at|that|this|with|under|from|which|may|shall|must|will|can|has|have|does|do|not|if|be|was|were|applies|apply|applicable)"
+)
+_BEGINS = (
+    r"(?:permission\s+(?:is|to)\s|redistribution\s+and\s+use|redistributions?\s+of\s|this\s+(?:software|program|library|file|package|work|code|product|project)\s|the\s+software\s+is\s|"
+    r"(?:licen[cs]ed|released|distributed)\s+under|everyone\s+is\s+permitted|you\s+may\s|\S+\s+licen[cs]e\s|all\s+rights\s+reserved)"
+)
+#: A copyright notice in lower case, to the end of its line, a full stop (not one of an abbreviation or initial) or the beginning of a licence.
+NOTICE = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:copyright\s*:?\s*(?:by\s+)?(?:{_SIGN}|,?\s*{_YEAR})|{_SIGN}\s*(?:copyright(?![\p{{L}}\p{{N}}]|\s+{_NO_HOLDER}(?![\p{{L}}\p{{N}}]))|{_YEAR})"
+    rf"|(?<=^|\n)[ \t]*(?:copyright[ \t]*:?[ \t]+(?:by[ \t]+)?(?!{_NO_HOLDER}(?![\p{{L}}\p{{N}}]))(?=[\p{{L}}<\[{{])|©|\(c\)[ \t]*(?:[^\s.;]+[ \t]+){{1,5}}{_YEAR}(?=[ \t.]*(?:\n|\z)|[ \t.]+{_BEGINS})))"
+    rf"[^\n]*?(?:(?=\n|\z)|(?=\s+{_BEGINS})|(?<![^\p{{L}}\p{{N}}](?:\p{{L}}|inc|ltd|corp|co|jr|sr|dr|mr|ms|st|al|etc|bros|dept|univ|intl))\.(?=[ \t]))"
+)
+RESERVED = r"all\s+rights\s+reserved\.?"
+#: What the SQL drops: any line that begins like a notice, and the closing formula.
+SQL_LINE, SQL_RESERVED = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", r"all rights reserved\.?"
 #: Equivalent spellings, as public licence-matching guidelines list them: fixed values, variant then chosen form.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
@@ -78,7 +96,7 @@ def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     Two projections, so that the form before the spelling step is computed once; most texts have no variant at all.
     """
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, F.lit(COPYRIGHT_LINE), F.lit("\n"))
+    t = F.regexp_replace(t, F.lit(NOTICE), F.lit(" "))
     t = F.regexp_replace(t, F.lit(RESERVED), F.lit(" "))
     df = df.withColumn(out, F.trim(F.regexp_replace(t, F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))).drop(text)
     spelled = F.col(out)
@@ -107,8 +125,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, text: str = "t
 
 
 def _sql_canonical(column: str) -> str:
-    t = f"regexp_replace(lower(coalesce({column}, '')), '{COPYRIGHT_LINE}', chr(10), 'g')"
-    t = f"regexp_replace({t}, '{RESERVED}', ' ', 'g')"
+    t = f"regexp_replace(lower(coalesce({column}, '')), '{SQL_LINE}', chr(10), 'g')"
+    t = f"regexp_replace({t}, '{SQL_RESERVED}', ' ', 'g')"
     t = f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     out = f"replace(' ' || {t} || ' ', ' ', '  ')"
     for variant, chosen in SPELLINGS:
