@@ -9,10 +9,12 @@ that most documents share last, so that index lists stay short. Documents of equ
 3. Pairs are verified exactly; links are joined into components.
 4. Sets of a long list that verification has joined share their answers (answer-level skipping): only pairs of
    different components remain, and of those only pairs that positions and the computed distances to the list's
-   first pivot allow (Jaccard distance is a metric). These are verified too, so that no link is lost.
+   first pivot allow (Jaccard distance is a metric). These are verified too, so that no component is split.
+5. Links are counted by component, where all links of its sets are: blocks of sets meet block by block and are
+   counted exactly, so that pairs that steps 2 and 4 left out count too.
 
 No step emits all pairs of a group of linked copies. Verification holds one set; step 4 holds the rows of one list
-(about 50 bytes a row, without sets).
+(about 50 bytes a row, without sets); step 5 holds two blocks of sets and moves each set once per block of its component.
 
 Defined results: null or empty text or one without words has an empty set and links with nothing; rows without
 doc_id have no component; rows that share a doc_id share a component; an empty table gives an empty table.
@@ -38,6 +40,8 @@ SHORT, PIVOTS = 2, 1
 LIST_ROWS, STEP_PAIRS = 50_000, 2_000_000
 #: Members that one verifying stream takes with one copy of the pivot's set.
 STAR_ROWS = 256
+#: Sets of a component in a block, about, and their bytes; hashes that one bit matrix of two blocks has as columns.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 1 << 21, 4096
 #: Nodes up to which the filter on documents is broadcast; beyond, it is a shuffled join.
 BROADCAST_NODES = 500_000
 #: Hashes that a task counts together.
@@ -347,11 +351,83 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def links_between(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of the other block each set of x and of y links with; without y, of x itself."""
+    every = [*x, *(y or [])]
+    size = np.array([len(h) for h in every])
+    owner = np.repeat(np.arange(len(every)), size)
+    _, token, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = n[token] > 1
+    owner, token = owner[shared], (np.cumsum(n > 1) - 1)[token[shared]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    m = len(x)
+    both = np.zeros((m, len(every) - m if y else m), np.int64)
+    total = int(token[-1]) + 1 if len(token) else 0
+    width = -(-min(COLUMNS, total) // 64) * 64
+    for low in range(0, total, COLUMNS):
+        a, b = np.searchsorted(token, [low, low + COLUMNS])
+        has = np.zeros((len(every), width), bool)
+        has[owner[a:b], token[a:b] - low] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        others = bits[m:] if y else bits
+        for k in range(m):
+            both[k] += np.bitwise_count(bits[k] & others).sum(axis=1, dtype=np.int64)
+    linked = den * both >= num * (size[:m, None] + (size[m:] if y else size)[None, :] - both)
+    if not y:
+        np.fill_diagonal(linked, False)
+    return linked.sum(axis=1), linked.sum(axis=0) if y else np.zeros(0, np.int64)
+
+
+def link_counts(comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links) of every linked node: the exact number of nodes that it links with, all of them in its component."""
+    whole = comps.union(comps.select(F.col("comp").alias("node"), "comp")).distinct()
+    whole = materialize(whole.join(sets.select("node", F.length("hashes").alias("bytes")), "node"))
+    most = F.greatest(F.count("*") / F.lit(BLOCK), F.sum("bytes") / F.lit(BLOCK_BYTES))
+    blocks = whole.groupBy("comp").agg(F.ceil(most).cast("int").alias("blocks"))
+    whole = whole.drop("bytes")
+    members = whole.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    if whole.count() <= BROADCAST_NODES:
+        members = F.broadcast(members)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = sets.join(members, "node").select("comp", "node", "hashes", "block", other)
+    rows = rows.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "hashes")
+    dealt = rows.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [])  # (node, set) of block x and of block y
+        out: list[tuple[int, int]] = []
+
+        def count() -> None:
+            if not held[0] or key[1] != key[2] and not held[1]:
+                return
+            found = links_between([h for _, h in held[0]], [h for _, h in held[1]] or None, num, den)
+            out.extend((node, int(n)) for side, ns in zip(held, found) for (node, _), n in zip(side, ns))
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["node", "n"])
+
+        for batch in batches:
+            comp, x, y, block, node = (batch.column(k).to_pylist() for k in range(5))
+            for i, raw in enumerate(batch.column(5)):
+                if (comp[i], x[i], y[i]) != key:
+                    count()
+                    key, held = (comp[i], x[i], y[i]), ([], [])
+                held[int(block[i] != x[i])].append((node[i], unpack(raw.as_buffer())))
+            if out:
+                yield flush()
+                out.clear()
+        count()
+        if out:
+            yield flush()
+
+    return dealt.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document; a link needs den * |A n B| >= num * |A u B|.
 
-    n_links counts the verified links of the document's class to other classes (pairs that a shared component made
-    unnecessary are not counted).
+    n_links is the number of other classes (sets that differ) that the document's class links with, all of them.
     """
     ship(docs.sparkSession)
     docs = docs.select(docs["doc_id"], docs[text].alias("text"))
@@ -379,9 +455,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         rest = remaining(left, num, den).join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         more = verify(rest, sets, num, den).filter("linked").select("a", "b")
         links = links.union(more)
-    degree = links.union(links.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.countDistinct("other").alias("n_links"))
-    comps = components(links).join(degree, "node", "left")
-    named = classes.select("d1", "d2", "node").join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    comps = components(links)
+    named = classes.select("d1", "d2", "node").join(comps, "node", "left").join(link_counts(comps, sets, num, den), "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
     single = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(single, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
