@@ -4,24 +4,28 @@ Sets are the distinct word shingles of a text, as 64-bit hashes in one global or
 that most documents share last, so that index lists stay short. Documents of equal sets form one class.
 
 1. Index: each class is listed under the hashes of its prefix. Two sets that link share a prefix hash.
-2. Lists are sorted by set size and read in blocks. Blocks whose sizes or positions rule a link out are skipped
-   (index-level skipping). Short lists give their pairs. In a long list only PIVOTS sets are paired with the others.
-3. Pairs are verified exactly; links are joined into components.
-4. Sets of a long list that verification has joined share their answers (answer-level skipping): only pairs of
-   different components remain, and of those only pairs that positions and the computed distances to the list's
-   first pivot allow (Jaccard distance is a metric). These are verified too, so that no component is split.
-5. Links are counted by component, where all links of its sets are: blocks of sets meet block by block and are
-   counted exactly, so that pairs that steps 2 and 4 left out count too.
-
-No step emits all pairs of a group of linked copies. Verification holds one set; step 4 holds the rows of one list
-(about 50 bytes a row, without sets); step 5 holds two blocks of sets and moves each set once per block of its component.
+2. Index-level skipping: a list is sorted by set size and falls into blocks in which neighbouring sizes allow a link;
+   sets of different blocks never meet. Within a block a row's position bounds its overlap with every other set of the
+   block at once: rows that no partner allows are skipped, and so is the whole block if fewer than two rows are left.
+   What is left of a block forms a ball around its pivot, the smallest node. No pairs are made.
+3. Answer-level skipping: the sets of a ball meet the pivot's set once. Each set is then only its difference from the
+   pivot's, and the overlap of two members follows from their overlaps with the pivot and their (small) differences:
+   |x n y| = |p| - |p - x| - |p - y| + |dx n dy|. So a member's answers are derived from the pivot's answers.
+4. A ball gives, for each member, the number of its links and one link to its part of the ball. A pair that several
+   balls hold is counted in the first of them. The links form components.
+
+No step makes rows for the pairs of a group. A ball of more than BALL_ROWS sets or BALL_HASHES hashes is dealt to
+streams of two blocks each, so that a stream's memory is bounded. Lists of hashes that more than HOT documents hold
+never meet in one task: their pivots come from an aggregation.
 
 Defined results: null or empty text or one without words has an empty set and links with nothing; rows without
-doc_id have no component; rows that share a doc_id share a component; an empty table gives an empty table.
+doc_id have no component; rows that share a doc_id share a component; a very long text is handled whole (about 150
+bytes of memory a character); an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,22 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.textkit import encode, mix, span_hashes, steps
-from lexspan.plans.runtime import materialize, ship
+from lexspan.plans.runtime import Scratch, ship
 
 #: Hashes whose document frequency orders them last, at most (they only speed the join up); counted from LEAST on.
 COMMON, LEAST = 1 << 18, 2
-#: A list is short up to this length; in longer ones so many sets are pivots.
-SHORT, PIVOTS = 2, 1
-#: Rows of a list that a task holds at once, and pairs that it looks at in one numpy step.
-LIST_ROWS, STEP_PAIRS = 50_000, 2_000_000
-#: Members that one verifying stream takes with one copy of the pivot's set.
-STAR_ROWS = 256
-#: Sets of a component in a block, about, and their bytes; hashes that one bit matrix of two blocks has as columns.
-BLOCK, BLOCK_BYTES, COLUMNS = 256, 1 << 21, 4096
-#: Nodes up to which the filter on documents is broadcast; beyond, it is a shuffled join.
-BROADCAST_NODES = 500_000
 #: Hashes that a task counts together.
 COUNT_TOGETHER = 4_000_000
+#: Documents that hold a hash from which on its list is cut by an aggregation; rows of a list that a task holds at once.
+HOT, LIST_ROWS = 100_000, 50_000
+#: Sets and hashes of a ball's block, about; hashes that one bit matrix has as columns.
+BALL_ROWS, BALL_HASHES, COLUMNS = 2048, 1_500_000, 4096
+#: Nodes up to which the routes of sets to balls are broadcast; beyond, documents meet them in a shuffled join.
+BROADCAST_NODES = 300_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,172 +93,248 @@ def shingles(texts: list[str], width: int, common: tuple[np.ndarray, np.ndarray]
     return h[new], out
 
 
-def common_hashes(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent hashes, sorted, with counts; counted per task first, so that rare hashes are not moved."""
+def survey(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, d1, d2, h null) of every document: set size and 128-bit digest; and (n, h) of hashes, counted per task.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    A task gives only hashes that it meets LEAST times or more, so that rare hashes are not moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        names = ["doc_id", "n", "d1", "d2", "h"]
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LEAST
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["h", "n"])
+            often = np.flatnonzero(counts >= LEAST)
+            none = pa.nulls(len(often), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(counts[often].astype(np.int64)), none, none, pa.array(values[often].view(np.int64))], names)
 
-        for _, texts in steps(batches):
-            held.append(shingles(texts, width)[0])
-            n += len(held[-1])
-            if n > COUNT_TOGETHER:
+        for batch, texts in steps(batches):
+            h, bounds = shingles(texts, width)
+            sums = (np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(c)), dtype=np.uint64)]) for c in (1, 2))
+            digest = (pa.array((d[bounds[1:]] - d[bounds[:-1]]).view(np.int64)) for d in sums)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *digest, pa.nulls(len(texts), pa.int64())], names)
+            held.append(h)
+            waiting += len(h)
+            if waiting > COUNT_TOGETHER:
                 yield flush()
-                held, n = [], 0
+                held, waiting = [], 0
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, h long")
+
+
+def common_hashes(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent hashes, sorted, with counts: those above the frequency that leaves at most COMMON of them."""
+    per = counts.groupBy("n").agg(F.count("*").alias("hashes")).orderBy(F.desc("n")).limit(COMMON + 1).toPandas()
+    kept = per[per["hashes"].cumsum() <= COMMON]
+    if not len(kept):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counts.filter(F.col("n") >= int(kept["n"].min())).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], top["n"].to_numpy(np.int64)[order]
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2) of every document: set size and 128-bit digest."""
+def prefixes(docs: DataFrame, width: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, node, n, pos, hot): the index rows of every document with a set, its prefix in the global order."""
+    shared = docs.sparkSession.sparkContext.broadcast((common[0], common[1].astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value[0][shared.value[1] >= HOT]
         for batch, texts in steps(batches):
-            h, bounds = shingles(texts, width)
-            sums = (np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(c)), dtype=np.uint64)]) for c in (1, 2))
-            digest = (pa.array((d[bounds[1:]] - d[bounds[:-1]]).view(np.int64)) for d in sums)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *digest], ["doc_id", "n", "d1", "d2"])
+            h, bounds = shingles(texts, width, shared.value)
+            n = np.diff(bounds)
+            keep = np.where(n > 0, n + (-num * n // den) + 1, 0)  # n - ceil(n * num / den) + 1
+            pos = np.arange(len(h)) - np.repeat(bounds[:-1], n)
+            inside = np.flatnonzero(pos < np.repeat(keep, n))
+            who = np.repeat(np.arange(len(texts)), n)[inside]
+            token = h[inside]
+            columns = [token.view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[who], n[who].astype(np.int32), pos[inside].astype(np.int32), np.isin(token, often)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "pos", "hot"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, node long, n int, pos int, hot boolean")
 
 
-def prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, n, prefix) of every document with a set: its prefix in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_hashes(docs, width))
+def _need(n1: np.ndarray, n2: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least intersection of two sets of these sizes that link."""
+    return -(-num * (n1 + n2) // (num + den))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in steps(batches):
-            h, bounds = shingles(texts, width, shared.value)
-            n = np.diff(bounds)
-            keep = np.where(n > 0, n + (-num * n // den) + 1, 0)  # n - ceil(n * num / den) + 1
-            inside = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(keep, n)
-            cut = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[inside].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), prefix], ["node", "n", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, n long, prefix array<long>")
-
-
-def _allowed(n1, p1, n2, p2, num: int, den: int) -> np.ndarray:
-    """Whether sets of sizes n1 <= n2 that first meet at prefix positions p1, p2 can link."""
-    need = -(-num * (n1 + n2) // (num + den))  # the least intersection
-    return (den * n1 >= num * n2) & (p1 <= n1 - (-(-2 * num * n1 // (num + den)))) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
-    """Index lists of a stream sorted by token, as columns; long ones in parts: (rows, is first part, is last part)."""
-    held: pa.Table | None = None
-    begun = False  # a part of the held list has been given out
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        token = held.column("token").to_numpy()
-        cuts = np.append(0, np.flatnonzero(token[1:] != token[:-1]) + 1)
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            if high - low > 1 or begun:
-                yield {c: held.column(c).slice(low, high - low).to_numpy() for c in held.column_names}, not begun, True
-            begun = False
-        held = held.slice(cuts[-1]).combine_chunks()
-        if held.num_rows >= LIST_ROWS:
-            yield {c: held.column(c).to_numpy() for c in held.column_names}, not begun, False
-            held, begun = held.slice(0, 0), True
-    if held is not None and (held.num_rows > 1 or begun and held.num_rows):
-        yield {c: held.column(c).to_numpy() for c in held.column_names}, not begun, True
-
-
-def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, token, n, pos): pairs of nodes to verify (token null), and the rows of long lists (a: first pivot, b: node)."""
-    rows = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
+
+class ListReader:
+    """Reads index rows sorted by (token, n, node) and gives (pivot, node, n) of the balls that blocks form.
+
+    Rows may come in parts: a part that ends within a list leaves its last block's pivot and least size behind.
+    """
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.token = self.pivot = None
+        self.least = self.last = 0
+
+    def read(self, token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """whole: the last row's list ends with this part."""
+        num, den = self.num, self.den
+        breaks = np.ones(len(n), bool)
+        breaks[1:] = (token[1:] != token[:-1]) | (den * n[:-1] < num * n[1:])
+        goes_on = self.token is not None and token[0] == self.token and den * self.last >= num * n[0]
+        block = np.cumsum(breaks) - 1
+        least = n[breaks]
+        if goes_on:
+            least[0] = self.least
+        blocks = len(least)
+        smallest = np.maximum(least[block], -(-num * n // den))  # of a partner: what the position must leave room for
+        fits = np.flatnonzero(n - pos >= _need(n, smallest, num, den))
+        b, x, size, at = block[fits], node[fits], n[fits], pos[fits]
+        each = np.bincount(b, minlength=blocks)
+        open_ = np.zeros(blocks, bool)
+        open_[0] |= goes_on
+        open_[-1] |= not whole
+        # Blocks of two rows are decided here by both sizes and positions.
+        first = np.cumsum(each) - each
+        two = np.flatnonzero((each == 2) & ~open_)
+        i, j = first[two], first[two] + 1
+        fine = np.minimum(size[i] - at[i], size[j] - at[j]) >= _need(size[i], size[j], num, den)
+        fine &= den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j])
+        live = (each > 1) | open_
+        live[two[~fine]] = False
+        pivot = np.full(blocks, np.iinfo(np.int64).max)
+        np.minimum.at(pivot, b, x)
+        if goes_on and self.pivot is not None:
+            pivot[0] = self.pivot
+        out = live[b] & (pivot[b] != x)
+        if whole:
+            self.token = None
+        else:
+            known = each[-1] > 0 or (blocks == 1 and goes_on and self.pivot is not None)
+            self.token, self.pivot, self.least, self.last = token[-1], (pivot[-1] if known else None), least[-1], n[-1]
+        return pivot[b][out], x[out], size[out]
+
+
+def members(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(p, x, n): set x of size n belongs to the ball of pivot p, by some list; distinct."""
+    dealt = rows.filter("NOT hot").repartition("token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []
-        longs: list[np.ndarray] = []
+        reader = ListReader(num, den)
+        held = [np.zeros(0, np.int64)] * 4
+        found: list[np.ndarray] = []
         waiting = 0
-        pivots = pivot_n = pivot_pos = None
 
         def flush() -> pa.RecordBatch:
-            p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
-            r = np.concatenate([np.zeros((0, 5), np.int64), *longs])
-            none = pa.nulls(len(p), pa.int64())
-            a, b = pa.array(np.concatenate([p[:, 0], r[:, 0]])), pa.array(np.concatenate([p[:, 1], r[:, 1]]))
-            return pa.RecordBatch.from_arrays([a, b, *(pa.concat_arrays([none, pa.array(r[:, k])]) for k in (2, 3, 4))], ["a", "b", "token", "n", "pos"])
-
-        for part, is_first, is_last in _lists(batches):
-            node, n, pos = part["node"], part["n"], part["pos"]
-            if is_first and is_last and len(node) <= SHORT:
-                x, y = np.triu_indices(len(node), 1)
-                fits = _allowed(n[x], pos[x], n[y], pos[y], num, den)
-                found = np.stack([node[x[fits]], node[y[fits]]], axis=1)
-            else:
-                if is_first:  # sets that all lists would choose alike
-                    chosen = np.argsort(mix(node.astype(np.uint64)), kind="stable")[:PIVOTS]
-                    pivots, pivot_n, pivot_pos = node[chosen], n[chosen], pos[chosen]
-                x, y = np.repeat(np.arange(len(pivots)), len(node)), np.tile(np.arange(len(node)), len(pivots))
-                less = pivot_n[x] <= n[y]  # the smaller set stands first
-                low, low_pos = np.where(less, pivot_n[x], n[y]), np.where(less, pivot_pos[x], pos[y])
-                high, high_pos = np.where(less, n[y], pivot_n[x]), np.where(less, pos[y], pivot_pos[x])
-                fits = (pivots[x] != node[y]) & _allowed(low, low_pos, high, high_pos, num, den)
-                found = np.stack([pivots[x[fits]], node[y[fits]]], axis=1)
-                longs.append(np.stack([np.full(len(node), pivots[0]), node, part["token"], n, pos], axis=1))
-                waiting += len(node)
-            pairs.append(found)
-            waiting += len(found)
+            rows = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], ["p", "x", "n"])
+
+        def feed(upto: int, whole: bool) -> None:
+            nonlocal held, waiting
+            if upto:
+                found.append(np.stack(reader.read(*(c[:upto] for c in held), whole), axis=1))
+                waiting += len(found[-1])
+                held = [c[upto:] for c in held]
+
+        for batch in batches:
+            held = [np.concatenate([a, batch.column(k).to_numpy().astype(np.int64)]) for k, a in enumerate(held)]
+            if len(held[0]) > LIST_ROWS:
+                start = int(np.searchsorted(held[0], held[0][-1]))  # of the list that may go on
+                feed(start, True)
+                if len(held[0]) > LIST_ROWS:
+                    feed(len(held[0]), False)
             if waiting > 200_000:
                 yield flush()
-                pairs, longs, waiting = [], [], 0
+                found, waiting = [], 0
+        feed(len(held[0]), True)
         if waiting:
             yield flush()
 
-    return dealt.mapInArrow(run, "a long, b long, token long, n long, pos long")
+    cold = dealt.mapInArrow(run, "p long, x long, n long")
+    # A list that is too long for a task: sizes fall into levels, links join equal or neighbouring ones.
+    level = F.floor(F.log("n") / F.lit(1.001 * math.log(den / num))).cast("int")
+    hot = rows.filter("hot").select("token", "node", "n", F.explode(F.array(level, level + 1)).alias("level"))
+    pivots = hot.groupBy("token", "level").agg(F.min("node").alias("p"))
+    hot = hot.join(pivots, ["token", "level"]).filter("p <> node").select("p", F.col("node").alias("x"), F.col("n").cast("long").alias("n"))
+    return cold.union(hot).distinct()
 
 
-def remaining(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of long lists that are in different components and that sizes, positions and distances allow."""
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "pos", "comp", "far")
+def routes(found: DataFrame) -> DataFrame:
+    """(node, routes): where each set goes, as (p, i, j, block, earlier): the ball's stream of blocks i and j.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[dict[str, np.ndarray]] = []  # parts of a list that was too long for one: blocks to pair with
-        for part, is_first, is_last in _lists(batches):
-            if is_first:
-                before = []
-            for other in [*before, part]:
-                yield from cross(other, part, other is part)
-            if not is_last:
-                before.append(part)
-
-    def cross(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool) -> Iterator[pa.RecordBatch]:
-        if same and (y["comp"] == y["comp"][0]).all():
-            return
-        # x stands before y in the order of sizes: of each y only a block of x is near enough in size
-        low = np.searchsorted(x["n"], -(-num * y["n"] // den), side="left")
-        high = np.arange(len(y["n"])) if same else np.full(len(y["n"]), len(x["n"]))
-        width = np.maximum(high - low, 0)
-        done = 0
-        while done < len(width):
-            upto = max(done + 1, int(np.searchsorted(np.cumsum(width[done:]), STEP_PAIRS)) + done)
-            w = width[done:upto]
-            j = np.repeat(np.arange(done, done + len(w)), w)
-            i = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[done:upto], w)
-            apart = (x["comp"][i] != y["comp"][j]) & ~(np.abs(x["far"][i] - y["far"][j]) > 1 - num / den + 1e-9)
-            i, j = i[apart], j[apart]
-            fits = _allowed(x["n"][i], x["pos"][i], y["n"][j], y["pos"][j], num, den)
-            if fits.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x["node"][i[fits]]), pa.array(y["node"][j[fits]])], ["a", "b"])
-            done = upto
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    block is -1 for the pivot's own set, which comes first in each stream. earlier are the node's balls before p: two
+    sets that share one of them have been counted there.
+    """
+    most = F.greatest(F.count("*") / F.lit(BALL_ROWS), F.sum("n") / F.lit(BALL_HASHES))
+    sized = found.groupBy("p").agg(F.ceil(most).cast("int").alias("blocks"))
+    balls = found.select(F.col("x").alias("node"), "p").union(sized.select("p", "p"))
+    balls = balls.groupBy("node").agg(F.collect_set("p").alias("balls"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = found.join(sized, "p").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    to = F.transform(every, lambda o: F.struct("p", F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), "block"))
+    pairs = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct("p", i.alias("i"), j.alias("j"), F.lit(-1).alias("block")))))
+    sent = own.select(F.col("x").alias("node"), to.alias("to")).union(sized.select("p", pairs))
+    sent = sent.groupBy("node").agg(F.flatten(F.collect_list("to")).alias("to")).join(balls, "node")
+    earlier = lambda r: F.filter("balls", lambda q: q < r["p"])
+    return sent.select("node", F.transform("to", lambda r: F.struct(r["p"].alias("p"), r["i"].alias("i"), r["j"].alias("j"), r["block"].alias("block"), earlier(r).alias("earlier"))).alias("routes"))
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets of distinct numbers."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[token] > 1
+    owner, token = owner[shared], (np.cumsum(n > 1) - 1)[token[shared]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((m, m), np.int32)
+    total = int(token[-1]) + 1 if len(token) else 0
+    width = -(-min(COLUMNS, total) // 64) * 64
+    for low in range(0, total, COLUMNS):
+        a, b = np.searchsorted(token, [low, low + COLUMNS])
+        has = np.zeros((m, width), bool)
+        has[owner[a:b], token[a:b] - low] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        for k in range(m):
+            both[k, k:] += np.bitwise_count(bits[k] & bits[k:]).sum(axis=1, dtype=np.int32)
+    return np.maximum(both, both.T)
+
+
+_FROM_PIVOT = np.uint64(1 << 63)
+
+
+def judge(sets: list[np.ndarray], block: np.ndarray, earlier: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a stream's sets, the pivot's first: (links that count of each, each one's smallest index reached; -1 without a link).
+
+    With two blocks only links between them count; the pivot's own links count in the streams of one block.
+    """
+    pivot, m = sets[0], len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    lost = np.zeros(m, np.int64)  # how much of the pivot's set each one lacks
+    changes = [np.zeros(0, np.uint64)]
+    for k in range(1, m):
+        slot = np.minimum(np.searchsorted(pivot, sets[k]), len(pivot) - 1)
+        hit = pivot[slot] == sets[k]
+        gone = np.ones(len(pivot), bool)
+        gone[slot[hit]] = False
+        lost[k] = gone.sum()
+        changes.append(np.concatenate([sets[k][~hit], np.flatnonzero(gone).astype(np.uint64) | _FROM_PIVOT]))
+    both = len(pivot) - lost[:, None] - lost[None, :] + (overlaps(changes) if m > 2 else 0)
+    linked = den * both >= num * (size[:, None] + size[None, :] - both)
+    if len(np.unique(block[1:])) > 1:
+        linked &= block[:, None] != block[None, :]
+        linked[0], linked[:, 0] = False, False
+    np.fill_diagonal(linked, False)
+    counted = linked
+    if linked.any() and sum(len(e) > 0 for e in earlier) > 1:
+        counted = linked & (overlaps(earlier) == 0)
+    label = np.arange(m)
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], m).min(axis=1))
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    label[~linked.any(axis=1)] = -1
+    return counted.sum(axis=1), label
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -273,59 +349,58 @@ def unpack(raw: memoryview) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def node_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the documents that occur in pairs; hashes is binary, sorted."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    nodes = materialize(nodes)
-    if nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    wanted = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+def links(docs: DataFrame, sent: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, n, rep): links that each node has in a stream, and a node that it is linked with by them, or itself."""
+    wanted = docs.join(sent, F.col("doc_id") == F.col("node")).select("node", "text", "routes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
             h, bounds = shingles(texts, width)
             parts = [pack(np.sort(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary()), batch.column(2)], ["node", "hashes", "routes"])
 
-    return materialize(wanted.mapInArrow(run, "node long, hashes binary"))
+    sets = wanted.mapInArrow(hashes, f"node long, hashes binary, routes {sent.schema['routes'].dataType.simpleString()}")
+    rows = sets.select("node", "hashes", F.explode("routes").alias("r")).select("r.p", "r.i", "r.j", "r.block", "node", "r.earlier", "hashes")
+    dealt = rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "block")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, block, earlier, sets = None, [], [], [], []
+        out: list[np.ndarray] = []
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked, far) of every pair: the exact test, and the Jaccard distance.
+        def finish() -> None:
+            if len(sets) > 1:
+                n, label = judge(sets, np.array(block), earlier, num, den)
+                some = np.flatnonzero(label >= 0)
+                names = np.array(node)
+                out.append(np.stack([names[some], n[some], names[label[some]]]))
 
-    Each a and the sets of its partners meet in a sorted stream, the set of a first; an a of many partners is dealt
-    to several streams.
-    """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_ROWS)).cast("int").alias("streams"))
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("streams")).cast("int"))
-    members = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "hashes")
-    heads = counts.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "hashes")
-    dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+        def flush() -> pa.RecordBatch:
+            columns = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "rep"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.zeros(0, np.uint64)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                rows = batch.slice(low, 500)
-                a, b, kind = (rows.column(k).to_numpy() for k in (0, 3, 2))
-                out = []
-                for i, raw in enumerate(rows.column(4)):
-                    own = unpack(raw.as_buffer())
-                    if kind[i] == 0:
-                        head = own
-                        continue
-                    slot = np.searchsorted(head, own)
-                    both = int((head[np.minimum(slot, len(head) - 1)] == own).sum())
-                    either = len(head) + len(own) - both
-                    out.append((a[i], b[i], den * both >= num * either, 1 - both / either))
-                if out:
-                    columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()))], ["a", "b", "linked", "far"])
-
-    return materialize(dealt.mapInArrow(run, "a long, b long, linked boolean, far double"))
-
-
-def components(links: DataFrame) -> DataFrame:
+            ps, bs, xs = (batch.column(k).to_numpy() for k in (0, 3, 4))
+            keys = list(zip(ps.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            before, raw = batch.column(5), batch.column(6)
+            for k, at in enumerate(keys):
+                if at != key:
+                    finish()
+                    key, node, block, earlier, sets = at, [], [], [], []
+                node.append(xs[k])
+                block.append(bs[k])
+                earlier.append(np.array(before[k].as_py(), np.int64).view(np.uint64))
+                sets.append(unpack(raw[k].as_buffer()))
+            if out:
+                yield flush()
+                out.clear()
+        finish()
+        if out:
+            yield flush()
+
+    return dealt.mapInArrow(run, "node long, n long, rep long")
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the smallest node that each linked node reaches, by alternating large-star and small-star."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -339,11 +414,11 @@ def components(links: DataFrame) -> DataFrame:
         return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = materialize(edges)
+    edges = scratch.put(edges, "edges")
     shape = None
     while True:
         edges = star(edges, True).filter("a <> b").distinct()
-        edges = materialize(star(edges, False).filter("a <> b").distinct())
+        edges = scratch.put(star(edges, False).filter("a <> b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if tuple(now) == shape:
             break
@@ -351,112 +426,35 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def links_between(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many sets of the other block each set of x and of y links with; without y, of x itself."""
-    every = [*x, *(y or [])]
-    size = np.array([len(h) for h in every])
-    owner = np.repeat(np.arange(len(every)), size)
-    _, token, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    shared = n[token] > 1
-    owner, token = owner[shared], (np.cumsum(n > 1) - 1)[token[shared]]
-    order = np.argsort(token, kind="stable")
-    owner, token = owner[order], token[order]
-    m = len(x)
-    both = np.zeros((m, len(every) - m if y else m), np.int64)
-    total = int(token[-1]) + 1 if len(token) else 0
-    width = -(-min(COLUMNS, total) // 64) * 64
-    for low in range(0, total, COLUMNS):
-        a, b = np.searchsorted(token, [low, low + COLUMNS])
-        has = np.zeros((len(every), width), bool)
-        has[owner[a:b], token[a:b] - low] = True
-        bits = np.packbits(has, axis=1).view(np.uint64)
-        others = bits[m:] if y else bits
-        for k in range(m):
-            both[k] += np.bitwise_count(bits[k] & others).sum(axis=1, dtype=np.int64)
-    linked = den * both >= num * (size[:m, None] + (size[m:] if y else size)[None, :] - both)
-    if not y:
-        np.fill_diagonal(linked, False)
-    return linked.sum(axis=1), linked.sum(axis=0) if y else np.zeros(0, np.int64)
-
-
-def link_counts(comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, n_links) of every linked node: the exact number of nodes that it links with, all of them in its component."""
-    whole = comps.union(comps.select(F.col("comp").alias("node"), "comp")).distinct()
-    whole = materialize(whole.join(sets.select("node", F.length("hashes").alias("bytes")), "node"))
-    most = F.greatest(F.count("*") / F.lit(BLOCK), F.sum("bytes") / F.lit(BLOCK_BYTES))
-    blocks = whole.groupBy("comp").agg(F.ceil(most).cast("int").alias("blocks"))
-    whole = whole.drop("bytes")
-    members = whole.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    if whole.count() <= BROADCAST_NODES:
-        members = F.broadcast(members)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = sets.join(members, "node").select("comp", "node", "hashes", "block", other)
-    rows = rows.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "hashes")
-    dealt = rows.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [])  # (node, set) of block x and of block y
-        out: list[tuple[int, int]] = []
-
-        def count() -> None:
-            if not held[0] or key[1] != key[2] and not held[1]:
-                return
-            found = links_between([h for _, h in held[0]], [h for _, h in held[1]] or None, num, den)
-            out.extend((node, int(n)) for side, ns in zip(held, found) for (node, _), n in zip(side, ns))
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["node", "n"])
-
-        for batch in batches:
-            comp, x, y, block, node = (batch.column(k).to_pylist() for k in range(5))
-            for i, raw in enumerate(batch.column(5)):
-                if (comp[i], x[i], y[i]) != key:
-                    count()
-                    key, held = (comp[i], x[i], y[i]), ([], [])
-                held[int(block[i] != x[i])].append((node[i], unpack(raw.as_buffer())))
-            if out:
-                yield flush()
-                out.clear()
-        count()
-        if out:
-            yield flush()
-
-    return dealt.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
-
-
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document; a link needs den * |A n B| >= num * |A u B|.
 
     n_links is the number of other classes (sets that differ) that the document's class links with, all of them.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark)
     docs = docs.select(docs["doc_id"], docs[text].alias("text"))
-    rows = materialize(set_rows(docs, width))
+    seen = scratch.put(survey(docs, width), "survey")
+    rows = seen.filter("h IS NULL").drop("h")
+    common = common_hashes(seen.filter("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n")))
     real = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
+    classes = scratch.put(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     copies = real.join(classes, ["d1", "d2"]).filter("doc_id > node").select("doc_id").distinct()
-    copies = materialize(copies.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"))
+    copies = scratch.put(copies.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "copies")
     if copies.count() <= BROADCAST_NODES:
         copies = F.broadcast(copies)
     distinct = docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    found = materialize(candidates(prefixes(distinct, width, num, den), num, den).distinct())
-    pairs = found.filter("token IS NULL").select("a", "b")
-    sets = node_sets(docs, found, width)
-    checked = verify(pairs, sets, num, den)
-    links = checked.filter("linked").select("a", "b")
-    longs = found.filter("token IS NOT NULL")
-    if not longs.isEmpty():
-        comps = components(links)
-        far = checked.select("a", "b", "far")
-        left = longs.join(far, ["a", "b"], "left").withColumnRenamed("b", "node").join(comps, "node", "left")
-        # The pivot itself is at distance 0; a set that was too small or too large for a pair has no distance.
-        far_of = F.when(F.col("a") == F.col("node"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))
-        left = left.select("token", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"), far_of.alias("far"))
-        rest = remaining(left, num, den).join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        more = verify(rest, sets, num, den).filter("linked").select("a", "b")
-        links = links.union(more)
-    comps = components(links)
-    named = classes.select("d1", "d2", "node").join(comps, "node", "left").join(link_counts(comps, sets, num, den), "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = scratch.put(members(prefixes(distinct, width, num, den, common), num, den), "members")
+    sent = scratch.put(routes(found), "routes")
+    if sent.count() <= BROADCAST_NODES:
+        sent = F.broadcast(sent)
+    judged = scratch.put(links(docs, sent, width, num, den), "links")
+    comps = components(judged.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")), scratch)
+    counts = judged.groupBy("node").agg(F.sum("n").alias("n_links"))
+    named = classes.join(comps, "node", "left").join(counts, "node", "left")
+    named = named.select("d1", "d2", F.coalesce("comp", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
     single = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return out.select("doc_id", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(single, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    out = out.select("doc_id", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(single, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return scratch.last(out)

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Characters that one vectorised step handles; bounds the memory of a Python worker (about 40 bytes a character).
-STEP_CHARS = 3_000_000
+#: Characters that one vectorised step handles; bounds the memory of a Python worker (about 150 bytes a character).
+STEP_CHARS = 400_000
+#: Powers that a worker keeps; a step of one longer text makes its own.
+KEPT_POWERS = 1 << 20
 
 _U64 = np.uint64
 _P = _U64(0x9E3779B97F4A7C15)
@@ -57,17 +59,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(31))
 
 
-_powers = np.ones(1, _U64)
-_inverse = np.ones(1, _U64)
+_powers = _inverse = np.ones(1, _U64)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n, at least, of the polynomial's base and of its inverse."""
     global _powers, _inverse
-    if len(_powers) < n + 1:
-        size = max(n + 1, STEP_CHARS)
-        _powers = np.concatenate([np.ones(1, _U64), np.cumprod(np.full(size, _P, _U64))])
-        _inverse = np.concatenate([np.ones(1, _U64), np.cumprod(np.full(size, _P_INV, _U64))])
-    return _powers, _inverse
+    if len(_powers) > n:
+        return _powers, _inverse
+    size = max(n, KEPT_POWERS)
+    powers, inverse = (np.cumprod(np.concatenate([np.ones(1, _U64), np.full(size, x, _U64)])) for x in (_P, _P_INV))
+    if n <= KEPT_POWERS:
+        _powers, _inverse = powers, inverse
+    return powers, inverse
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

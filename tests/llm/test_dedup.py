@@ -99,7 +99,7 @@ def near_group(seed, n, words=60):
     return rows
 
 
-@pytest.mark.parametrize("width,num,den,parts", [(4, 85, 100, 50_000), (5, 4, 5, 7)])
+@pytest.mark.parametrize("width,num,den,parts", [(4, 85, 100, 50_000), (5, 4, 5, 7), (1, 4, 5, 3)])
 def test_components_equal_brute_force(docs, monkeypatch, width, num, den, parts):
     monkeypatch.setattr(jaccard, "LIST_ROWS", parts)
     rows = [*TEXTS, *near_group(3, 40)]
