@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,17 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tup
             yield batch.slice(start), texts[start:]
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """names, each with underscores at its end until no column of that name is there already."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> _U64(30))
