@@ -1,22 +1,25 @@
 """Personal data by base rules and bootstrapped contextual extraction; DataFrame and SQL functions only.
 
 Base rules find e-mail addresses, IP addresses, payment cards and phone numbers (leftmost, non-overlapping per
-kind; a match that fails its check is dropped and not retried). Their spans are the seeds of the bootstrap:
-
-1. Every entity, and every loosely shaped candidate that no base span overlaps, gives edges to two lexical patterns:
-   the word before it, and the two words before it.
-2. The pattern-instance graph is scored in ROUNDS rounds. An instance scores 1 as a seed, else the best confidence
-   of its patterns. A pattern's confidence for a kind is the score of the kind's distinct instances over the number
-   of distinct instances of all kinds plus SMOOTH.
-3. A candidate becomes a span of its kind if a pattern with MIN_SEEDS distinct seeds and at least MIN_CONFIDENCE
-   precedes it.
+kind; a match that fails its check is dropped and not retried). The bootstrap adds spans of these kinds that have
+another shape, and secrets (access keys, tokens, passwords):
+
+1. Seeds are the base entities, and identifiers of two strict public forms of secrets. Candidates are loosely shaped
+   strings that no base span overlaps. Each seed or candidate gives edges to lexical patterns: the word before it,
+   the two words before it, an assignment before it, and, for identifiers, their first four signs with their length.
+2. The pattern-instance graph is scored in ROUNDS rounds. An instance scores 1 as a seed, else the best confidence of its
+   patterns. A pattern's confidence for a kind is the sum of its instances' scores for the kind over the number of its
+   distinct instances of all kinds plus SMOOTH. Instances of MIN_CONFIDENCE become seeds for the next round, so that
+   patterns that no base seed has are induced too. Patterns of fewer than MIN_SEEDS seeds have no confidence.
+3. What is a seed in the end is a span of its kind.
 
 The patterns are equal to the rules they stand for, but possessive and anchored at the run's start, so that long runs
-take linear time and no recursion. Texts are read once; what is kept after that is a row per document with its few
-entities, written to the shared folder.
+take linear time and no recursion. Texts are read once; what is kept after that is a row per document with the places
+and the hashes of its few entities and their patterns (no text), written to the shared folder and deleted in the end.
 
 Defined results: null or empty text has no spans and the digest of the empty string; positions are code points, the
-end exclusive; rows that repeat (doc_id, text) get equal results; an empty table gives an empty table.
+end exclusive; a very long text is scanned whole; rows that repeat (doc_id, text) get equal results, also without
+doc_id; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.plans.runtime import materialize
+from lexspan.plans.runtime import Scratch
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS, SECRET = ["email", "ip", "card", "phone"], "secret"
 #: The base rules, fixed by their definition; possessive, and anchored so that a run is tried once.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -34,17 +37,23 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Shapes of candidates that the base rules miss: spelled-out addresses, IPv6, dotted card groups, local numbers.
+#: Shapes of candidates that the base rules miss: spelled-out addresses, IPv6, dotted card groups, local numbers,
+#: and words of letters and digits.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}){1,8}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9./])[0-9]{4}[./][0-9]{4}[./][0-9]{4}[./][0-9]{4}(?![0-9./])",
     "phone": r"(?<![0-9.+()-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,256}+(?![A-Za-z0-9_+/-])",
 }
 #: Cheap necessary conditions, tried first.
 NEEDS = {"email": "contains({t}, '@')", "phone": "contains({t}, '+')", "ip": "true", "card": "true"}
-LOOSE_NEEDS = {"email": "contains(lower({t}), 'at]') OR contains(lower({t}), 'at)')", "ip": "contains({t}, ':')", "card": "true", "phone": "true"}
-ROUNDS, SMOOTH, MIN_SEEDS, MIN_CONFIDENCE = 3, 2.0, 3, 0.6
+LOOSE_NEEDS = {"email": "contains(lower({t}), 'at]') OR contains(lower({t}), 'at)')", "ip": "contains({t}, ':')", "card": "true", "phone": "true", "secret": "true"}
+ROUNDS, SMOOTH, MIN_SEEDS, MIN_CONFIDENCE = 5, 2.0, 3, 0.6
+#: Strict forms of secrets: an access key id, and a long hexadecimal value that a word for a secret names.
+SEED_VALUE, SEED_HEX = r"^AKIA[0-9A-Z]{16}$", r"^[0-9A-Fa-f]{32,}$"
+SEED_LEFT = r"(?i)(?:token|secret|api[_-]?key|access[_-]?key)[\x22\x27]?[ ]?[=:][ ]?[\x22\x27]?$"
+ASSIGNED = r"[\p{L}\p{N}_-][\x22\x27]?[ ]?=[ ]?[\x22\x27]?$"
 
 _SPAN = "array<struct<s:bigint,e:bigint,v:string,l:string>>"
 
@@ -73,61 +82,69 @@ CHECKS = {
     "card": "exists(array(regexp_replace(x.v, '[^0-9]', '')), d -> length(d) BETWEEN 16 AND 19 AND " + _LUHN + ")",
     "phone": "length(regexp_replace(x.v, '[^0-9]', '')) BETWEEN 8 AND 15",
 }
-_WORD = r"([\p{L}][\p{L}._-]*[:=#]?)"
+_WORD = r"[\p{L}][\p{L}._-]*[:=#]?"
+#: A pattern is a hash of its text; 0 stands for none.
+_PATTERNS = f"""filter(array_distinct(transform(array(
+    regexp_extract(lower(x.l), {_quoted("(" + _WORD + r")[ \t\n\x22(]*$")}, 1),
+    regexp_extract(lower(x.l), {_quoted("(" + _WORD + "[ ]" + _WORD + r")[ \t\n\x22(]*$")}, 1),
+    CASE WHEN rlike(x.l, {_quoted(ASSIGNED)}) THEN '=' ELSE '' END,
+    CASE WHEN {{k}} = {len(KINDS)} THEN concat('~', substring(x.v, 1, 4), length(x.v)) ELSE '' END
+  ), y -> CASE WHEN y = '' THEN 0L ELSE xxhash64(y) END)), y -> y <> 0L)"""
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, row_key, base, loose): entities of each document, as arrays of (kind, start, end, value, left context)."""
-    t = docs.select(docs["doc_id"], F.coalesce(docs[text], F.lit("")).alias("__t"))
-    row = t.select("doc_id", F.xxhash64("doc_id", "__t", F.length("__t")).alias("row_key"), *[F.expr(matches("__t", BASE[k], NEEDS[k])).alias(f"b_{k}") for k in KINDS], *[F.expr(matches("__t", LOOSE[k], LOOSE_NEEDS[k])).alias(f"l_{k}") for k in KINDS])
-    named = "named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v, 'l', x.l)"
-    base = "concat(" + ", ".join(f"transform(filter(b_{k}, x -> {CHECKS[k]}), x -> {named.format(i=i)})" for i, k in enumerate(KINDS)) + ")"
-    loose = "concat(" + ", ".join(f"transform(l_{k}, x -> {named.format(i=i)})" for i, k in enumerate(KINDS)) + ")"
-    row = row.select("doc_id", "row_key", F.expr(base).alias("base"), F.expr(loose).alias("loose"))
-    return row.withColumn("loose", F.expr("filter(loose, x -> NOT exists(base, y -> y.s < x.e AND x.s < y.e))"))
-
-
-def _edges(found: DataFrame) -> DataFrame:
-    """(row_key, kind, s, e, value, seed, pattern): two patterns for each entity that words precede."""
-    named = "named_struct('k', x.k, 's', x.s, 'e', x.e, 'v', x.v, 'l', x.l, 'seed', {})"
-    both = f"concat(transform(base, x -> {named.format('true')}), transform(loose, x -> {named.format('false')}))"
-    each = found.select("row_key", F.explode(F.expr(both)).alias("x"))
-    left = F.lower("x.l")
-    near = F.regexp_extract(left, _WORD + r"[\s\x22(]*\z", 1)
-    two = F.regexp_extract(left, r"([\p{L}][\p{L}._-]*[:=#]?[ ]" + _WORD[1:-1] + r")[\s\x22(]*\z", 1)
-    each = each.select("row_key", F.col("x.k").alias("kind"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.xxhash64("x.v").alias("value"), F.col("x.seed").alias("seed"), F.array_distinct(F.array(near, two)).alias("p"))
-    return each.withColumn("pattern", F.explode("p")).filter("pattern <> ''").drop("p")
-
-
-def bootstrap(found: DataFrame) -> DataFrame:
-    """(row_key, kind, s, e) of the spans that high-confidence patterns discover."""
-    edges = _edges(found)
-    graph = materialize(edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")))
-    total = graph.groupBy("pattern").agg(F.count("*").alias("all"))
-    seeds = graph.filter("seed").groupBy("kind", "pattern").agg(F.count("*").alias("seeds"))
-    support = seeds.join(total, "pattern")
-    open_ = graph.filter("NOT seed").select("kind", "pattern", "value")
-    confidence = support.withColumn("c", F.col("seeds") / (F.col("all") + SMOOTH))
-    for _ in range(ROUNDS - 1):
-        scores = open_.join(confidence.select("kind", "pattern", "c"), ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("c").alias("score"))
-        more = open_.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("score").alias("more"))
-        confidence = support.join(more, ["kind", "pattern"], "left").withColumn("c", (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("all") + SMOOTH)).drop("more")
-        confidence = materialize(confidence)
-    good = confidence.filter((F.col("c") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("kind", "pattern")
-    return edges.filter("NOT seed").join(good, ["kind", "pattern"], "left_semi").select("row_key", "kind", "s", "e").distinct()
+    """(doc_id, row, base, loose): each document's entities, as arrays of (k, s, e, seed, v, p): kind, place, whether it is a
+    seed, and the hashes of its value and patterns. row is a 128-bit digest of doc_id and text."""
+    t = docs.select(docs["doc_id"], F.coalesce(docs[text], F.lit("")).alias("t"))
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("t"))))
+    found = t.select("doc_id", row.alias("row"), *[F.expr(matches("t", BASE[k], NEEDS[k])).alias(f"b_{k}") for k in KINDS], *[F.expr(matches("t", x, LOOSE_NEEDS[k])).alias(f"l_{k}") for k, x in LOOSE.items()])
+    seed = f"(rlike(x.v, {_quoted(SEED_VALUE)}) OR rlike(x.v, {_quoted(SEED_HEX)}) AND rlike(x.l, {_quoted(SEED_LEFT)}))"
+
+    def named(k: int, seed: str) -> str:
+        return f"named_struct('k', {k}, 's', x.s, 'e', x.e, 'seed', {seed}, 'v', xxhash64(x.v), 'p', {_PATTERNS.replace("{k}", str(k))})"
+
+    base = "concat(" + ", ".join(f"transform(filter(b_{k}, x -> {CHECKS[k]}), x -> {named(i, 'true')})" for i, k in enumerate(KINDS)) + ")"
+    loose = "concat(" + ", ".join(f"transform(l_{k}, x -> {named(i, seed if k == SECRET else 'false')})" for i, k in enumerate(LOOSE)) + ")"
+    found = found.select("doc_id", "row", F.expr(base).alias("base"), F.expr(loose).alias("loose"))
+    return found.withColumn("loose", F.expr("filter(loose, x -> NOT exists(base, y -> y.s < x.e AND x.s < y.e))"))
+
+
+def bootstrap(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(kind, value) of the loose instances that are seeds in the end, from the rows of entities."""
+    each = found.select(F.explode(F.concat("base", "loose")).alias("x")).select(F.col("x.k").alias("kind"), F.col("x.v").alias("value"), F.col("x.seed").alias("seed"), F.col("x.p").alias("p"))
+    instances = scratch.put(each.groupBy("kind", "value").agg(F.max("seed").alias("seed")), "instances")
+    graph = scratch.put(each.select("kind", "value", F.explode("p").alias("pattern")).distinct(), "graph")
+    total = scratch.put(graph.groupBy("pattern").agg(F.count("*").alias("all")), "total")
+    scores = instances.select("kind", "value", F.col("seed").cast("double").alias("score"))
+    for n in range(ROUNDS):
+        weighed = graph.join(scores, ["kind", "value"]).groupBy("kind", "pattern")
+        weighed = weighed.agg(F.sum("score").alias("sum"), F.count_if(F.col("score") == 1.0).alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
+        confidence = weighed.join(total, "pattern").select("kind", "pattern", (F.col("sum") / (F.col("all") + SMOOTH)).alias("c"))
+        best = graph.join(confidence, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("c").alias("c"))
+        now = F.when(F.col("seed") | (F.coalesce("c", F.lit(0.0)) >= MIN_CONFIDENCE), 1.0).otherwise(F.coalesce("c", F.lit(0.0)))
+        now = instances.join(best, ["kind", "value"], "left").select("kind", "value", now.alias("score"))
+        scores = scratch.put(now, f"scores{n}")
+    return scores.filter("score = 1.0").select("kind", "value")
 
 
 def _joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in [*KINDS, SECRET]])
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (base and discovered), n_found."""
-    found = materialize(entities(docs, text))
-    new = bootstrap(found).groupBy("row_key").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("new"))
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (base and discovered), n_found,
+    n_secret (of them), n_all (base and discovered)."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.put(entities(docs, text), "entities")
+    seeds = bootstrap(found, scratch)
+    loose = found.select("row", F.explode("loose").alias("x")).select("row", F.col("x.k").alias("kind"), F.col("x.v").alias("value"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    new = loose.distinct().join(seeds, ["kind", "value"], "left_semi").groupBy("row").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("new"))
     base = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    out = found.select("doc_id", "row_key", base.alias("base")).join(new, "row_key", "left")
-    new_spans = F.coalesce("new", F.expr("cast(array() AS array<struct<k:int,s:bigint,e:bigint>>)"))
+    out = found.select("doc_id", "row", base.alias("base")).join(new, "row", "left")
+    out = out.withColumn("new", F.coalesce("new", F.expr("cast(array() AS array<struct<k:int,s:bigint,e:bigint>>)")))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS bigint) AS n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", new_spans)).alias("spans"), F.size(new_spans).cast("long").alias("n_found"))
+    secrets = F.expr(f"cast(size(filter(new, x -> x.k = {len(KINDS)})) AS bigint) AS n_secret")
+    every = (F.size("base") + F.size("new")).cast("long").alias("n_all")
+    out = out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "new")).alias("spans"), F.size("new").cast("long").alias("n_found"), secrets, every)
+    return scratch.last(out)
