@@ -6,9 +6,9 @@ weight until no target is above. That fixed point is target = min(most * size, l
 by one cumulative sum over the sources in the order of most * size / weight. A source's repetition rate is
 target / size; each document is taken floor(rate) times, and once more if its seeded hash falls below the fraction.
 
-Defined results: null or empty text has size 0 and is never taken; a source without words has target 0; rows that
-repeat a doc_id draw alike; a null doc_id draws as the empty string; an empty table gives an empty table. Extra
-columns are left alone: added columns start with two underscores until the end.
+Defined results: null or empty text has size 0 and is repeated like its source's other documents; a source without
+words has target and rate 0; rows that repeat a doc_id draw alike; a null doc_id draws as the empty string; a very long
+text is one row that is taken whole or not; an empty table gives an empty table; all columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,27 +27,27 @@ def words(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
-    """(__source, __source_size, __target, __rate) from rows of (__source, __size).
+    """(source, source_size, target, rate) from rows of (source, size).
 
     The window functions run over one row per source, after a pre-aggregated group-by.
     """
-    per = sized.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.asc_nulls_last("__source"))) - 1) % len(WEIGHTS)
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    turn = (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(WEIGHTS)
     weights = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), turn + 1)
-    per = per.withColumn("__weight", weights).withColumn("__cap", F.lit(MOST) * F.col("__source_size"))
-    by_ratio = Window.orderBy(F.col("__cap") / F.col("__weight"), F.asc_nulls_last("__source"))
+    per = per.withColumn("weight", weights).withColumn("cap", F.lit(MOST) * F.col("source_size"))
+    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.asc_nulls_last("source"))
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     every = Window.partitionBy()
-    budget = F.lit(SHARE) * F.sum("__source_size").over(every)
-    level = (budget - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / F.sum("__weight").over(onward)
-    per = per.withColumn("__level", level)
+    budget = F.lit(SHARE) * F.sum("source_size").over(every)
+    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
+    per = per.withColumn("level", level)
     # Levels fall from the first source on whose own cap holds its level; that first one, the largest, is the answer.
-    settled = F.max(F.when(F.col("__level") <= F.col("__cap") / F.col("__weight"), F.col("__level"))).over(every)
-    target = F.least(F.col("__cap"), F.coalesce(settled, F.lit(float("inf"))) * F.col("__weight"))
-    per = per.withColumn("__target", target)
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    return per.select("__source", "__source_size", "__target", rate.alias("__rate"))
+    settled = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every)
+    target = F.least(F.col("cap"), F.coalesce(settled, F.lit(float("inf"))) * F.col("weight"))
+    per = per.withColumn("target", target)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return per.select("source", "source_size", "target", rate.alias("rate"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -57,36 +57,31 @@ def draw(doc_id: Column) -> Column:
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Every document with __size, __source_size, __target and __copies; its columns stay.
+    """(doc, size, source_size, target, copies): every document, whole as a struct, so that no name can clash.
 
     The join with the sources is on a null-safe key; a source may hold a third of all rows, which an adaptive
     sort-merge join splits; few sources are broadcast below the session's threshold.
     """
-    sized = docs.withColumn("__source", docs[source]).withColumn("__size", words(docs[text]))
-    targets = source_targets(sized.select("__source", "__size"))
-    key, null = F.coalesce("__source", F.lit("")), F.col("__source").isNull()
-    targets = targets.select(key.alias("__k"), null.alias("__n"), "__source_size", "__target", "__rate")
-    sized = sized.withColumn("__k", key).withColumn("__n", null)
-    out = sized.join(targets, ["__k", "__n"], "left").drop("__k", "__n", "__source")
-    whole = F.floor("__rate")
-    extra = F.when(draw(F.col("doc_id")) < F.col("__rate") - whole, 1).otherwise(0)
-    return out.withColumn("__copies", F.when(F.col("__size") > 0, whole + extra).otherwise(0).cast("int"))
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
+    key, null = F.coalesce("source", F.lit("")), F.col("source").isNull()
+    sized = docs.select(whole, draw(docs["doc_id"]).alias("draw"), docs[source].alias("source"), words(docs[text]).alias("size"))
+    targets = source_targets(sized.select("source", "size")).select(key.alias("k"), null.alias("none"), "source_size", "target", "rate")
+    out = sized.select("doc", "draw", "size", key.alias("k"), null.alias("none")).join(targets, ["k", "none"], "left")
+    whole_copies = F.floor("rate")
+    extra = F.when(F.col("draw") < F.col("rate") - whole_copies, 1).otherwise(0)
+    return out.select("doc", "size", "source_size", "target", (whole_copies + extra).cast("int").alias("copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's), taken."""
-    narrow = docs.select("doc_id", "text", "source")
-    out = mixed(narrow)
-    return out.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken")
-    )
+    out = mixed(docs.select("doc_id", "text", "source"))
+    return out.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    out = mixed(docs)
-    copies = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return out.filter("__copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("__copy")).drop("__copy")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return mixed(docs).filter("copies > 0").select("doc", copies.alias("copy")).select("doc.*")
 
 
 MIX_SQL = r"""

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.llm import langid, mixing, pii
+from lexspan.llm import bpe, langid, mixing, pii
 
 from .conftest import TEXTS
 
@@ -64,7 +64,13 @@ def test_mix_equals_reference(docs):
     target |= {s: level * weight[s] for s in free}
     for i, t, _, s in rows:
         assert got[i].target == pytest.approx(target[s]) and got[i].source_size == size[s] and got[i].taken <= 2 * got[i].size
-    assert mixing.mix_documents(docs(rows)).count() == sum(r.taken // r.size for r in got.values() if r.size)
+    mixed = mixing.mix_documents(docs(rows).withColumn("rate", F.lit(9)).withColumn("doc", F.lit("x")))
+    assert mixed.columns == [*docs(rows).columns, "rate", "doc"]
+    assert mixed.filter("length(text) > 0").count() == sum(r.taken // r.size for r in got.values() if r.size)
+    rate = target["a"] / size["a"]
+    assert int(rate) <= mixed.filter("doc_id = 900 AND text IS NULL").count() <= int(rate) + 1  # an empty text is repeated like its source
+    twice = docs([(1, "a b", None, "s"), (1, "a b", None, "s"), (None, "c", None, "s")])
+    assert len({r.taken for r in mixing.mix_report(twice).filter("doc_id = 1").collect()}) == 1 and mixing.mix_report(twice).count() == 3
     assert mixing.mix_report(docs(rows).limit(0)).count() == 0
 
 
@@ -86,38 +92,7 @@ def test_languages_held_out(docs):
     assert all(got[i].h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
     assert all(got[i].lang_pred == lang for i, _, lang, _ in rows[:120]) and all(0 <= r.score <= 1 for r in got.values())
     assert [got[500 + i].lang_pred for i in range(3)] == ["und"] * 3 and got[503].lang_pred in WORDS
-    assert langid.identify(frame.limit(0), model).count() == 0 and langid.learn(frame.limit(0))[0] == []
-
-
-def test_code_length_by_brute_force(docs):
-    import math
-
-    import numpy as np
-
-
-    counts = np.zeros(langid.SYMBOLS ** (langid.ORDER + 1), np.int64)
-    text = "banana bandana cabana " * 3
-    code, start, end = langid.contexts([text])
-    np.add.at(counts, code[start[0] : end[0]], 1)
-    table = langid.costs(counts)[:, None]
-    full = counts.reshape((langid.SYMBOLS,) * 4)
-
-    def bits(context, symbol):
-        p, esc = None, 1.0
-        for order in range(3, -1, -1):
-            c = full.sum(axis=tuple(range(3 - order)))[tuple(context[3 - order :])]
-            if c.sum():
-                if c[symbol]:
-                    p = esc * c[symbol] / (c.sum() + (c > 0).sum())
-                    break
-                esc *= (c > 0).sum() / (c.sum() + (c > 0).sum())
-        return -math.log2(p if p else esc / langid.SYMBOLS)
-
-    other = "cab ban zz"
-    sym = [26, 26, 26, *langid._FOLD[np.frombuffer(other.encode(), np.uint8)].tolist()]
-    want = sum(bits(sym[i - 3 : i], sym[i]) for i in range(3, len(sym)))
-    assert langid.code_lengths([other], table)[0, 0] == pytest.approx(want, rel=1e-5)
-
+    assert langid.identify(frame.limit(0), model).count() == 0 and langid.learn(frame.limit(0)) == {}
 
 
 def test_pipeline_stages(docs, spark, tmp_path):
@@ -134,3 +109,35 @@ def test_pipeline_stages(docs, spark, tmp_path):
             frame = spark.read.parquet(str(tmp_path / name))
             seen.append(frame.count())
     assert seen[1] == seen[0] - 1 and seen[3] == seen[2] - 1
+
+
+def test_pipeline_on_no_documents(docs, spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs([(1, "a")]).select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_equals_its_parts_by_brute_force(docs, spark, tmp_path):
+    """Rows through run(): what stays, with which text and how often, from plain Python forms of the stages."""
+    from .test_dedup import brute_components
+    from .test_lines import kept_texts
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, speech(lang, i) + ("\nthe same closing line" if i % 3 else ""), lang, f"s{i % 3}") for i, lang in enumerate(list(WORDS) * 12)]
+    rows += [(300 + i, rows[i][1] + " end", rows[i][2], "s0") for i in range(4)] + [(400, "123 456", None, "s1"), (401, None, None, "s1"), (402, rows[5][1], "de", None)]
+    docs(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("n_tokens").alias("tokens")).collect()
+    left = [r for r in rows if r[0] not in (400, 401)]
+    texts = kept_texts([(r[0], r[1]) for r in left])
+    parts = brute_components(list(texts.items()), 5, 4, 5)
+    stay = [r for r in left if parts[r[0]][1] == r[0]]
+    assert {r.doc_id for r in got} <= {r[0] for r in stay}
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))}
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(r.tokens == len(enc.encode_ordinary(texts[r.doc_id])) for r in got)
+    narrow = docs([(r[0], texts[r[0]], r[2], r[3]) for r in stay])
+    want = {r.doc_id: r.n for r in mixing.mix_documents(narrow).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert {r.doc_id: r.n for r in got} == want and len(want) > 20

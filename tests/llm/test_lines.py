@@ -7,7 +7,17 @@ import pytest
 
 from lexspan.llm import linededup
 
-from .test_dedup import brute_lines
+from .test_dedup import UP, WS, brute_lines
+
+
+def kept_texts(rows):
+    """Each document's text without its repeated lines."""
+    holders = {}
+    key = lambda line: line.strip(WS).translate(UP)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    return {i: "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or min(holders[key(x)]) == i) for i, t in rows}
 
 
 def test_filter_says_when_it_is_full():
