@@ -1,14 +1,16 @@
 """License scans: entire texts are brought to a canonical form, digested and hash-joined to known licence digests.
 
 Canonical form: lower case; copyright notices go, as does "all rights reserved"; every run
-of signs that are neither letters nor digits becomes one blank; equivalent spellings become one of them. So two
-copies of a licence that differ in case, punctuation, holders, line breaks or spelling have equal digests. A notice
+of signs that are neither letters nor digits becomes one blank; a licence's title at the beginning goes; equivalent
+spellings become one of them. So two copies of a licence that differ in case, punctuation, holders, line breaks, title
+or spelling have equal digests. A notice
 ends with its line, at a full stop or where a licence begins; a holder's name that is broken over two lines keeps its second part.
 DataFrame functions only.
 
 Defined results: a null text counts as empty; a text without letters or digits has no words, the digest of the
 empty string, and no licence; repeated rows give repeated rows; when several known licences share a digest, the
-smallest id wins; an empty table gives an empty table; extra columns are left out.
+smallest id wins; a very long text is read whole; an empty table gives an empty table; other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ _NO_HOLDER = (
 )
 _BEGINS = (
     r"(?:permission\s+(?:is|to)\s|redistribution\s+and\s+use|redistributions?\s+of\s|this\s+(?:software|program|library|file|package|work|code|product|project)\s|the\s+software\s+is\s|"
-    r"(?:licen[cs]ed|released|distributed)\s+under|everyone\s+is\s+permitted|you\s+may\s|\S+\s+licen[cs]e\s|all\s+rights\s+reserved)"
+    r"this\s+is\s+free\s|(?:licen[cs]ed|released|distributed)\s+under|everyone\s+is\s+permitted|you\s+may\s|\S+\s+licen[cs]e\s|all\s+rights\s+reserved)"
 )
 #: A copyright notice in lower case, to the end of its line, a full stop (not one of an abbreviation or initial) or the beginning of a licence.
 NOTICE = (
@@ -34,6 +36,11 @@ NOTICE = (
     rf"[^\n]*?(?:(?=\n|\z)|(?=\s+{_BEGINS})|(?<![^\p{{L}}\p{{N}}](?:\p{{L}}|inc|ltd|corp|co|jr|sr|dr|mr|ms|st|al|etc|bros|dept|univ|intl))\.(?=[ \t]))"
 )
 RESERVED = r"all\s+rights\s+reserved\.?"
+#: Titles in canonical form, as the public matching guidelines let them be left out: only at the very beginning.
+TITLE = (
+    r"^(?:the )?(?:(?:mit|expat|isc|x11|zlib|unlicense|boost software|(?:new |simplified |modified |revised )?bsd(?: (?:[0-9]|zero|two|three) clause)?|(?:[0-9]|two|three) clause bsd) licen[cs]e|mit no attribution|bsd zero clause licen[cs]e|unlicense)"
+    r"(?: (?:mit|expat|isc|x11|zlib|0bsd|bsd|bsd [0-9] clause))?(?: version [0-9](?: [0-9])?)?(?: (?:january|february|march|april|may|june|july|august|september|october|november|december) [0-9a-z]+ [0-9]{4})? "
+)
 #: What the SQL drops: any line that begins like a notice, and the closing formula.
 SQL_LINE, SQL_RESERVED = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", r"all rights reserved\.?"
 #: Equivalent spellings, as public licence-matching guidelines list them: fixed values, variant then chosen form.
@@ -81,6 +88,18 @@ KNOWN = {
     '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
     "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
     "conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS,
+    "MIT-0": "MIT No Attribution\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.\n\n" + _AS_IS,
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+    "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\n"
+    "For more information, please refer to <https://unlicense.org>",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
     "arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to "
     "alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not "
@@ -98,7 +117,8 @@ def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(t, F.lit(NOTICE), F.lit(" "))
     t = F.regexp_replace(t, F.lit(RESERVED), F.lit(" "))
-    df = df.withColumn(out, F.trim(F.regexp_replace(t, F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))).drop(text)
+    t = F.trim(F.regexp_replace(t, F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))
+    df = df.withColumn(out, F.regexp_replace(t, F.lit(TITLE), F.lit(""))).drop(text)
     spelled = F.col(out)
     for variant, chosen in SPELLINGS:
         spelled = F.regexp_replace(spelled, F.lit(rf"(?<![^ ]){variant}(?![^ ])"), F.lit(chosen))
@@ -128,6 +148,7 @@ def _sql_canonical(column: str) -> str:
     t = f"regexp_replace(lower(coalesce({column}, '')), '{SQL_LINE}', chr(10), 'g')"
     t = f"regexp_replace({t}, '{SQL_RESERVED}', ' ', 'g')"
     t = f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    t = f"regexp_replace({t}, '{TITLE}', '')"
     out = f"replace(' ' || {t} || ' ', ' ', '  ')"
     for variant, chosen in SPELLINGS:
         out = f"replace({out}, ' {variant.replace(' ', '  ')} ', ' {chosen} ')"
