@@ -1,18 +1,23 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The vocabulary is compiled into a deterministic transducer over bytes. A state stands for what has been read of
-the current pre-token; it knows the last token of that prefix's encoding and how many tokens the encoding has.
-Every transition is annotated with the change in emitted tokens. Transitions are determinised when first taken
-and kept (up to MAX_STATES, then the machine starts anew, so memory is bounded). The encoding of a prefix ends
-in exactly one token t for which the token before it and t are stable side by side, that is: no merge of the
-vocabulary crosses their border. So a new state needs only its ancestors and the vocabulary's merges.
-
-A text is cut into chunks where the pre-token rule always cuts (a blank after a sign that is no white space).
-There the machine is in its start state, so that a chunk's state map is start -> (start, count). The maps compose
-associatively, and a prefix scan over all chunks of a step yields every text's count.
-
-Defined results: null or empty text 0 tokens; equal texts equal counts; extra columns are ignored; the strings of
-added special tokens inside a text count one token each, as the tokenizers library has it by default.
+The vocabulary is compiled into a deterministic transducer over bytes. The encoding of a prefix of a pre-token ends in
+exactly one token t for which the token before it and t are stable side by side, that is: no merge of the vocabulary
+crosses their border. Which tokens can end later on depends only on the longest suffix of what was read that begins
+some token, and, for each place in it, on the last token there and the change of the count. That is the state: there
+are finitely many, since the suffix is a node of the vocabulary's trie and no longer than its longest token. Every
+transition is annotated with the change in emitted tokens. Transitions are determinised when first taken and kept (up
+to MAX_STATES, then the machine starts anew, so memory is bounded).
+
+A long text is cut into chunks anywhere. A chunk's state map sends the state in which it is entered to the state at its
+end and the tokens emitted: a chunk in which a pre-token begins ends in one state whatever its entry, so its map is what
+the bytes before that beginning do, plus a constant. The maps compose associatively; all entries follow from a scan
+over the chunks. A long pre-token is cut into pieces that all run at once from the start state; the true entry of
+each is then followed only until it meets the piece's own run, from where on both agree.
+
+Defined results: null or empty text 0 tokens; equal texts equal counts, also in rows that repeat; the strings of added
+special tokens inside a text count one token each, as the tokenizers library has it by default; very long texts and
+words take time in proportion to their length; an empty table gives an empty table; kept columns stay, and an added one
+whose name is taken gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexspan.llm.bpe import Encoder
-from lexspan.llm.textkit import PairTable, mix, pretokens, span_hashes, steps
+from lexspan.llm.textkit import STEP_CHARS, PairTable, free_names, mix, pretokens, span_hashes, steps
 from lexspan.plans.runtime import ship
 
-MAX_STATES = 1_500_000
-CHUNK_CHARS = 1 << 16
+MAX_STATES = 1_000_000
+#: Characters of a chunk, and around it that decide where pre-tokens begin; bytes of a long pre-token's piece.
+CHUNK_CHARS, AROUND = 1 << 16, 8
+PIECE = 1024
 _B = np.uint64(0x100000001B3)
 _FREE = np.int64(2**40)
 
@@ -79,6 +86,13 @@ class Transducer:
             more = np.flatnonzero(length[whole] > j)
             code[more] = code[more] * _B + data[at[whole[more]] + j].astype(np.uint64) + np.uint64(1)
         self.tokens.put(self._named(code, length[whole]), whole.astype(np.int32))
+        self.prefixes = PairTable(1 << 18)
+        code = np.zeros(len(whole), np.uint64)
+        for j in range(self.longest):
+            more = np.flatnonzero(length[whole] > j)
+            code[more] = code[more] * _B + data[at[whole[more]] + j].astype(np.uint64) + np.uint64(1)
+            names = np.unique(self._named(code[more], j + 1))
+            self.prefixes.put(names, np.ones(len(names), np.int32))
         self.stable = PairTable(1 << 18)
         self.forget()
 
@@ -101,11 +115,14 @@ class Transducer:
             out.append(inner)
 
     def forget(self) -> None:
-        self.next = PairTable(1 << 16)
-        self.known = PairTable(1 << 16)
+        """Drop all states but the start, 0. Of a state's first path: parent, last token, count, bytes and marks so far;
+        reach: the length of the suffix that may begin a token; delta: the annotation of transitions into it."""
+        self.next, self.known, self.windows = PairTable(1 << 16), PairTable(1 << 16), PairTable(1 << 16)
+        self.walked: dict[int, int] = {}
         self.states = 1
-        self.parent, self.last, self.count, self.depth = (np.zeros(1 << 12, np.int32) for _ in range(4))
-        self.code = np.zeros(1 << 12, np.uint64)
+        self.parent, self.last, self.count, self.reach, self.delta = (np.zeros(1 << 12, np.int32) for _ in range(5))
+        self.code, self.marks = (np.zeros(1 << 12, np.uint64) for _ in range(2))
+        self.last[0] = -1
 
     def side_by_side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the tokens a and b stay as they are when they stand side by side."""
@@ -136,115 +153,191 @@ class Transducer:
         return out == 1
 
     def _compile(self, state: np.ndarray, byte: np.ndarray, keys: np.ndarray) -> None:
-        """Add the states that the given transitions lead to."""
-        n, base = len(keys), self.states
-        if base + n > len(self.parent):
-            more = np.zeros(base + n, np.int32)
-            self.parent, self.last, self.count, self.depth = (np.concatenate([x[:base], more]) for x in (self.parent, self.last, self.count, self.depth))
-            self.code = np.concatenate([self.code[:base], np.zeros(base + n, np.uint64)])
-        own = np.arange(base, base + n)
-        self.parent[own], self.depth[own] = state, self.depth[state] + 1
-        self.code[own] = self.code[state] * _B + byte.astype(np.uint64) + np.uint64(1)
-        self.states += n
-        open_, ancestor = own, state.astype(np.int64)
+        """Find the states that the given transitions lead to, and add those that are new."""
+        n = len(keys)
+        code = self.code[state] * _B + byte.astype(np.uint64) + np.uint64(1)
+        last, count, reach = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        anchor, suffix = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        rows, place = np.arange(n), state.astype(np.int64)  # place: where a suffix of `size` bytes begins
         for size in range(1, self.longest + 1):
-            if not len(open_):
+            part = code[rows] - self.code[place] * self.power[size]
+            named = self._named(part, size)
+            begins = self.prefixes.get(named) >= 0
+            reach[rows[begins]], anchor[rows[begins]], suffix[rows[begins]] = size, place[begins], part[begins]
+            token = self.tokens.get(named)
+            fits = np.flatnonzero((token >= 0) & (last[rows] < 0))
+            good = place[fits] == 0
+            inner = np.flatnonzero(~good)
+            good[inner] = self.side_by_side(self.last[place[fits[inner]]].astype(np.int64), token[fits[inner]].astype(np.int64))
+            fits = fits[good]
+            last[rows[fits]], count[rows[fits]] = token[fits], self.count[place[fits]] + 1
+            more = (place > 0) & (size <= self.reach[state[rows]])
+            rows, place = rows[more], self.parent[place[more]].astype(np.int64)
+            if not len(rows):
                 break
-            token = self.tokens.get(self._named(self.code[open_] - self.code[ancestor] * self.power[size], size))
-            fits = np.flatnonzero(token >= 0)
-            inner = fits[ancestor[fits] > 0]
-            good = np.zeros(len(open_), bool)
-            good[fits[ancestor[fits] == 0]] = True
-            good[inner] = self.side_by_side(self.last[ancestor[inner]].astype(np.int64), token[inner].astype(np.int64))
-            self.last[open_[good]] = token[good]
-            self.count[open_[good]] = self.count[ancestor[good]] + 1
-            rest = ~good & (ancestor > 0)
-            open_, ancestor = open_[rest], self.parent[ancestor[rest]].astype(np.int64)
-        self.next.put(keys, own.astype(np.int32))
-
-    def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Emitted tokens of each byte span: all spans advance by one byte at a time."""
-        order = np.argsort(start - end, kind="stable")  # longest first: those still running are a prefix
+        delta = count - self.count[state]
+        marks = self.marks[state] * _B + (last.astype(np.uint64) << np.uint64(8)) + (delta + 128).astype(np.uint64)
+        window = mix(marks - self.marks[anchor] * self.power[reach]) ^ mix(suffix + np.uint64(3)) ^ mix((self.last[anchor] + 2).astype(np.uint64) << np.uint64(8) | reach.astype(np.uint64))
+        unique, first, which = np.unique(window | np.uint64(1), return_index=True, return_inverse=True)
+        to = self.windows.get(unique)
+        new = np.flatnonzero(to < 0)
+        if len(new):
+            base, upto = self.states, self.states + len(new)
+            if upto > len(self.parent):
+                for name in ("parent", "last", "count", "reach", "delta", "code", "marks"):
+                    old = getattr(self, name)
+                    setattr(self, name, np.concatenate([old[:base], np.zeros(upto, old.dtype)]))
+            own, source = np.arange(base, upto), first[new]
+            self.parent[own], self.last[own], self.count[own], self.reach[own] = state[source], last[source], count[source], reach[source]
+            self.delta[own], self.code[own], self.marks[own] = delta[source], code[source], marks[source]
+            self.states = upto
+            to[new] = own
+            self.windows.put(unique[new], own.astype(np.int32))
+        self.next.put(keys, to[which])
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one byte each."""
+        keys = (state.astype(np.uint64) << np.uint64(8) | byte.astype(np.uint64)) + np.uint64(1)
+        to = self.next.get(keys)
+        if (to < 0).any():
+            new, first = np.unique(keys[to < 0], return_index=True)
+            self._compile(state[to < 0][first], byte[to < 0][first], new)
+            to = self.next.get(keys)
+        return to.astype(np.int64)
+
+    def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens emitted, state in the end) of each byte span from its entry state: all advance by one byte at a time."""
+        entry = np.zeros(len(start), np.int64) if entry is None else entry
+        out, exits = np.zeros(len(start), np.int64), entry.copy()
+        for k in np.flatnonzero(end - start > 4 * PIECE):
+            out[k], exits[k] = self.run_long(data[start[k] : end[k]], int(entry[k]))
+        short = np.flatnonzero(end - start <= 4 * PIECE)
+        order = short[np.argsort((start - end)[short], kind="stable")]  # longest first: those still running are a prefix
         at, length = start[order], (end - start)[order]
-        state, emitted = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        state, emitted = entry[order], np.zeros(len(at), np.int64)
         running = len(at)
         for j in range(int(length[0]) if len(length) else 0):
-            while running and length[running - 1] <= j:
-                running = int(np.searchsorted(-length, -j, side="left"))
-            s, b = state[:running], data[at[:running] + j]
-            keys = (s.astype(np.uint64) << np.uint64(8) | b.astype(np.uint64)) + np.uint64(1)
-            to = self.next.get(keys)
-            if (to < 0).any():
-                new, first = np.unique(keys[to < 0], return_index=True)
-                self._compile(s[to < 0][first], b[to < 0][first], new)
-                to = self.next.get(keys)
-            emitted[:running] += self.count[to] - self.count[s]  # the transition's annotation
+            running = int(np.searchsorted(-length, -j, side="left"))
+            to = self.step(state[:running], data[at[:running] + j])
+            emitted[:running] += self.delta[to]
             state[:running] = to
-        out = np.empty(len(at), np.int64)
-        out[order] = emitted
-        return out
+        out[order], exits[order] = emitted, state
+        return out, exits
+
+    def run_long(self, word: np.ndarray, entry: int) -> tuple[int, int]:
+        """(tokens emitted, state in the end) of one long span, by its pieces' state maps."""
+        n = -(-len(word) // PIECE)
+        padded = np.zeros(n * PIECE, np.uint8)
+        padded[: len(word)] = word
+        padded = padded.reshape(n, PIECE)
+        size = np.full(n, PIECE)
+        size[-1] = len(word) - (n - 1) * PIECE
+        states, emitted = np.zeros((n, PIECE + 1), np.int32), np.zeros((n, PIECE + 1), np.int32)
+        for j in range(PIECE):  # from the start state: the images of all entries that have met this run
+            some = slice(0, n if j < size[-1] else n - 1)
+            to = self.step(states[some, j].astype(np.int64), padded[some, j])
+            states[some, j + 1], emitted[some, j + 1] = to, emitted[some, j] + self.delta[to]
+        ends, totals = states[np.arange(n), size], emitted[np.arange(n), size]
+        total, state = 0, entry
+        for k in range(n):
+            count = 0
+            for j in range(size[k]):
+                if state == states[k, j]:
+                    count += int(totals[k] - emitted[k, j])
+                    state = int(ends[k])
+                    break
+                state = self._walk(state, int(padded[k, j]))
+                count += int(self.delta[state])
+            total += count
+        return total, state
+
+    def _walk(self, state: int, byte: int) -> int:
+        key = state << 8 | byte
+        to = self.walked.get(key)
+        if to is None:
+            to = self.walked[key] = int(self.step(np.array([state]), np.array([byte], np.uint8))[0])
+        return to
 
     def count_spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Token counts of pre-tokens; each distinct one runs through the machine once."""
         keys, first, which = np.unique(span_hashes(data, start, end) | np.uint64(1), return_index=True, return_inverse=True)
-        if self.states > MAX_STATES or self.known.size > MAX_STATES:
+        if self.states > MAX_STATES or self.known.size > MAX_STATES or self.next.size > 2 * MAX_STATES or len(self.walked) > MAX_STATES:
             self.forget()
         counts = self.known.get(keys).astype(np.int64)
         new = np.flatnonzero(counts < 0)
         if len(new):
-            counts[new] = self.run(data, start[first[new]], end[first[new]])
+            counts[new] = self.run(data, start[first[new]], end[first[new]])[0]
             self.known.put(keys[new], counts[new].astype(np.int32))
         return counts[which]
 
+    def chunk_maps(self, text: str) -> Iterator[tuple[bytes, bool, int, bytes]]:
+        """The state map of each chunk: (bytes before a pre-token begins, whether one does, tokens of the pre-tokens that
+        begin and end in the chunk, bytes of the last one that begins)."""
+        for low in range(0, len(text), CHUNK_CHARS):
+            chunk, before = text[low : low + CHUNK_CHARS], text[max(0, low - AROUND) : low]
+            after = text[low + CHUNK_CHARS : low + CHUNK_CHARS + AROUND]
+            data, begin, _, _ = pretokens([before + chunk + after])
+            first = len(before.encode("utf-8", "surrogatepass"))
+            stop = first + len(chunk.encode("utf-8", "surrogatepass"))
+            begin = begin[(begin >= first) & (begin < stop)]
+            if not len(begin):
+                yield data[first:stop].tobytes(), False, 0, b""
+                continue
+            inner = int(self.count_spans(data, begin[:-1], begin[1:]).sum()) if len(begin) > 1 else 0
+            yield data[first : begin[0]].tobytes(), True, inner, data[begin[-1] : stop].tobytes()
+
+    def count_long(self, text: str) -> int:
+        """Tokens of a text of several chunks: the composition of their state maps, from the start state."""
+        maps = list(self.chunk_maps(text))
+        closed = np.array([m[1] for m in maps])
+
+        def run_all(parts: list[bytes], entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            end = np.cumsum([len(p) for p in parts], dtype=np.int64)
+            start = end - np.array([len(p) for p in parts], np.int64)
+            return self.run(np.frombuffer(b"".join(parts), np.uint8), start, end, entry)
+
+        total, exits = run_all([m[3] for m in maps])
+        total = int(total.sum()) + sum(m[2] for m in maps)
+        # The chunk before each one fixes its entry, unless no pre-token begins there: then the scan goes on through it.
+        known = np.flatnonzero(closed[:-1]) + 1
+        heads, through = run_all([maps[k][0] for k in known], exits[known - 1])
+        total += int(heads.sum())
+        exits[known] = np.where(closed[known], exits[known], through)
+        for k in np.flatnonzero(~closed[:-1]) + 1:
+            n, state = run_all([maps[k][0]], exits[k - 1 : k])
+            total += int(n[0])
+            if not closed[k]:
+                exits[k] = state[0]
+        return total
+
     def count_texts(self, texts: list[str], special: tuple[str, ...] = ()) -> np.ndarray:
         """Token counts of whole texts."""
-        extra = np.zeros(len(texts), np.int64)
-        chunks: list[str] = []
+        out = np.zeros(len(texts), np.int64)
+        pieces: list[str] = []
         owners: list[int] = []
         for i, text in enumerate(texts):
-            pieces = [text]
+            parts = [text]
             for s in special:
                 if s in text:
-                    extra[i] += text.count(s)
-                    pieces = [part for piece in pieces for part in piece.split(s)]
-            for piece in pieces:
-                for chunk in cut_chunks(piece):
-                    chunks.append(chunk)
+                    out[i] += text.count(s)
+                    parts = [part for piece in parts for part in piece.split(s)]
+            for part in parts:
+                if len(part) > CHUNK_CHARS:
+                    out[i] += self.count_long(part)
+                else:
+                    pieces.append(part)
                     owners.append(i)
-        scan, chunk_of = np.zeros(len(chunks) + 1, np.int64), np.array(owners, np.int64)
-        maps = np.zeros(len(chunks), np.int64)  # each chunk's state map: start -> (start, this count)
         low = 0
-        while low < len(chunks):
+        while low < len(pieces):
             high, size = low, 0
-            while high < len(chunks) and (high == low or size + len(chunks[high]) <= 3_000_000):
-                size += len(chunks[high])
+            while high < len(pieces) and (high == low or size + len(pieces[high]) <= STEP_CHARS):
+                size += len(pieces[high])
                 high += 1
-            data, start, end, owner = pretokens(chunks[low:high])
+            data, start, end, owner = pretokens(pieces[low:high])
             if len(start):
-                maps[low:high] = np.bincount(owner, weights=self.count_spans(data, start, end), minlength=high - low).astype(np.int64)
+                np.add.at(out, np.array(owners[low:high])[owner], self.count_spans(data, start, end))
             low = high
-        np.cumsum(maps, out=scan[1:])  # composition of the maps up to each chunk
-        bounds = np.searchsorted(chunk_of, np.arange(len(texts) + 1))
-        return scan[bounds[1:]] - scan[bounds[:-1]] + extra
-
-
-def cut_chunks(text: str) -> list[str]:
-    """Cut a text where a pre-token always begins: at a blank that follows a sign which is no white space."""
-    if len(text) <= CHUNK_CHARS:
-        return [text]
-    out, low = [], 0
-    while len(text) - low > CHUNK_CHARS:
-        cut = low + CHUNK_CHARS
-        while True:
-            cut = text.find(" ", cut)
-            if cut < 0 or not text[cut - 1].isspace():
-                break
-            cut += 1
-        if cut < 0:
-            break
-        out.append(text[low:cut])
-        low = cut
-    return [*out, text[low:]]
+        return out
 
 
 _machines: dict[str, Transducer] = {}
@@ -256,7 +349,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, keep: l
     ship(spark)
     keep = keep or ["doc_id"]
     shared = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
-    kept = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    body, *added = free_names(keep, "text", "n_bytes", "n_tokens", "over_limit")
+    kept = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
     fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +359,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, keep: l
             _machines.clear()
             _machines[tokenizer_path] = Transducer(tokens, merges)
         machine = _machines[tokenizer_path]
-        for batch, texts in steps(batches, "__text"):
+        for batch, texts in steps(batches, body):
             n = machine.count_texts(texts, special)
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], [*keep, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], [*keep, *added])
 
-    return kept.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return kept.mapInArrow(run, f"{fields}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` boolean")
