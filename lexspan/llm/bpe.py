@@ -2,11 +2,16 @@
 
 All distinct pre-tokens of a step become rows of padded numpy matrices, one matrix per length bucket. In each
 round every row merges its leftmost pair of minimum rank: ranks come from a hashed pair table, and the row is
-compacted by one column. Rows that have no pair left leave the matrix. Rows longer than LONG merge all disjoint
-repeats of that pair in one round, unless a merge gives a pair of still lower rank; then only the leftmost one.
+compacted by one column. Rows that have no pair left leave the matrix.
 
-Defined results: a null or empty text has no tokens and decodes to no bytes; equal texts have equal ids; extra
-columns are ignored; an empty table gives an empty table.
+A pre-token of more than LONG bytes is cut into several rows. A sequence of tokens is the encoding of its bytes if each
+two neighbours are, on their own, the encoding of their bytes; so where two rows meet, this is tested, and where it
+fails, the bytes around are encoded again as one row, until all neighbours agree. That takes time in proportion to the
+pre-token's length. Only if such a row would exceed LONG bytes, the pre-token is merged as one (see _whole).
+
+Defined results: a null or empty text has no tokens and decodes to no bytes; equal texts have equal ids, also in rows
+that repeat; very long texts are encoded whole, one at a time; an empty table gives an empty table; kept columns stay,
+and an added one whose name is taken gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexspan.llm.textkit import PairTable, pretokens, ranges, span_hashes, steps
+from lexspan.llm.textkit import PairTable, free_names, pretokens, ranges, span_hashes, steps
 from lexspan.plans.runtime import ship
 
 NO_RANK = np.int32(2**31 - 1)
-#: Rows of more bytes than this merge all repeats of a pair in one round.
-LONG = 256
+#: Bytes of the longest row of a matrix, of the rows that longer pre-tokens are cut into, and tokens encoded anew on
+#: each side of a border that does not hold, at first.
+LONG, CUT, BESIDE = 256, 160, 3
 #: Distinct pre-tokens that a worker remembers; beyond it starts anew.
 CACHE_ENTRIES = 600_000
 
@@ -62,7 +68,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = PairTable(1 << 16)
+        self.known, self.stable = PairTable(1 << 16), PairTable(1 << 16)
         self.store, self.used = np.empty(1 << 16, np.int32), 0
         self.at = self.length = np.empty(0, np.int64)
 
@@ -110,8 +116,57 @@ class Encoder:
             done[live, m.shape[1] :] = -1
         return done[done >= 0], (done >= 0).sum(axis=1)
 
-    def _long(self, row: np.ndarray) -> np.ndarray:
-        """One long row: all disjoint repeats of the pair of minimum rank merge in a round."""
+    def side_by_side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the bytes of tokens a and b are encoded as these two tokens."""
+        keys = (a.astype(np.uint64) + np.uint64(1)) << np.uint64(32) | (b.astype(np.uint64) + np.uint64(1))
+        out = self.stable.get(keys)
+        if (out < 0).any():
+            new, first = np.unique(keys[out < 0], return_index=True)
+            two = np.stack([a[out < 0][first], b[out < 0][first]], axis=1).astype(np.int64)
+            size = self.token_len[two].sum(axis=1)
+            end = np.cumsum(size)
+            flat, at, n = self.encode_distinct(self.decode(two.ravel()), end - size, end)
+            self.stable.put(new, ((n == 2) & (flat[at] == two[:, 0])).astype(np.int32))
+            out = self.stable.get(keys)
+        return out == 1
+
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """One long pre-token by several rows; see the module."""
+        cut = np.append(np.arange(0, len(raw), CUT), len(raw))
+        ids, _, _ = self._rows(raw, cut[:-1], cut[1:])
+        start = np.cumsum(self.token_len[ids]) - self.token_len[ids]
+        borders, beside = cut[1:-1], BESIDE
+        while len(borders):
+            at = np.searchsorted(start, borders)
+            at = at[~self.side_by_side(ids[at - 1], ids[at])]
+            if not len(at):
+                break
+            low, high = np.maximum(at - beside, 0), np.minimum(at + beside, len(ids))  # in tokens
+            apart = np.append(True, low[1:] > np.maximum.accumulate(high)[:-1])
+            low, high = low[apart], np.append(np.maximum.accumulate(high)[np.flatnonzero(apart)[1:] - 1], high.max())
+            ends = np.append(start, len(raw))
+            a, b = start[low], ends[high]
+            if (b - a).max() > LONG:
+                return self._whole(self.byte_ids[raw])
+            new, _, n = self._rows(raw, a, b)
+            inside = np.zeros(len(ids), bool)
+            inside[ranges(low, high - low)] = True
+            place = np.repeat(a, n) + (np.cumsum(self.token_len[new]) - self.token_len[new]) - np.repeat(np.cumsum(b - a) - (b - a), n)
+            ids, start = np.concatenate([ids[~inside], new]), np.concatenate([start[~inside], place])
+            order = np.argsort(start, kind="stable")
+            ids, start = ids[order], start[order]
+            borders = np.unique(np.concatenate([a, b]))
+            borders, beside = borders[(borders > 0) & (borders < len(raw))], beside * 2
+        return ids
+
+    def _rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """encode_distinct with the ids in the order of the spans."""
+        flat, at, n = self.encode_distinct(data, start, end)
+        return flat[ranges(at, n)], np.cumsum(n) - n, n
+
+    def _whole(self, row: np.ndarray) -> np.ndarray:
+        """One row of any length: all disjoint repeats of the pair of minimum rank merge in a round, unless that gives a pair
+        of still lower rank; then only the leftmost one."""
         while len(row) > 1:
             r = self.ranks(row[:-1], row[1:])
             best = r.min()
@@ -150,7 +205,7 @@ class Encoder:
                 parts.append(flat)
                 used += len(flat)
         for i in np.flatnonzero(length > LONG):
-            flat = self._long(self.byte_ids[data[start[i] : end[i]]])
+            flat = self._long(data[start[i] : end[i]])
             at[i], count[i] = used, len(flat)
             parts.append(flat)
             used += len(flat)
@@ -211,13 +266,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, keep: list[str] | None = None,
     ship(spark)
     keep = keep or ["doc_id"]
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    kept = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    body, *added = free_names(keep, "text", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids)
+    kept = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
+    fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join(fields + [f"`{c}` {kind}" for c, kind in zip(added, ["long", "string", "string", "array<int>"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
-        for batch, texts in steps(batches, "__text"):
+        for batch, texts in steps(batches, body):
             flat, bounds = encoder.encode(texts)
             wide = flat.astype("<u4")
             raw = encoder.decode(flat)
@@ -225,10 +281,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, keep: list[str] | None = None,
             digest = [hashlib.sha256(wide[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]
             back = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(cut[:-1], cut[1:])]
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(np.diff(bounds)), pa.array(digest), pa.array(back)]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *added])
 
     return kept.mapInArrow(run, schema)

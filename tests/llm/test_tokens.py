@@ -59,3 +59,44 @@ def test_operators(docs, spark):
         n = len(COUNTER.encode(t, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512)
     assert bpe.bpe_encode(frame.limit(0), RANKS).count() == 0 and tokfst.count_tokens(frame.limit(0), JSON).count() == 0
+
+
+def random_words():
+    rng = np.random.default_rng(9)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "ab", "aA1", "eé日", "0123456789abcdef", "theandof", "=-"]
+    return ["".join(rng.choice(list(a), n)) for a in letters for n in (257, 700, 3000)] + ["the" * 400, "a" * 1003, "ab" * 600 + "c" * 600]
+
+
+def test_long_words_by_rows_equal_library():
+    texts = random_words()
+    flat, bounds = ENCODER.encode(texts)
+    for i, t in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == LIBRARY.encode_ordinary(t), t[:40]
+        assert ENCODER._whole(ENCODER.byte_ids[np.frombuffer(t.encode(), np.uint8)]).tolist() == LIBRARY.encode_ordinary(t) or " " in t or any(c.isdigit() for c in t) or "-" in t
+
+
+def test_chunks_and_pieces_cut_anywhere(monkeypatch):
+    texts = [*random_words(), *ODD[:-1], "don't stop 'll  \n\n x" * 30, "é" * 90 + " " * 90 + "日本" * 90 + "'re"]
+    want = [len(COUNTER.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk, piece in ((1 << 16, 1024), (61, 8), (9, 3), (1, 1024)):
+        monkeypatch.setattr(tokfst, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(tokfst, "PIECE", piece)
+        MACHINE.forget()
+        assert MACHINE.count_texts(texts, ("<|endoftext|>",)).tolist() == want
+    assert MACHINE.states < 1.2 * sum(len(t.encode()) for t in texts)
+
+
+def test_long_texts_repeats_and_clashing_names(docs):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    long = " ".join("".join(rng.choice(list("abcdefgh'"), 5)) for _ in range(400_000)) + " " + "".join(rng.choice(list("abc"), 50_000))
+    rows = [(1, long), (2, "a b"), (2, "a b"), (None, "a b")]
+    frame = docs(rows).withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("__text", F.lit(2))
+    keep = ["doc_id", "n_tokens", "ids", "__text"]
+    counted, coded = tokfst.count_tokens(frame, JSON, keep=keep), bpe.bpe_encode(frame, RANKS, keep=keep)
+    assert counted.columns == [*keep, "n_bytes", "n_tokens_", "over_limit"] and coded.columns == [*keep, "n_tokens_", "ids_sha256", "decoded_sha256", "ids_"]
+    ids = LIBRARY.encode_ordinary(long)
+    assert sorted((r.doc_id or 0, r.n_tokens_) for r in counted.collect()) == [(0, 2), (1, len(ids)), (2, 2), (2, 2)]
+    assert {r.ids_sha256 for r in coded.filter("doc_id = 1").collect()} == {hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()}
+    assert len({r.ids_sha256 for r in coded.filter("coalesce(doc_id, 2) = 2").collect()}) == 1
