@@ -212,7 +212,7 @@ class ListReader:
         return pivot[b][out], x[out], size[out]
 
 
-def members(rows: DataFrame, num: int, den: int) -> DataFrame:
+def members(rows: DataFrame, num: int, den: int, any_hot: bool) -> DataFrame:
     """(p, x, n): set x of size n belongs to the ball of pivot p, by some list; distinct."""
     dealt = rows.filter("NOT hot").repartition("token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "pos")
 
@@ -248,6 +248,8 @@ def members(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield flush()
 
     cold = dealt.mapInArrow(run, "p long, x long, n long")
+    if not any_hot:
+        return cold.distinct()
     # A list that is too long for a task: sizes fall into levels, links join equal or neighbouring ones.
     level = F.floor(F.log("n") / F.lit(1.001 * math.log(den / num))).cast("int")
     hot = rows.filter("hot").select("token", "node", "n", F.explode(F.array(level, level + 1)).alias("level"))
@@ -445,7 +447,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     if copies.count() <= BROADCAST_NODES:
         copies = F.broadcast(copies)
     distinct = docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    found = scratch.put(members(prefixes(distinct, width, num, den, common), num, den), "members")
+    found = scratch.put(members(prefixes(distinct, width, num, den, common), num, den, bool((common[1] >= HOT).any())), "members")
     sent = scratch.put(routes(found), "routes")
     if sent.count() <= BROADCAST_NODES:
         sent = F.broadcast(sent)
