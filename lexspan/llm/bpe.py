@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexspan.llm.textkit import PairTable, free_names, pretokens, ranges, span_hashes, steps
+from lexspan.llm.textkit import PairTable, free_names, held, pretokens, ranges, span_hashes, steps
 from lexspan.plans.runtime import ship
 
 NO_RANK = np.int32(2**31 - 1)
@@ -33,7 +33,7 @@ NO_RANK = np.int32(2**31 - 1)
 #: each side of a border that does not hold, at first.
 LONG, CUT, BESIDE = 256, 160, 3
 #: Distinct pre-tokens that a worker remembers; beyond it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 
 
 @lru_cache(maxsize=4)
@@ -242,19 +242,6 @@ class Encoder:
         return self.token_bytes[ranges(self.token_at[ids], self.token_len[ids])]
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def encoder_of(shared) -> Encoder:
-    """The worker's encoder for a broadcast vocabulary."""
-    tokens = shared.value
-    key = hash(tokens[256:300] + tokens[-50:])
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(tokens)
-    return _encoders[key]
-
-
 def bpe_encode(docs: DataFrame, ranks_path: str, keep: list[str] | None = None, text: str = "text", ids: bool = True) -> DataFrame:
     """Encode every whole text; keep names the columns that stay (doc_id by default).
 
@@ -272,7 +259,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, keep: list[str] | None = None,
     schema = ", ".join(fields + [f"`{c}` {kind}" for c, kind in zip(added, ["long", "string", "string", "array<int>"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared)
+        encoder = held("bpe " + ranks_path, lambda: Encoder(shared.value))
         for batch, texts in steps(batches, body):
             flat, bounds = encoder.encode(texts)
             wide = flat.astype("<u4")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.textkit import PairTable, free_names, steps
+from lexspan.llm.textkit import PairTable, free_names, held, steps
 from lexspan.plans.runtime import ship
 
 ORDER, SAMPLE_DOCS = 4, 1000
@@ -38,7 +38,7 @@ PLAIN_BITS = 8.0
 SCORE_BYTES = 64
 PAD = b" " * ORDER
 #: Bytes of text that are coded at once, and distinct strings whose costs a worker remembers.
-STEP_BYTES, REMEMBERED = 1 << 20, 1_000_000
+STEP_BYTES, REMEMBERED = 1 << 19, 500_000
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -188,9 +188,6 @@ class Coder:
         return out
 
 
-_coders: dict[str, Coder] = {}
-
-
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Add lang_pred, score and bits_per_byte (of the best code) to every document; a narrow operator."""
     spark = docs.sparkSession
@@ -203,10 +200,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
     fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _coders:
-            _coders.clear()
-            _coders[name] = Coder(shared.value)
-        coder = _coders[name]
+        coder = held(name, lambda: Coder(shared.value))
         for batch, texts in steps(batches, body):
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
             n = np.array([len(r) for r in raw])

@@ -280,7 +280,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, text: str = "te
     narrow = docs.select(docs["doc_id"], docs[text].alias("text"))
     lines = materialize(keyed_lines(narrow))
     index = index or build_index(narrow, lines)
-    lost = materialize(repeated_lines(index, lines))
+    lost = repeated_lines(index, lines)
     n_lines, n_dropped, id_, row, places, split, kept = free_names(docs.columns, "n_lines", "n_dropped", "id", "row", "places", "lines", "kept")
     per = lost.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.collect_list("pos").alias(places))
     t = F.coalesce(docs[text], F.lit(""))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ STEP_CHARS = 400_000
 KEPT_POWERS = 1 << 20
 
 _U64 = np.uint64
+T = TypeVar("T")
 _P = _U64(0x9E3779B97F4A7C15)
 _P_INV = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -48,6 +51,28 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tup
             size += len(t)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+    batch = texts = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return the memory that a task freed to the system: workers stay for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps what it freed
+        pass
+
+
+_held: dict[str, Any] = {}
+
+
+def held(name: str, build: Callable[[], T]) -> T:
+    """What a worker keeps between tasks, made when first asked for; the one thing of another name goes."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
 
 
 def free_names(taken: Iterable[str], *names: str) -> list[str]:

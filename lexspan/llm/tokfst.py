@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexspan.llm.bpe import Encoder
-from lexspan.llm.textkit import STEP_CHARS, PairTable, free_names, mix, pretokens, span_hashes, steps
+from lexspan.llm.textkit import STEP_CHARS, PairTable, free_names, held, mix, pretokens, span_hashes, steps
 from lexspan.plans.runtime import ship
 
-MAX_STATES = 1_000_000
+MAX_STATES = 600_000
 #: Characters of a chunk, and around it that decide where pre-tokens begin; bytes of a long pre-token's piece.
 CHUNK_CHARS, AROUND = 1 << 16, 8
 PIECE = 1024
@@ -340,9 +340,6 @@ class Transducer:
         return out
 
 
-_machines: dict[str, Transducer] = {}
-
-
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) to every document; a narrow operator."""
     spark = docs.sparkSession
@@ -355,10 +352,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, keep: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, merges, special = shared.value
-        if tokenizer_path not in _machines:
-            _machines.clear()
-            _machines[tokenizer_path] = Transducer(tokens, merges)
-        machine = _machines[tokenizer_path]
+        machine = held("fst " + tokenizer_path, lambda: Transducer(tokens, merges))
         for batch, texts in steps(batches, body):
             n = machine.count_texts(texts, special)
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
