@@ -125,7 +125,8 @@ def keyed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, row, pos, k1, k2) of every line that is long enough: row tells texts of one doc_id apart, pos is the
     line's place in the text, k1 and k2 are the 128-bit digest of its key."""
     t = F.coalesce(docs[text], F.lit(""))
-    lines = docs.select(docs["doc_id"], F.xxhash64(t).alias("row"), F.posexplode(F.transform(F.split(t, "\n", -1), line_key)).alias("pos", "k"))
+    # Not posexplode: the filter on empty arrays that comes with it would split and key every text twice.
+    lines = docs.select(docs["doc_id"], F.xxhash64(t).alias("row"), F.posexplode_outer(F.transform(F.split(t, "\n", -1), line_key)).alias("pos", "k"))
     lines = lines.filter((F.length("k") >= MIN_CHARS) & F.col("doc_id").isNotNull())
     return lines.select("doc_id", "row", "pos", *_digest("k"))
 
