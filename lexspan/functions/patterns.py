@@ -7,8 +7,8 @@ boundaries and case Unicode-aware; END stands for "the end, or before one final
 UF_CODES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
 COURTS = ["STF", "STJ", "TSE", "TST", "STM"]
 UF = "(?:" + "|".join(UF_CODES) + ")"
-HS = r"[ \t ]"
-LS = r"[ \t\r\n ]"
+HS = r"[ \t\u00A0]"
+LS = r"[ \t\r\n\u00A0]"
 END = r"(?=\n?\z)"
 BREAK_OR_END = r"(?=\z|[^\w])"
 LETTER = "A-Za-zÀ-ÿ"
@@ -47,15 +47,15 @@ LEFT_DIPLOMA = (
 COURT_CONTEXT = r"(?iU)\b(?:STF|STJ|TSE|TST|STM)\b[^\n]{0,100}\b(?:20\d{2}|Relator|Relatora)\b"
 UF_SUFFIX = rf"(?:{HS}*(?:[-/]\s*|\(\s*|{HS}+){UF}(?:\s*\))?)?"
 UF_SUFFIX_HS = rf"(?:{HS}*(?:[-/]{HS}*|\({HS}*|{HS}+){UF}(?:{HS}*\))?)?"
-OTHER_PROCESS = rf"(?iU)\b(?:RHC|RMS|AR)\s*(?:n[ºo.]?\s*)?{HS}*(?:\n{HS}*)?\d[\d.\-/ \t ]*\d{UF_SUFFIX}{BREAK_OR_END}"
+OTHER_PROCESS = rf"(?iU)\b(?:RHC|RMS|AR)\s*(?:n[ºo.]?\s*)?{HS}*(?:\n{HS}*)?\d[\d.\-/ \t\u00A0]*\d{UF_SUFFIX}{BREAK_OR_END}"
 DOTTED_CLASS = (
     rf"(?iU)\b(?:(?:AgInt|AgRg|EDcl|ED){HS}+(?:no|nos|na|nas){HS}+)*(?:Rec{HS}*[.]{HS}*Esp{HS}*[.]|H{HS}*[.]{HS}*C{HS}*[.]){HS}*"
-    rf"n(?:[º°.]|o)?{HS}*(?:\n{HS}*)?\d(?:[\d.\-/ \t ]*\d)?{UF_SUFFIX_HS}\b"
+    rf"n(?:[º°.]|o)?{HS}*(?:\n{HS}*)?\d(?:[\d.\-/ \t\u00A0]*\d)?{UF_SUFFIX_HS}\b"
 )
-STANDALONE_MODIFIER = rf"(?iU)\b(?:AgInt|AgRg|EDcl|ED)\s+n(?:[º°.]|o)?{HS}+(\d[\d.\-/ \t ]*\d){UF_SUFFIX}{BREAK_OR_END}"
+STANDALONE_MODIFIER = rf"(?iU)\b(?:AgInt|AgRg|EDcl|ED)\s+n(?:[º°.]|o)?{HS}+(\d[\d.\-/ \t\u00A0]*\d){UF_SUFFIX}{BREAK_OR_END}"
 COMPOUND_TITLE = (
     rf"(?iU)\bAgravo{LS}+Interno{LS}+n(?:a|o){LS}+Suspens[aã]o{LS}+de{LS}+(?:Liminar(?:{LS}+e{LS}+de{LS}+Senten[cç]a|)|Seguran[cç]a){LS}*"
-    rf"n(?:[º°.]|o)?{LS}*(?:\n{HS}*)?\d[\d.\-/ \t ]*\d{UF_SUFFIX}{BREAK_OR_END}"
+    rf"n(?:[º°.]|o)?{LS}*(?:\n{HS}*)?\d[\d.\-/ \t\u00A0]*\d{UF_SUFFIX}{BREAK_OR_END}"
 )
 DECISION = r"(?iU)\b(?:Agravo\s+em\s+Recurso\s+Especial|Agravo\s+em\s+REsp|Recurso\s+em\s+Habeas\s+Corpus|RHC|Reclamação|Rcl|acórdão|julgado|precedente)\b"
 DECISION_COURT = (
@@ -88,7 +88,7 @@ COMPOUND_CHAIN = rf"(?iU)(?<![A-Za-z0-9À-ÿ]-)(?<!\w){CHAIN}-{CHAIN_NUMBER}(?!\
 
 # --- detection: what may stand beside a span -----------------------------------------------------------------------
 PROCESS_UF_TAIL = rf"(?U)\A{HS}*(?:[-/]{HS}*|\({HS}*|{HS}+){UF}(?:{HS}*\))?\b"
-OCR_TAIL = rf"(?iU)\A([OIlS]\d(?:[\d.\-/ \t OIlS]*\d)?{UF_SUFFIX_HS})\b"
+OCR_TAIL = rf"(?iU)\A([OIlS]\d(?:[\d.\-/ \t\u00A0OIlS]*\d)?{UF_SUFFIX_HS})\b"
 CNJ_PREFIX = (
     rf"(?iU)(?<!\w)(?:Recurso{HS}+Especial{HS}+Eleitoral|Agravo{HS}+Regimental{HS}+no{HS}+Agravo{HS}+de{HS}+Instrumento)"
     rf"{HS}+n(?:[º°.]|o)?{HS}*{END}"
@@ -133,7 +133,7 @@ NUMBERED_CASE = (
     rf"(?iU)((?:(?:AgInt|AgRg|EDcl|ED)\s+(?:no|n[oº.]+)\s+)?(?:{CLASSES}|{CLASS_NAMES}))\s*(?:n[ºo.]?\s*)?(\d[\d.\-/ ]{{2,}}\d)(?:\s*[-/]\s*[A-Z]{{2}})?"
 )
 RECURSO_CLASS = r"(?iU)(?:AREsp|REsp|Rec[.]?\s*Esp[.]?|Recurso\s+Especial)"
-MARKER_SAME_LINE = rf"(?iU)(?<![A-Za-z])n(?:o|[º°.]|o)?{HS}*(\d(?:[\d.\-/ \t ]*\d)?)"
+MARKER_SAME_LINE = rf"(?iU)(?<![A-Za-z])n(?:o|[º°.]|o)?{HS}*(\d(?:[\d.\-/ \t\u00A0]*\d)?)"
 MARKER_ANY_LINE = r"(?iU)(?<![A-Za-z])n(?:o|[º°.]|o)?\s*(\d(?:[\d.\-/ \n]*\d)?)"
 MARKER_BROKEN = rf"\A[.\-]*{HS}*\n"
 #: Group 1 raw tail, group 2 state.
@@ -177,18 +177,20 @@ TST_PREFIX = rf"(?U)(?:TST\s*-\s*)?({CLASS_BLOCK}(?:\s*-\s*{CLASS_BLOCK})*)\s*-\
 
 # --- diplomas ------------------------------------------------------------------------------------------------------------
 NAMESPACES = ["CE", "CPM", "CDC", "CF", "CLT", "CPP", "CC", "LC:64:1990", "CPC", "LEI:9504:1997", "LEI:13467:2017"]
+#: Names of diplomas as fold() gives them: fixed values.
 SAFE_ALIASES = {
-    "CF": ["Constituição Federal", "Constituição da República", "Constituição da República Federativa do Brasil"],
-    "CLT": ["CLT", "Consolidação das Leis do Trabalho"],
-    "CPC": ["CPC", "Código de Processo Civil", "Código de Processo Civil de 2015", "Lei nº 13.105/2015", "Lei n. 13.105/2015"],
-    "CPP": ["CPP", "Código de Processo Penal"],
-    "CPM": ["CPM", "Código Penal Militar"],
-    "CC": ["Código Civil"],
-    "CDC": ["CDC", "Código de Defesa do Consumidor"],
-    "CE": ["Código Eleitoral", "Lei nº 4.737/1965", "Lei n. 4.737/1965"],
-    "LC:64:1990": ["Lei Complementar nº 64/1990", "Lei Complementar n. 64/1990", "LC nº 64/1990", "LC 64/1990"],
-}
-GUARDED_ALIASES = {"CF": ["CF", "CF/88"], "CC": ["CC"], "CE": ["CE"]}
+    "CONSTITUICAO FEDERAL": "CF", "CONSTITUICAO DA REPUBLICA": "CF", "CONSTITUICAO DA REPUBLICA FEDERATIVA DO BRASIL": "CF", "CLT": "CLT",
+    "CONSOLIDACAO DAS LEIS DO TRABALHO": "CLT", "CPC": "CPC", "CODIGO DE PROCESSO CIVIL": "CPC", "CODIGO DE PROCESSO CIVIL DE 2015": "CPC",
+    "LEI N 13.105/2015": "CPC", "CPP": "CPP", "CODIGO DE PROCESSO PENAL": "CPP", "CPM": "CPM", "CODIGO PENAL MILITAR": "CPM", "CODIGO CIVIL": "CC",
+    "CDC": "CDC", "CODIGO DE DEFESA DO CONSUMIDOR": "CDC", "CODIGO ELEITORAL": "CE", "LEI N 4.737/1965": "CE", "LEI COMPLEMENTAR N 64/1990": "LC:64:1990",
+    "LC N 64/1990": "LC:64:1990", "LC 64/1990": "LC:64:1990",
+}
+#: The full names among them in which one damaged letter is repaired.
+LONG_NAMES = [
+    "CONSTITUICAO FEDERAL", "CONSTITUICAO DA REPUBLICA", "CONSTITUICAO DA REPUBLICA FEDERATIVA DO BRASIL", "CONSOLIDACAO DAS LEIS DO TRABALHO",
+    "CODIGO DE PROCESSO CIVIL", "CODIGO DE PROCESSO PENAL", "CODIGO PENAL MILITAR", "CODIGO DE DEFESA DO CONSUMIDOR", "CODIGO ELEITORAL",
+]
+GUARDED_ALIASES = {"CF": "CF", "CF/88": "CF", "CC": "CC", "CE": "CE"}
 STATUTES = {
     "LEI:13105:2015": "CPC", "LEI:4737:1965": "CE", "LC:64:1990": "LC:64:1990", "LEI:5452:1943": "CLT", "LEI:3689:1941": "CPP",
     "LEI:1001:1969": "CPM", "LEI:8078:1990": "CDC", "LEI:10406:2002": "CC",

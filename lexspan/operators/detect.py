@@ -176,8 +176,19 @@ def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates")
     return df.withColumn(out, F.filter(c, new)).drop("__text", "__c", "__d", "__h")
 
 
-def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per candidate: the kept columns, start, end, text, rule, family."""
+def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, around: int | None = None) -> DataFrame:
+    """One row per candidate: the kept columns, start, end, text, rule, family.
+
+    around adds the text around CNJ numbers, so many code points on each side (what later steps read there), as context,
+    and the candidate's place in it, at; both are null for other candidates.
+    """
     keep = keep or ["documento_id"]
-    found = detect_arrays(docs, text).select(*keep, F.explode("candidates").alias("x"))
-    return found.select(*keep, "x.start", "x.end", "x.text", "x.rule", "x.family")
+    found = detect_arrays(docs, text)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # Not explode: the filter on empty arrays that comes with it would run all of detection a second time.
+    found = found.select(*keep, *[whole.alias("whole")] * (around is not None), F.explode_outer("candidates").alias("x")).filter("x IS NOT NULL")
+    columns = [*keep, "x.start", "x.end", "x.text", "x.rule", "x.family"]
+    if around is not None:
+        number = F.col("x.family") == "processo_cnj"
+        columns += [F.when(number, cut(F.col("whole"), F.col("x.start") - around, F.col("x.end") + around)).alias("context"), F.when(number, F.least(F.col("x.start"), F.lit(around))).alias("at")]
+    return found.select(*columns)

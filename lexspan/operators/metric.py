@@ -31,7 +31,7 @@ def span_iou(a: str, b: str) -> Column:
 def _blocks(frame: DataFrame, doc: str) -> DataFrame:
     cell = F.trim(F.coalesce(F.col("citacoes"), F.lit("")))
     blocks = F.when(cell.isin("", "-"), F.array().cast("array<string>")).otherwise(F.split(cell, r"\|"))
-    each = frame.select(doc, F.posexplode(blocks).alias("pos", "block")).filter("trim(block) <> ''")
+    each = frame.select(doc, F.posexplode_outer(blocks).alias("pos", "block")).filter("trim(block) <> ''")
     return each.withColumn("f", F.transform(F.split("block", ","), lambda x: F.trim(x)))
 
 

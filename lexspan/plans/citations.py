@@ -41,22 +41,19 @@ def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(detect(S.documents(spark, sf_dir))).select("documento_id", "kind", "text", "span_start", "span_end")
 
 
-@query("detect_on_documents", None)
-def detect_on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-
-
 @query(
     "parse_fields",
     f"""WITH {S.SPANS_SQL} SELECT documento_id, kind, CASE kind WHEN 'processo' THEN 'REsp' END AS classe_raw,
-    CASE kind WHEN 'processo' THEN regexp_replace(regexp_extract(text, '[0-9][0-9.]+'), '[^0-9]', '', 'g') END AS numero_normalizado, CASE kind WHEN 'processo' THEN 'SP' END AS uf,
+    CASE kind WHEN 'processo' THEN regexp_replace(regexp_extract(text, '[0-9][0-9.]+'), '[^0-9]', '', 'g') END AS numero_normalizado, CASE WHEN kind = 'processo' AND text LIKE '%SP' THEN 'SP' END AS uf,
     CASE kind WHEN 'sumula' THEN regexp_extract(text, '[0-9]+') END AS sumula_numero, CASE WHEN kind IN ('lei', 'artigo') THEN regexp_extract(text, '[0-9]+') END AS artigo,
     CASE kind WHEN 'lei' THEN 'CDC' END AS diploma_normalizado, CASE kind WHEN 'lei' THEN '1990' END AS law_year FROM spans""",
 )
 def parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _spans(parse(detect(S.documents(spark, sf_dir))))
-    uf = F.coalesce("uf", F.when(F.col("kind") == "processo", F.right("text", F.lit(2))))  # the class of letters after the dash is part of the span
-    return out.select("documento_id", "kind", "classe_raw", "numero_normalizado", uf.alias("uf"), "sumula_numero", "artigo", "diploma_normalizado", "law_year")
+    return out.select("documento_id", "kind", "classe_raw", "numero_normalizado", "uf", "sumula_numero", "artigo", "diploma_normalizado", "law_year")
+
+
+# --- rulings, súmulas and provisions of the whole customer and part tables ----------------------------------------------------
 
 
 @query("resolve_status", f"WITH {S.STATUS_SQL} SELECT documento_id, kind, status, id_canonico FROM result")
@@ -65,15 +62,15 @@ def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(run.raw).select("documento_id", "kind", "resolution.status", "resolution.id_canonico")
 
 
-@query("case_identities", "SELECT 'r' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS documento_id, 'STJ' AS tribunal, '1500' || lpad(CAST(c_custkey % 250 AS VARCHAR), 3, '0') AS numero_normalizado FROM customer WHERE c_custkey BETWEEN 1 AND 300")
+@query("case_identities", f"SELECT 'r' || CAST(c_custkey AS VARCHAR) AS documento_id, 'STJ' AS tribunal, CAST({S.NUMBER} AS VARCHAR) AS numero_normalizado FROM customer")
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_identities(S.corpus(spark, sf_dir)).select("documento_id", "tribunal", "numero_normalizado")
 
 
 @query(
     "index_stats",
-    """WITH k AS (SELECT c_custkey % 250 AS n, count(*) AS c FROM customer WHERE c_custkey BETWEEN 1 AND 300 GROUP BY 1)
-    SELECT sum(c)::BIGINT AS records, count(*)::BIGINT AS case_keys, count(*) FILTER (c = 1)::BIGINT AS single, count(*) FILTER (c > 1)::BIGINT AS multi, max(c)::BIGINT AS largest FROM k""",
+    f"""WITH k AS (SELECT {S.NUMBER} AS n, count(*) AS c FROM customer GROUP BY 1)
+    SELECT coalesce(sum(c), 0)::BIGINT AS records, count(*)::BIGINT AS case_keys, count(*) FILTER (c = 1)::BIGINT AS single, count(*) FILTER (c > 1)::BIGINT AS multi, coalesce(max(c), 0)::BIGINT AS largest FROM k""",
 )
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_stats(build_corpus(S.corpus(spark, sf_dir)).cases)
@@ -81,78 +78,29 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "case_index",
-    """SELECT '1500' || lpad(CAST(c_custkey % 250 AS VARCHAR), 3, '0') AS numero_normalizado, string_agg(CAST(c_custkey AS VARCHAR), ':' ORDER BY 'r' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')) AS ids
-    FROM customer WHERE c_custkey BETWEEN 1 AND 300 GROUP BY 1""",
+    f"""SELECT CAST({S.NUMBER} AS VARCHAR) AS numero_normalizado, string_agg(CAST(c_custkey AS VARCHAR), ':' ORDER BY 'r' || CAST(c_custkey AS VARCHAR)) AS ids
+    FROM customer GROUP BY {S.NUMBER}""",
 )
 def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.transform("records", lambda r: r["id"].cast("string")), ":")
     return build_corpus(S.corpus(spark, sf_dir)).cases.select("numero_normalizado", ids.alias("ids"))
 
 
-@query("provision_keys", "SELECT (2000000 + p_partkey)::BIGINT AS id, CAST(p_partkey AS VARCHAR) AS article, 'CDC' AS diploma FROM part WHERE p_partkey BETWEEN 1 AND 100")
+@query("provision_keys", "SELECT (2000000000000 + p_partkey)::BIGINT AS id, CAST(p_partkey AS VARCHAR) AS article, 'CDC' AS diploma FROM part")
 def provision_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_corpus(S.corpus(spark, sf_dir)).provisions.select(F.get("ids", 0).alias("id"), "article", "diploma")
+    return build_corpus(S.corpus(spark, sf_dir)).provisions.select(F.explode("ids").alias("id"), "article", "diploma")
 
 
-@query(
-    "sumula_numbers",
-    "SELECT CAST(p_partkey AS VARCHAR) AS number, (1000000 + p_partkey)::BIGINT AS id, 'STJ' AS tribunal FROM part WHERE p_partkey BETWEEN 1 AND 30",
-)
+@query("sumula_numbers", "SELECT CAST(p_partkey AS VARCHAR) AS number, (1000000000000 + p_partkey)::BIGINT AS id, 'STJ' AS tribunal FROM part")
 def sumula_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).sumulas.select("number", F.explode("records").alias("r")).select("number", "r.id", "r.tribunal")
 
 
-# --- the same on rulings, súmulas and provisions of the whole customer and part tables -------------------------------------
-
-
-@query("resolve_status_whole", f"WITH {S.WHOLE_STATUS_SQL} SELECT documento_id, kind, status, id_canonico FROM result")
-def resolve_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = run_pipeline(S.documents(spark, sf_dir), S.whole_corpus(spark, sf_dir))
-    return _spans(run.raw).select("documento_id", "kind", "resolution.status", "resolution.id_canonico")
-
-
-@query("case_identities_whole", f"SELECT 'r' || CAST(c_custkey AS VARCHAR) AS documento_id, 'STJ' AS tribunal, CAST({S.NUMBER} AS VARCHAR) AS numero_normalizado FROM customer")
-def identities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return case_identities(S.whole_corpus(spark, sf_dir)).select("documento_id", "tribunal", "numero_normalizado")
-
-
-@query(
-    "index_stats_whole",
-    f"""WITH k AS (SELECT {S.NUMBER} AS n, count(*) AS c FROM customer GROUP BY 1)
-    SELECT coalesce(sum(c), 0)::BIGINT AS records, count(*)::BIGINT AS case_keys, count(*) FILTER (c = 1)::BIGINT AS single, count(*) FILTER (c > 1)::BIGINT AS multi, coalesce(max(c), 0)::BIGINT AS largest FROM k""",
-)
-def stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_stats(build_corpus(S.whole_corpus(spark, sf_dir)).cases)
-
-
-@query(
-    "case_index_whole",
-    f"""SELECT CAST({S.NUMBER} AS VARCHAR) AS numero_normalizado, string_agg(CAST(c_custkey AS VARCHAR), ':' ORDER BY 'r' || CAST(c_custkey AS VARCHAR)) AS ids
-    FROM customer GROUP BY {S.NUMBER}""",
-)
-def case_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform("records", lambda r: r["id"].cast("string")), ":")
-    return build_corpus(S.whole_corpus(spark, sf_dir)).cases.select("numero_normalizado", ids.alias("ids"))
-
-
-@query("provision_keys_whole", "SELECT (2000000000000 + p_partkey)::BIGINT AS id, CAST(p_partkey AS VARCHAR) AS article, 'CDC' AS diploma FROM part")
-def provision_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_corpus(S.whole_corpus(spark, sf_dir)).provisions.select(F.explode("ids").alias("id"), "article", "diploma")
-
-
-@query("sumula_numbers_whole", "SELECT CAST(p_partkey AS VARCHAR) AS number, (1000000000000 + p_partkey)::BIGINT AS id, 'STJ' AS tribunal FROM part")
-def sumula_numbers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_corpus(S.whole_corpus(spark, sf_dir)).sumulas.select("number", F.explode("records").alias("r")).select("number", "r.id", "r.tribunal")
-
-
-@query("ocr_repair", "SELECT o_orderkey, translate('2100' || CAST(o_orderkey AS VARCHAR) || 'lO', 'OoIilSs', '0011155') AS numero FROM orders")
+@query("ocr_repair", "SELECT o_orderkey, translate('2100' || CAST(o_orderkey AS VARCHAR) || 'lO5', 'OoIilSs', '0011155') AS numero, 'ocr_repair' AS how FROM orders")
 def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    rows = o.select("o_orderkey", F.lit(0).alias("start"), F.lit(0).alias("end"), F.concat(F.lit("REsp 2100"), F.col("o_orderkey").cast("string"), F.lit("lO")).alias("text"), F.lit("x").alias("rule"), F.lit("processo_ou_recurso_numerado").alias("family"))
-    # the damaged tail only counts when a digit ends it
-    fixed = rows.withColumn("text", F.concat("text", F.lit("0")))
-    number = parse(fixed).select("o_orderkey", F.col("numero_normalizado").alias("n"))
-    return number.select("o_orderkey", F.expr("left(n, length(n) - 1)").alias("numero"))
+    text = F.concat(F.lit("REsp 2100"), F.col("o_orderkey").cast("string"), F.lit("lO5"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"), F.lit("x").alias("rule"), F.lit("processo_ou_recurso_numerado").alias("family"))
+    return parse(rows).select("o_orderkey", F.col("numero_normalizado").alias("numero"), F.col("provenance")["numero"].alias("how"))
 
 
 @query(
@@ -165,22 +113,46 @@ def cnj_segment_court(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", segment_court(number).alias("court"))
 
 
+#: A name as a text has it, how strong its context is, then what it stands for and why.
+ALIASES = [
+    ("código de  processo civil", 0, "CPC", "safe_alias"), ("Constituição da República", 0, "CF", "safe_alias"), ("Lei nº 8.078 / 1990", 0, "CDC", "statute_number_alias"),
+    ("LEI N. 9.504/1997", 0, "LEI:9504:1997", "statute_number_alias"), ("Código de Processo Pemal", 0, "CPP", "unique_single_edit_full_name"), ("CF/88", 1, "CF", "guarded_alias"),
+    ("CF/88", 0, None, "guarded_alias"), ("Código Penal", 0, "CP", "recognized_uncovered_alias"), ("Código de Defsa", 0, None, "unknown"), ("Lei Complementar nº 64/1990", 0, "LC:64:1990", "safe_alias"),
+    ("Estatuto", 1, None, "unknown"), ("Lei n. 1.0{n}/2001", 0, "LEI:10{n}:2001", "statute_number_alias"),
+]
+_N = "lpad(CAST({key} % 1000 AS {string}), 3, '0')"
+
+
+def _values(rows: list[tuple]) -> str:
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(quote(x) for x in (i, *r)) + ")" for i, r in enumerate(rows))
+
+
 @query(
     "fold_alias",
-    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'CPC' WHEN 1 THEN 'CF' WHEN 2 THEN 'CDC' WHEN 3 THEN 'LEI:9504:1997' ELSE 'CPP' END AS diploma,
-    CASE p_partkey % 5 WHEN 0 THEN 'safe_alias' WHEN 1 THEN 'safe_alias' WHEN 2 THEN 'statute_number_alias' WHEN 3 THEN 'statute_number_alias' ELSE 'unique_single_edit_full_name' END AS source FROM part""",
+    f"""SELECT p_partkey, replace(d, '{{n}}', {_N.format(key="p_partkey", string="VARCHAR")}) AS diploma, w AS source FROM part JOIN (VALUES {_values(ALIASES)}) v(k, name, strong, d, w) ON k = p_partkey % {len(ALIASES)}""",
 )
 def fold_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("código de  processo civil", "Constituição da República", "Lei nº 8.078 / 1990", "LEI N. 9.504/1997", "Código de Processo Pemal")])
-    p = table(spark, sf_dir, "part").select("p_partkey", law.diploma(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")), F.lit(False)).alias("d"))
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(bool(s)).alias("strong")) for n, s, _, _ in ALIASES])
+    p = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(ALIASES)).cast("int")).alias("x"))
+    name = F.replace("x.name", F.lit("{n}"), F.expr(_N.format(key="p_partkey", string="STRING")))
+    p = p.select("p_partkey", law.diploma(name, F.col("x.strong")).alias("d"))
     return p.select("p_partkey", F.col("d.normalized").alias("diploma"), F.col("d.alias_source").alias("source"))
 
 
-@query("class_signatures", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'RECURSOESPECIAL' ELSE 'TST:AGARR' END AS signature FROM customer")
+#: A header or reference, its court, and its comparable class.
+SIGNATURES = [
+    ("RECURSO ESPECIAL Nº 1.500.{n} - SP", "STJ", "RECURSOESPECIAL"), ("TST-ED-AgARR-12{n}-67.2015.5.24.0001", "TST", "TST:AGARR"), ("HABEAS CORPUS 12.{n} RIO", "STF", "HABEASCORPUS"),
+    ("AgInt no AREsp {n}", "STJ", "AGINT"), ("RR", "TST", "TST:RR"), ("outra coisa {n}", "STM", "OUTRACOISA{n}"), ("Reclamação nº {n}", "STF", "RECLAMAÇÃO"),
+]
+
+
+@query("class_signatures", f"SELECT c_custkey, upper(replace(w, '{{n}}', {_N.format(key='c_custkey', string='VARCHAR')})) AS signature FROM customer JOIN (VALUES {_values(SIGNATURES)}) v(k, t, c, w) ON k = c_custkey % {len(SIGNATURES)}")
 def class_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = F.col("c_custkey") % 2 == 0
-    value = F.when(even, "RECURSO ESPECIAL Nº 1.500.001 - SP").otherwise("TST-ED-AgARR-12345-67.2015.5.24.0001")
-    return table(spark, sf_dir, "customer").select("c_custkey", class_signature(value, F.when(even, "STJ").otherwise("TST")).alias("signature"))
+    every = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c, _ in SIGNATURES])
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.get(every, (F.col("c_custkey") % len(SIGNATURES)).cast("int")).alias("x"))
+    text = F.replace("x.t", F.lit("{n}"), F.expr(_N.format(key="c_custkey", string="STRING")))
+    return c.select("c_custkey", F.upper(class_signature(text, F.col("x.c"))).alias("signature"))
 
 
 # --- the metric on golds and predictions that a template gives ----------------------------------------------------------
@@ -243,9 +215,18 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.greedy_match(M.match_pairs(g, p)).withColumn("iou", F.round("iou", 6))
 
 
-@query("parse_cells", f"SELECT CAST(o_orderkey AS VARCHAR) AS documento_id, {_START}::INTEGER AS p_start, {_PRED} AS p_class, CASE WHEN {_PRED} = 'real' THEN CAST(o_custkey AS VARCHAR) END AS p_id, 0.85::DOUBLE AS conf FROM orders")
+@query(
+    "parse_cells",
+    f"""WITH o AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS documento_id FROM orders)
+    SELECT documento_id, 0 AS pred, {_START}::INTEGER AS p_start, {_PRED} AS p_class, CASE WHEN {_PRED} = 'real' THEN CAST(o_custkey AS VARCHAR) END AS p_id, 0.85::DOUBLE AS conf, NULL AS error FROM o
+    UNION ALL SELECT documento_id, 1, 60, 'inventada', NULL, NULL, NULL FROM o WHERE o_orderkey % 11 = 0
+    UNION ALL SELECT documento_id, 1, 25, 'real', '5', 0.5, NULL FROM o WHERE o_orderkey % 11 = 1
+    UNION ALL SELECT documento_id, 2, NULL, 'x', NULL, NULL, 'fields' FROM o WHERE o_orderkey % 13 = 0""",
+)
 def parse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.parse_predictions(_submission(spark, sf_dir)).filter("pred = 0 AND error IS NULL").select("documento_id", "p_start", "p_class", "p_id", "conf")
+    bad = F.when(F.col("documento_id").cast("long") % 13 == 0, F.when(F.col("documento_id").cast("long") % 11 > 1, "||a,b,x").otherwise("|a,b,x")).otherwise("")
+    cells = _submission(spark, sf_dir).withColumn("citacoes", F.concat("citacoes", bad))
+    return M.parse_predictions(cells).select("documento_id", "pred", "p_start", "p_class", "p_id", "conf", "error")
 
 
 @query("duplicate_check", "SELECT CAST(o_orderkey AS VARCHAR) AS documento_id, 0 AS a, 1 AS b FROM orders WHERE o_orderkey % 3 = 0")
@@ -255,10 +236,11 @@ def duplicate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.duplicate_predictions(M.parse_predictions(frame))
 
 
-@query("span_preview", "SELECT o_orderkey, 'abc[' || substr(CAST(o_orderkey AS VARCHAR) || 'xyz', 1, 3) AS preview FROM orders")
+@query("span_preview", "SELECT o_orderkey, '…c[' || CAST(o_orderkey AS VARCHAR) || 'xy…' AS preview FROM orders")
 def span_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("abc["), F.col("o_orderkey").cast("string"), F.lit("xyz"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.cut(t, F.lit(0), F.lit(7)).alias("preview"))
+    key = F.col("o_orderkey").cast("string")
+    t = F.concat(F.lit("abc["), key, F.lit("xyz"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.preview(t, F.lit(4), F.length(key) + 4, 2).alias("preview"))
 
 
 @query("regex_court_names", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'STF' WHEN 1 THEN 'STJ' END AS court FROM nation")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.operators import arbitrate, metric
+from lexspan.operators import metric
 from lexspan.operators.detect import detect
 from lexspan.operators.identity import case_identities
 from lexspan.operators.parse import parse
@@ -89,27 +89,32 @@ def test_ruling_identities(spark):
     assert {r["documento_id"]: r["numero_normalizado"] for r in out.collect()} == {d: n for d, _, _, n in texts}
 
 
-def _row(start, end, text, **more):
-    base = dict(start=start, end=end, text=text, rule="r", family=NUMBERED, status="no_match", numero_normalizado=None, numbers=[], companion_class=None, companion_court=None)
-    base |= dict(artigo=None, diploma_normalizado=None, paragrafo=None, inciso=None, alinea=None, complete=False, id_text=None, primary_number=None, primary_class=None, primary_court=None)
-    return base | more
-
-
-def test_cnj_merges_with_its_only_companion():
-    number = "12345672015524000100"
-    cnj = _row(10, 30, "x" * 20, rule="cnj", family="processo_cnj", status="resolved", primary_number=number, primary_class="TST:RR", primary_court="TST")
-    near = dict(numbers=["1234567201"], companion_class="TST:RR", companion_court="TST")
-    one = arbitrate.merge_cnj([_row(5, 20, "a" * 15, **near), cnj])
-    assert [(r["start"], r["end"], r["reason"]) for r in one] == [(5, 30, "structural_cnj_union_merge")] and len(one[0]["text"]) == 25
-    two = arbitrate.merge_cnj([_row(5, 20, "a" * 15, **near), _row(6, 21, "b" * 15, **near), cnj])
-    assert len(two) == 3 and {r["reason"] for r in two} == {"preserved", "no_safe_arbitration"}
-
-
-def test_a_suppressed_statute_suppresses_nothing():
-    law = dict(family="lei_dispositivo_com_diploma", artigo="5")
-    rows = [_row(0, 30, "", complete=True, diploma_normalizado="CF", **law), _row(0, 10, "", **law), _row(2, 8, "", **law), _row(40, 50, "", **law)]
-    kept = arbitrate.widest_statutes([r | {"sources": [r], "suppressed": [], "reason": "preserved"} for r in rows])
-    assert [(r["start"], r["end"], r["reason"]) for r in kept] == [(0, 30, "legal_maximal_span"), (40, 50, "preserved")]
+def test_whole_run_with_a_merge_and_a_number_of_its_own(spark):
+    """Texts and a corpus of three rulings, to the end: merged, suppressed, filtered, and documents without citations."""
+    from lexspan.operators.index import CorpusError, build_corpus
+    from lexspan.plans.pipeline import run_pipeline
+    from lexspan.plans.runtime import materialize
+
+    text = "VISTOS, RELATADOS E DISCUTIDOS ESTES AUTOS de Recurso TST-RR-%s, em que é"
+    corpus = [("r1", 11, "TST", "acordao", text % "12345-67.2015.5.24.0001"), ("r2", 12, "STJ", "acordao", "RECURSO ESPECIAL Nº 1.500.001 - SP (2019/0) RELATOR : MINISTRO X"), ("s", 13, "TST", "sumula", "SÚMULA 331")]
+    corpus = spark.createDataFrame(corpus, "documento_id string, id long, tribunal string, natureza string, texto string")
+    docs = [
+        ("a", "Veja TST: RR - 12345-67.2015.5.24.0001 e o REsp nº 1.500.001/SP."),
+        ("b", "Recorrente: Fulano. Processo nº 7654321-67.2015.5.24.0001."),
+        ("c", "Súmula 331 do TST; Súmula 7 do TST; art. 5º, XXXV, da CF/88."),
+        ("d", ""),
+        ("e", None),
+    ]
+    run = run_pipeline(spark.createDataFrame(docs, "documento_id string, text string"), corpus)
+    cells = {r.documento_id: r.citacoes for r in run.rows.collect()}
+    assert cells["b"] == cells["d"] == cells["e"] == "-"
+    assert cells["a"].split("|")[0].split(",")[2:4] == ["real", "11"] and cells["a"].endswith("real,12,0.8500")
+    assert [c.split(",")[2:4] for c in cells["c"].split("|")] == [["real", "13"], ["inventada", "-"], ["incompleta", "-"]]
+    assert run.rejected.count() == 0
+    twice = corpus.unionByName(spark.createDataFrame([("r3", 14, "STF", "acordao", "PRIMEIRA TURMA HABEAS CORPUS 1.500.001 RIO RELATOR : MIN. Y")], corpus.schema))
+    for strict in (True, False):
+        with pytest.raises(CorpusError):
+            build_corpus(materialize(twice), strict)
 
 
 def test_metric_by_hand(spark):

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from lexspan.plans import analytics, citations
+from lexspan.plans import analytics, product
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [*analytics.QUERIES, "parse_cells", "duplicate_check", "case_identities", "fold_alias", "class_signatures", "ocr_repair", "cnj_segment_court"]
+NAMES = [*analytics.QUERIES, *product.QUERIES]
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,6 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, con, name):
-    both = analytics.QUERIES | citations.QUERIES
-    sql = analytics.SQL | citations.SQL
+    both = analytics.QUERIES | product.QUERIES
+    sql = analytics.SQL | product.SQL
     assert rows(both[name](spark, SF).toPandas()) == rows(con.sql(sql[name]).df())
