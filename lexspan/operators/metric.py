@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import normal_id
-from lexspan.plans.runtime import ship
+from lexspan.plans.runtime import materialize, ship
 
 #: Fixed values of the metric.
 CLASSES = ["real", "inventada", "incompleta"]
@@ -53,11 +53,19 @@ def parse_predictions(submission: DataFrame, doc: str = "documento_id") -> DataF
 
 
 def parse_golds(solution: DataFrame, doc: str = "documento_id") -> DataFrame:
-    """(doc, nivel, gold, g_start, g_end, g_class, g_ids)."""
+    """(doc, gold, g_start, g_end, g_class, g_ids, error, nivel): error names what breaks the format, else null."""
     rows = _blocks(solution, doc)
     f = lambda i: F.get(F.col("f"), i)
+    start, end, kind = f(0).try_cast("int"), f(1).try_cast("int"), F.lower(f(2))
     ids = F.transform(F.filter(F.split(f(3), ":"), lambda x: ~F.trim(x).isin("", "-")), normal_id)
-    rows = rows.select(doc, F.col("pos").alias("gold"), f(0).cast("int").alias("g_start"), f(1).cast("int").alias("g_end"), F.lower(f(2)).alias("g_class"), F.array_distinct(ids).alias("g_ids"))
+    error = (
+        F.when(F.size("f") != 4, "fields")
+        .when(start.isNull() | end.isNull(), "integer")
+        .when((start < 0) | (end <= start), "span")
+        .when(~kind.isin(CLASSES), "class")
+        .when((kind == "real") & (F.size(ids) == 0), "id")
+    )
+    rows = rows.select(doc, F.col("pos").alias("gold"), start.alias("g_start"), end.alias("g_end"), kind.alias("g_class"), F.array_distinct(ids).alias("g_ids"), error.alias("error"))
     return rows.join(solution.select(doc, F.col("nivel").cast("int").alias("nivel")), doc)
 
 
@@ -110,7 +118,7 @@ def greedy_match(pairs: DataFrame, doc: str = "documento_id") -> DataFrame:
 def outcomes(golds: DataFrame, preds: DataFrame, levels: DataFrame, doc: str = "documento_id") -> DataFrame:
     """Events of golds and predictions; levels has (doc, nivel) of every document. (nivel, kind, class, n, tau, brier): tp, fp, fn and support events with what severe errors and confidence add."""
     matched = greedy_match(match_pairs(golds, preds, doc), doc)
-    both = matched.join(golds, [doc, "gold"]).join(preds.drop("error"), [doc, "pred"])
+    both = matched.join(golds.drop("error"), [doc, "gold"]).join(preds.drop("error"), [doc, "pred"])
     same = F.col("g_class") == F.col("p_class")
     linked = F.array_contains("g_ids", F.col("p_id"))
     right = same & ((F.col("g_class") != "real") | F.coalesce(linked, F.lit(False)))
@@ -154,15 +162,17 @@ def evaluate(solution: DataFrame, submission: DataFrame, doc: str = "documento_i
     for frame, needed in ((solution, {doc, "nivel", "citacoes"}), (submission, {doc, "citacoes"})):
         if missing := needed - set(frame.columns):
             raise SubmissionError(f"columns missing: {sorted(missing)}")
-    first = Window.partitionBy(doc).orderBy(order or "citacoes")
-    sub = submission.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select(doc, "citacoes").join(solution.select(doc), doc, "left_semi")
-    if lost := solution.join(sub, doc, "left_anti").select(doc).limit(3).collect():
-        raise SubmissionError(f"no row for documents: {[r[0] for r in lost]}")
-    preds, golds = parse_predictions(sub, doc), parse_golds(solution, doc)
-    if bad := preds.filter("error IS NOT NULL").limit(3).collect():
-        raise SubmissionError(f"bad citations: {[(r[doc], r['pred'], r['error']) for r in bad]}")
-    if bad := duplicate_predictions(preds, doc).limit(3).collect():
-        raise SubmissionError(f"predictions that repeat a span: {[tuple(r) for r in bad]}")
-    if bad := overlapping_golds(golds, doc).limit(3).collect():
-        raise ValueError(f"golds overlap: {[tuple(r) for r in bad]}")
+    # Without an order the rows' own order decides: files keep it, and so do rows of the driver.
+    ranked = submission.withColumn("__at", F.col(order) if order else F.monotonically_increasing_id())
+    best = ranked.groupBy(doc).agg(F.min_by("citacoes", "__at").alias("citacoes"))
+    sub = materialize(best.join(solution.select(doc), doc, "left_semi"))
+    preds, golds = materialize(parse_predictions(sub, doc)), materialize(parse_golds(solution, doc))
+    lost = solution.join(sub, doc, "left_anti").select(F.lit("no row for a document").alias("why"), F.col(doc).cast("string").alias("what"))
+    bad_pred = preds.filter("error IS NOT NULL").select(F.concat(F.lit("bad citation: "), "error"), F.concat_ws(" ", doc, "pred"))
+    twice = duplicate_predictions(preds, doc).select(F.lit("predictions that repeat a span"), F.concat_ws(" ", doc, "a", "b"))
+    bad_gold = golds.filter("error IS NOT NULL").select(F.concat(F.lit("bad gold: "), "error"), F.concat_ws(" ", doc, "gold"))
+    touching = overlapping_golds(golds, doc).select(F.lit("golds overlap"), F.concat_ws(" ", doc, "a", "b"))
+    faults = lost.union(bad_pred).union(twice).union(bad_gold).union(touching)  # one job checks everything
+    if found := faults.limit(3).collect():
+        raise SubmissionError("; ".join(f"{r['why']} ({r['what']})" for r in found))
     return final_score(level_scores(outcomes(golds, preds, solution, doc)))
