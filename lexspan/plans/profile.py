@@ -33,11 +33,11 @@ def number_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", N.number_family(F.col("x"), court).alias("family"))
 
 
-@query("ranked_numbers", """SELECT o_orderkey, CASE r WHEN 1 THEN '1.5' ELSE '12.1' END || n AS number, 'decimal' AS pattern, r AS rank FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS n FROM orders WHERE o_orderkey % 2 = 0), (VALUES (1), (2)) v(r)
+@query("ranked_numbers", """SELECT o_orderkey, CASE r WHEN 1 THEN '1.500.' ELSE '12.' END || n AS number, 'decimal' AS pattern, r AS rank FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS n FROM orders WHERE o_orderkey % 2 = 0), (VALUES (1), (2)) v(r)
     UNION ALL SELECT o_orderkey, 'RR-12345-67.2015.5.24.0' || n, 'tst_cnj', 1 FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS n FROM orders WHERE o_orderkey % 2 = 1)
     UNION ALL SELECT o_orderkey, '12345-67.2015.5.24.0' || n, 'cnj', 2 FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS n FROM orders WHERE o_orderkey % 2 = 1)""")
 def ranked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pick(spark, sf_dir, ["VER 12.1{n} RECURSO ESPECIAL Nº 1.5{n} - SP", "AUTOS RR-12345-67.2015.5.24.0{n}, EM QUE"])
+    rows = _pick(spark, sf_dir, ["VER 12.{n} RECURSO ESPECIAL Nº 1.500.{n} - SP", "AUTOS RR-12345-67.2015.5.24.0{n}, EM QUE"])
     rows = rows.withColumn("court", F.when(F.col("o_orderkey") % 2 == 0, "STJ").otherwise("TST"))
     return N.ranked_numbers(rows, "x", "court").select("o_orderkey", "number", "pattern", "rank")
 
