@@ -169,10 +169,10 @@ def build_filters(counts: DataFrame, shards: int) -> DataFrame:
     return counts.select("k1", _shard(shards).alias("shard")).groupBy("shard").applyInArrow(build, "shard int, table binary")
 
 
-def build_index(docs: DataFrame, lines: DataFrame | None = None) -> LineIndex:
+def build_index(docs: DataFrame) -> LineIndex:
     """Index all lines of docs. Hot keys are pre-aggregated on the map side in both group-bys."""
     ship(docs.sparkSession)
-    postings = (keyed_lines(docs) if lines is None else lines).select("doc_id", *KEY).distinct()
+    postings = keyed_lines(docs).select("doc_id", *KEY).distinct()
     return _filtered(postings, materialize(_count(postings)))
 
 
@@ -279,9 +279,8 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, text: str = "te
     lines that they lose.
     """
     narrow = docs.select(docs["doc_id"], docs[text].alias("text"))
-    lines = materialize(keyed_lines(narrow))
-    index = index or build_index(narrow, lines)
-    lost = repeated_lines(index, lines)
+    index = index or build_index(narrow)
+    lost = repeated_lines(index, keyed_lines(narrow))
     n_lines, n_dropped, id_, row, places, split, kept = free_names(docs.columns, "n_lines", "n_dropped", "id", "row", "places", "lines", "kept")
     per = lost.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.collect_list("pos").alias(places))
     t = F.coalesce(docs[text], F.lit(""))
