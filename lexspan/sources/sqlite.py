@@ -82,3 +82,16 @@ def catalog(path: str) -> dict[str, list[tuple[str, str]]]:
     with connect(path) as c:
         tables = [r[0] for r in c.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
         return {t: [(r[1], r[2]) for r in c.execute(f"PRAGMA table_info({_name(t)})")] for t in tables}
+
+
+def indexes(path: str) -> dict[str, list[tuple[str, list[str]]]]:
+    """Indexes of each table with their columns."""
+    with connect(path) as c:
+        found = {t: [r[1] for r in c.execute(f"PRAGMA index_list({_name(t)})")] for t in catalog(path)}
+        return {t: [(i, [r[2] for r in c.execute(f"PRAGMA index_info({_name(i)})")]) for i in names] for t, names in found.items()}
+
+
+def integrity(path: str) -> list[str]:
+    """What the database's own check finds; ['ok'] if nothing."""
+    with connect(path) as c:
+        return [r[0] for r in c.execute("PRAGMA integrity_check")]

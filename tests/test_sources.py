@@ -1,5 +1,8 @@
+import hashlib
 import sqlite3
 
+import pytest
+
 from lexspan.operators.serialize import write_submission
 from lexspan.sources import sqlite, texts
 
@@ -25,3 +28,54 @@ def test_submission_file_has_crlf(spark, tmp_path):
     write_submission(spark.createDataFrame([("a", "1,2,real,9,0.8500"), ("b", "-")], "documento_id string, citacoes string"), str(tmp_path / "o"))
     raw = next((tmp_path / "o").glob("part-*.csv")).read_bytes()
     assert raw == b'documento_id,citacoes\r\na,"1,2,real,9,0.8500"\r\nb,-\r\n'
+
+
+def test_database_checks(tmp_path):
+    path = str(tmp_path / "d.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE t (a INTEGER, b TEXT)")
+        c.execute("CREATE INDEX t_ab ON t (a, b)")
+    assert sqlite.indexes(path) == {"t": [("t_ab", ["a", "b"])]} and sqlite.integrity(path) == ["ok"]
+
+
+def test_gold_audit_digests_and_records(spark, tmp_path):
+    (tmp_path / "g.csv").write_bytes('\ufeffdocumento_id,trecho\na,"x ""y""\\nz"\n'.encode())
+    assert [tuple(r) for r in texts.read_gold(spark, str(tmp_path / "g.csv")).select("documento_id", "trecho").collect()] == [("a", 'x "y"\\nz')]
+    (tmp_path / "a.json").write_text('[{"documento_id": "a", "anotacao": "p <inicio>q\\nr<fim> s <inicio>t<fim>"}]')
+    assert texts.read_audit(spark, str(tmp_path / "a.json")).first()["spans"] == ["q\nr", "t"]
+    assert texts.file_digests(spark, str(tmp_path / "a.json")).first()["sha256"] == hashlib.sha256((tmp_path / "a.json").read_bytes()).hexdigest()
+    (tmp_path / "r.json").write_text('[{"documento_id": "a", "citacoes": [{"inicio": 1, "fim": 2, "classificacao": "real", "resolucao": {"id_canonico": "7"}, "confianca": 0.85}, {"inicio": 3, "fim": 4, "classificacao": "inventada", "resolucao": {"id_canonico": null}, "confianca": null}]}, {"documento_id": "b", "citacoes": []}]')
+    got = {r.documento_id: r.citacoes for r in texts.records_to_cells(spark, str(tmp_path / "r.json")).collect()}
+    assert got == {"a": "1,2,real,7,0.8500|3,4,inventada,-,-", "b": "-"}
+
+
+def test_command_from_files_to_file(spark, tmp_path):
+    """A database and a folder of texts to the submission file; wrong paths are named before anything is read."""
+    from lexspan.__main__ import database_path, submit
+
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "a.txt").write_bytes("Veja o REsp nº 1.500.001/SP.\r\nE a Súmula 9 do STJ.".encode())
+    (folder / "b.txt").write_bytes(b"")
+    path = str(tmp_path / "c.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE documentos (documento_id TEXT, id INTEGER, tribunal TEXT, ano INTEGER, relator TEXT, natureza TEXT, tipo TEXT, texto TEXT)")
+        c.execute("INSERT INTO documentos VALUES ('r', 12, 'STJ', 2019, NULL, 'acordao', 'x', 'RECURSO ESPECIAL Nº 1.500.001 - SP (2019/0) RELATOR : MINISTRO X')")
+    submit(spark, path, str(folder), str(tmp_path / "out"), partitions=1)
+    raw = next((tmp_path / "out").glob("part-*.csv")).read_bytes().decode()
+    assert raw == 'documento_id,citacoes\r\na,"7,27,real,12,0.8500|33,41,inventada,-,0.8500"\r\nb,-\r\n'
+    for bad in (lambda: submit(spark, str(tmp_path / "no.db"), str(folder), "x"), lambda: submit(spark, path, str(tmp_path / "no"), "x"), lambda: database_path()):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
+    from lexspan.streaming.files import detect_stream
+
+    docs = spark.createDataFrame([("a", "Veja o REsp nº 1.500.001/SP."), ("b", "TST: RR - 12345-67.2015.5.24.0001 e nada")], "documento_id string, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    query = detect_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("found_stream").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    columns = ["documento_id", "start", "end", "rule", "numero_normalizado", "tribunal"]
+    got, want = (sorted(map(tuple, f.select(*columns).collect()), key=str) for f in (spark.table("found_stream"), detect_stream(docs)))
+    assert got == want and len(got) >= 2
