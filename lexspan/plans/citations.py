@@ -15,8 +15,8 @@ from lexspan.operators.index import build_corpus, index_stats
 from lexspan.operators.parse import parse
 from lexspan.operators.resolve import segment_court
 from lexspan.plans import synthetic as S
-from lexspan.plans.pipeline import run_pipeline
-from lexspan.plans.runtime import table
+from lexspan.plans.pipeline import resolve_texts
+from lexspan.plans.runtime import Scratch, table
 
 QUERIES, SQL = {}, {}
 KIND = {"processo_ou_recurso": "processo", "sumula_numerada": "sumula", "lei_com_diploma": "lei", "dispositivo_legal": "artigo"}
@@ -58,8 +58,8 @@ def parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resolve_status", f"WITH {S.STATUS_SQL} SELECT documento_id, kind, status, id_canonico FROM result")
 def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = run_pipeline(S.documents(spark, sf_dir), S.corpus(spark, sf_dir))
-    return _spans(run.raw).select("documento_id", "kind", "resolution.status", "resolution.id_canonico")
+    raw, _ = resolve_texts(S.documents(spark, sf_dir), build_corpus(S.corpus(spark, sf_dir)), Scratch(spark))
+    return _spans(raw).select("documento_id", "kind", "resolution.status", "resolution.id_canonico")
 
 
 @query("case_identities", f"SELECT 'r' || CAST(c_custkey AS VARCHAR) AS documento_id, 'STJ' AS tribunal, CAST({S.NUMBER} AS VARCHAR) AS numero_normalizado FROM customer")
