@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,end:int,text:string>>"
+#: Two noncharacters, which no pattern tells apart; code points of a chunk.
+MARK, STAND_IN, CHUNK = "\uffff", "\ufffe", 4096
 
 #: Letters with marks and the compatibility signs that folding maps: fixed values, from and to in the same order.
 FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿºª "
@@ -23,22 +25,85 @@ def empty_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def prefix_sums(values: Column) -> Column:
+    """Running totals of an array of numbers, by shifts of 1, 2, 4, ... places: n log n steps, no growing array."""
+    n = F.size(values)
+    rounds = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, k: Column) -> Column:
+        by = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), by), F.slice(acc, F.lit(1), n - by)), lambda a, b: a + b)
+
+    return F.aggregate(rounds, values, step)
+
+
+def unmarked(text: Column) -> Column:
+    """The text with another noncharacter in place of MARK; its length and all matches stay."""
+    return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
+
+
 def finditer(text: Column, pattern: str) -> Column:
     """All matches of a pattern that never matches the empty string, as (start, end, text); end is exclusive.
 
-    The pieces between matches and the matches themselves alternate, so that summed lengths give positions.
+    One pass of the pattern puts MARK around each match; a split at MARK gives gaps and matches by turns, and running totals
+    of their lengths are the positions. The time is near linear in the text and the matches.
+    """
+
+    def spans(parts: Column) -> Column:
+        def at(ends: Column, marked: Column) -> Column:
+            def one(i: Column) -> Column:
+                start, end = F.get(ends, i - 1), F.get(ends, i)
+                own = F.when(marked, cut(text, start, end)).otherwise(F.get(parts, i))
+                return F.struct(start.alias("start"), end.alias("end"), own.alias("text"))
+
+            return F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), one)
+
+        ends = prefix_sums(F.transform(parts, F.length))
+        found = let(F.struct(ends.alias("ends"), F.contains(text, F.lit(MARK)).alias("marked")), lambda x: at(x["ends"], x["marked"]))
+        return F.when(F.size(parts) > 1, found).otherwise(empty_spans())
+
+    return let(F.split(F.regexp_replace(unmarked(text), pattern, f"{MARK}$0{MARK}"), MARK, -1), spans)
+
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points: places far inside are reached without counting from the start."""
+    return F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+
+def cut_chunks(pieces: Column, start: Column, end: Column) -> Column:
+    """text[start:end] of a text in chunks; the work depends on the width only."""
+    low = F.greatest(start, F.lit(0)).cast("int")
+    at, last = F.floor(low / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    two = F.concat(F.get(pieces, at), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    local = F.when(last == at, F.get(pieces, at)).when(last == at + 1, two).otherwise(F.array_join(F.slice(pieces, at + 1, last - at + 1), ""))
+    return F.when(end > low, F.coalesce(cut(local, low - at * CHUNK, end - at * CHUNK), F.lit(""))).otherwise("")
+
+
+def bisect(values: Column, x: Column) -> Column:
+    """How many of the ascending values are below x."""
+    n = F.size(values)
+    steps = F.when(n > 0, F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["low"] + acc["high"], 1)
+        less = F.get(values, mid) < x
+        narrowed = F.struct(F.when(less, mid + 1).otherwise(acc["low"]).alias("low"), F.when(less, acc["high"]).otherwise(mid).alias("high"))
+        return F.when(acc["low"] < acc["high"], narrowed).otherwise(acc)
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), step, lambda acc: acc["low"])
+
+
+def half_overlaps(x: Column, spans: Column, starts: Column) -> Column:
+    """Whether one of the spans, which are sorted and start at `starts`, overlaps x by half of their hull.
+
+    Such a span starts less than x's length before x, and before x ends: only these are looked at.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), empty_spans().alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"))
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def between(low: Column) -> Column:
+        high = bisect(starts, x["end"])
+        return let(high, lambda h: F.when(h > low, F.exists(F.sequence(low, h - 1), lambda i: iou(F.get(spans, i), x) >= 0.5)).otherwise(False))
 
-    every = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step, lambda a: a["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), every).otherwise(empty_spans())
+    return F.when(F.size(spans) == 0, False).otherwise(let(bisect(starts, 2 * x["start"] - x["end"]), between))
 
 
 def has(text: Column, pattern: str) -> Column:

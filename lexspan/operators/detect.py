@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions import patterns as P
-from lexspan.functions.text import after, before, cut, digits, ends_with_break, finditer, first, has, iou, let
+from lexspan.functions.text import after, before, chunks, cut_chunks, digits, ends_with_break, finditer, first, half_overlaps, has, let
 
 CANDIDATES = "array<struct<start:int,end:int,rule:string,family:string,text:string>>"
 NUMBERED, CONTEXTUAL = "processo_ou_recurso_numerado", "jurisprudencia_tribunal_contextual"
 
+#: Code points in which the tails of numbers end, but for rare ones.
+TAIL = 256
+
 #: rule, pattern, kind: the rules that scan a whole text.
 RULES = [
     ("cnj", P.CNJ, "jurisprudencia"),
@@ -54,9 +57,17 @@ def _candidate(start: Column, end: Column, rule, fam, text: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), rule.alias("rule"), fam.alias("family"), text.alias("text"))
 
 
-def _moved(c: Column, text: Column, start: Column, end: Column) -> Column:
+def _moved(c: Column, pieces: Column, start: Column, end: Column) -> Column:
     same = (start == c["start"]) & (end == c["end"])
-    return _candidate(start, end, c["rule"], c["family"], F.when(same, c["text"]).otherwise(cut(text, start, end)))
+    return _candidate(start, end, c["rule"], c["family"], F.when(same, c["text"]).otherwise(cut_chunks(pieces, start, end)))
+
+
+def tail(pieces: Column, size: Column, at: Column, pattern: str, group: int = 0) -> Column:
+    """The length of a match of one of the tail patterns at a place: it is looked for in the next TAIL code points, and in all
+    that follows where these are no more than blanks, digits and signs that a tail may have any number of."""
+    near = cut_chunks(pieces, at, at + TAIL)
+    decided = (at + TAIL >= size) | has(F.left(near, F.lit(TAIL - 8)), r"(?sU)(?:[^\s\d./()OIlS-].*?){3}")
+    return let(near, lambda w: F.length(first(F.when(decided, w).otherwise(cut_chunks(pieces, at, size)), pattern, group)))
 
 
 def scan(text: Column, rule: str, pattern: str, fam=None, kind: str = "jurisprudencia", keep=None) -> Column:
@@ -76,7 +87,7 @@ def left_diploma(text: Column) -> Column:
     return F.filter(F.transform(finditer(text, P.LEFT_DIPLOMA), inner), lambda c: bounded(c["text"]))
 
 
-def decisions(text: Column) -> Column:
+def decisions(text: Column, pieces: Column) -> Column:
     """Decision, court, year and relator in a short chain."""
 
     def crosses(part: Column) -> Column:
@@ -89,29 +100,29 @@ def decisions(text: Column) -> Column:
         name = F.length(first(mark["rest"], P.RELATOR_NAME))
         fine = (at > d["end"]) & (year["n"] > 0) & ~crosses(year["gap"]) & (mark["n"] > 0) & ~crosses(mark["gap"]) & (name > 0)
         end = F.when(fine, at + F.length(year["gap"]) + year["n"] + F.length(mark["gap"]) + mark["n"] + name).otherwise(-1)
-        return let(end, lambda e: _candidate(d["start"], e, "decision_tribunal_relator_year", CONTEXTUAL, cut(text, d["start"], e)))
+        return let(end, lambda e: _candidate(d["start"], e, "decision_tribunal_relator_year", CONTEXTUAL, cut_chunks(pieces, d["start"], e)))
 
     def chain(d: Column) -> Column:
-        court = d["end"] + F.length(first(cut(text, d["end"], d["end"] + 45), P.DECISION_COURT))
-        return let(court, lambda at: let(split(cut(text, at, at + 72), P.DECISION_YEAR), lambda year: let(split(year["rest"], P.RELATOR_MARK), lambda mark: ended(d, at, year, mark))))
+        court = d["end"] + F.length(first(cut_chunks(pieces, d["end"], d["end"] + 45), P.DECISION_COURT))
+        return let(court, lambda at: let(split(cut_chunks(pieces, at, at + 72), P.DECISION_YEAR), lambda year: let(split(year["rest"], P.RELATOR_MARK), lambda mark: ended(d, at, year, mark))))
 
-    return F.array_distinct(F.filter(F.transform(finditer(text, P.DECISION), chain), lambda c: c["end"] >= 0))
+    return F.filter(F.transform(finditer(text, P.DECISION), chain), lambda c: c["end"] >= 0)
 
 
-def degraded(text: Column) -> Column:
+def degraded(text: Column, pieces: Column, size: Column) -> Column:
     """20 digits in a damaged layout with a class marker directly before them."""
     bodies = F.filter(finditer(text, P.DEGRADED_BODY), lambda m: (F.length(digits(m["text"])) == 20) & ~has(F.regexp_replace(m["text"], r"(?U)\s+", ""), P.CANONICAL_CNJ))
 
     def ended(m: Column, start: Column, local: Column) -> Column:
         breaks = F.length(local) - F.length(F.replace(local, F.lit("\n"), F.lit("")))
         fine = (start < m["start"]) & (breaks <= 1) & ~F.contains(local, F.lit("\n\n")) & ~has(local, "[!?;]")
-        end = F.when(fine, m["end"] + F.length(first(F.substr(text, m["end"] + 1), P.DEGRADED_UF))).otherwise(-1)
-        return let(end, lambda e: _candidate(start, e, "degraded_compact_cnj", NUMBERED, cut(text, start, e)))
+        end = F.when(fine, m["end"] + tail(pieces, size, m["end"], P.DEGRADED_UF)).otherwise(-1)
+        return let(end, lambda e: _candidate(start, e, "degraded_compact_cnj", NUMBERED, cut_chunks(pieces, start, e)))
 
     def marked(m: Column) -> Column:
-        window = cut(text, m["start"] - 96, m["start"])
+        window = cut_chunks(pieces, m["start"] - 96, m["start"])
         begin = let(window, lambda w: m["start"] - let(F.length(first(w, P.DEGRADED_MARKER)), lambda n: F.when(n > 0, n + ends_with_break(w)).otherwise(0)))
-        return let(begin, lambda start: let(cut(text, start, m["end"]), lambda local: ended(m, start, local)))
+        return let(begin, lambda start: let(cut_chunks(pieces, start, m["end"]), lambda local: ended(m, start, local)))
 
     return F.filter(F.transform(bodies, marked), lambda c: c["end"] >= 0)
 
@@ -127,29 +138,39 @@ def chain_is_short(text: Column) -> Column:
     return ~(often[0] | often[1] | often[2])
 
 
-def uf_expanded(text: Column, c: Column) -> Column:
-    tail = F.length(first(F.substr(text, c["end"] + 1), P.PROCESS_UF_TAIL))
+def uf_expanded(pieces: Column, size: Column, c: Column) -> Column:
     fits = (c["rule"] == "processo_ou_recurso") & (c["family"] == NUMBERED)
-    return F.when(fits, let(c["end"] + tail, lambda end: _moved(c, text, c["start"], end))).otherwise(c)
+    return F.when(fits, let(c["end"] + tail(pieces, size, c["end"], P.PROCESS_UF_TAIL), lambda end: _moved(c, pieces, c["start"], end))).otherwise(c)
 
 
-def _prefixed(text: Column, c: Column, fits: Column, pattern: str, width: int) -> Column:
+def _prefixed(pieces: Column, c: Column, fits: Column, pattern: str, width: int) -> Column:
     def begin(window: Column) -> Column:
         return let(F.length(first(window, pattern)), lambda n: F.when(n > 0, c["start"] - n - ends_with_break(window)).otherwise(c["start"]))
 
-    start = let(cut(text, c["start"] - width, c["start"]), begin)
-    return F.when(fits, let(start, lambda s: _moved(c, text, s, c["end"]))).otherwise(c)
+    start = let(cut_chunks(pieces, c["start"] - width, c["start"]), begin)
+    return F.when(fits, let(start, lambda s: _moved(c, pieces, s, c["end"]))).otherwise(c)
+
+
+def drop_overlapped(c: Column, by: Column, which=None) -> Column:
+    """The candidates (of those that `which` names) that no span of `by` overlaps by half."""
+
+    def kept(spans: Column) -> Column:
+        starts = F.transform(spans, lambda s: s["start"])
+        stays = lambda starts: F.filter(c, lambda x: ~((F.lit(True) if which is None else which(x)) & half_overlaps(x, spans, starts)))
+        return F.when(F.size(spans) == 0, c).otherwise(let(starts, stays))
 
+    return let(F.array_sort(by), kept)
 
-def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
-    """docs with an array of candidates: ordered, one per exact span."""
-    t, c = F.col("__text"), F.col("__c")
-    df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+
+def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates", keep_chunks: bool = False) -> DataFrame:
+    """docs with an array of candidates: ordered, one per exact span. keep_chunks leaves the text's chunks in column __k."""
+    t, k, n, c = F.col("__text"), F.col("__k"), F.col("__n"), F.col("__c")
+    df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__k", chunks(t)).withColumn("__n", F.length(t))
     whole = [scan(t, rule, pattern, kind=kind, keep=(lambda m: bounded(m["text"])) if kind == "lei" else None) for rule, pattern, kind in RULES]
     df = df.withColumn("__c", F.concat(*whole, left_diploma(t)).cast(CANDIDATES))
-    df = df.withColumn("__c", F.concat(F.transform(c, lambda x: uf_expanded(t, x)), scan(t, "processo_ou_recurso", P.OTHER_PROCESS, NUMBERED)))
-    df = df.withColumn("__c", F.transform(c, lambda x: _prefixed(t, x, (x["rule"] == "cnj") & (x["family"] == "processo_cnj"), P.CNJ_PREFIX, 120)))
-    df = df.withColumn("__c", F.transform(c, lambda x: _prefixed(t, x, (x["rule"] == "processo_ou_recurso") & (x["family"] == NUMBERED), P.PROCESS_PREFIX, 140)))
+    df = df.withColumn("__c", F.concat(F.transform(c, lambda x: uf_expanded(k, n, x)), scan(t, "processo_ou_recurso", P.OTHER_PROCESS, NUMBERED)))
+    df = df.withColumn("__c", F.transform(c, lambda x: _prefixed(k, x, (x["rule"] == "cnj") & (x["family"] == "processo_cnj"), P.CNJ_PREFIX, 120)))
+    df = df.withColumn("__c", F.transform(c, lambda x: _prefixed(k, x, (x["rule"] == "processo_ou_recurso") & (x["family"] == NUMBERED), P.PROCESS_PREFIX, 140)))
     no_cnj = lambda m: ~has(first(m["text"], P.STANDALONE_MODIFIER, 1), r"\A(?:" + P.CNJ + r")\z")
     df = df.withColumn(
         "__c",
@@ -158,22 +179,21 @@ def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates")
             scan(t, "processo_ou_recurso", P.DOTTED_CLASS, NUMBERED),
             scan(t, "processo_ou_recurso", P.STANDALONE_MODIFIER, NUMBERED, keep=no_cnj),
             scan(t, "processo_ou_recurso", P.COMPOUND_TITLE, NUMBERED),
-            decisions(t),
+            decisions(t, k),
             scan(t, "rcl_relator_year_no_tribunal", P.RCL_YEAR, CONTEXTUAL, keep=lambda m: (m["end"] - m["start"] <= 180) & ~has(m["text"], P.PARAGRAPH)),
         ),
     )
 
     def ocr(x: Column) -> Column:
-        tail = F.length(first(F.substr(t, x["end"] + 1), P.OCR_TAIL, 1))
-        return F.when(x["family"] == NUMBERED, let(x["end"] + tail, lambda end: _moved(x, t, x["start"], end))).otherwise(x)
-
-    df = df.withColumn("__c", F.transform(c, ocr)).withColumn("__d", degraded(t)).withColumn("__h", scan(t, "compound_procedural_chain", P.COMPOUND_CHAIN, NUMBERED, keep=lambda m: chain_is_short(m["text"])))
-    df = df.withColumn("__c", F.concat(c, F.filter("__d", lambda d: ~F.exists(c, lambda x: iou(d, x) >= 0.5))))
-    df = df.withColumn("__c", F.concat(F.filter(c, lambda x: ~F.exists("__h", lambda h: iou(h, x) >= 0.5)), F.col("__h")))
-    covered = lambda x: F.exists(c, lambda h: (h["rule"] == "decision_tribunal_relator_year") & (iou(x, h) >= 0.5))
-    df = df.withColumn("__c", F.array_sort(F.filter(c, lambda x: (x["rule"] != "tribunal_contextual") | ~covered(x))))
+        return F.when(x["family"] == NUMBERED, let(x["end"] + tail(k, n, x["end"], P.OCR_TAIL, 1), lambda end: _moved(x, k, x["start"], end))).otherwise(x)
+
+    df = df.withColumn("__c", F.transform(c, ocr)).withColumn("__d", degraded(t, k, n)).withColumn("__h", scan(t, "compound_procedural_chain", P.COMPOUND_CHAIN, NUMBERED, keep=lambda m: chain_is_short(m["text"])))
+    df = df.withColumn("__c", F.concat(c, F.when(F.size("__d") == 0, F.col("__d")).otherwise(drop_overlapped(F.col("__d"), c))))
+    df = df.withColumn("__c", F.concat(drop_overlapped(c, F.col("__h")), F.col("__h")))
+    decided = F.filter(c, lambda h: h["rule"] == "decision_tribunal_relator_year")
+    df = df.withColumn("__c", F.array_sort(drop_overlapped(c, decided, lambda x: x["rule"] == "tribunal_contextual")))
     new = lambda x, i: (i == 0) | (F.get(c, i - 1)["start"] != x["start"]) | (F.get(c, i - 1)["end"] != x["end"])
-    return df.withColumn(out, F.filter(c, new)).drop("__text", "__c", "__d", "__h")
+    return df.withColumn(out, F.filter(c, new)).drop("__text", "__n", "__c", "__d", "__h", *[] if keep_chunks else ["__k"])
 
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, around: int | None = None) -> DataFrame:
@@ -183,12 +203,16 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, a
     and the candidate's place in it, at; both are null for other candidates.
     """
     keep = keep or ["documento_id"]
-    found = detect_arrays(docs, text)
-    whole = F.coalesce(F.col(text), F.lit(""))
-    # Not explode: the filter on empty arrays that comes with it would run all of detection a second time.
-    found = found.select(*keep, *[whole.alias("whole")] * (around is not None), F.explode_outer("candidates").alias("x")).filter("x IS NOT NULL")
-    columns = [*keep, "x.start", "x.end", "x.text", "x.rule", "x.family"]
+    found = detect_arrays(docs, text, keep_chunks=around is not None)
+    each = F.col("candidates")
     if around is not None:
-        number = F.col("x.family") == "processo_cnj"
-        columns += [F.when(number, cut(F.col("whole"), F.col("x.start") - around, F.col("x.end") + around)).alias("context"), F.when(number, F.least(F.col("x.start"), F.lit(around))).alias("at")]
-    return found.select(*columns)
+        # Cut before the rows are dealt out, so that no candidate's row carries the whole text.
+        def placed(x: Column) -> Column:
+            number = x["family"] == "processo_cnj"
+            near = F.when(number, cut_chunks(F.col("__k"), x["start"] - around, x["end"] + around))
+            return F.struct(*[x[f].alias(f) for f in ("start", "end", "text", "rule", "family")], near.alias("context"), F.when(number, F.least(x["start"], F.lit(around))).alias("at"))
+
+        each = F.transform(each, placed)
+    # Not explode: the filter on empty arrays that comes with it would run all of detection a second time.
+    found = found.select(*keep, F.explode_outer(each).alias("x")).filter("x IS NOT NULL")
+    return found.select(*keep, "x.start", "x.end", "x.text", "x.rule", "x.family", *["x.context", "x.at"] * (around is not None))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import normal_id
-from lexspan.plans.runtime import materialize, ship
+from lexspan.operators.intervals import overlap_join, overlap_pairs
+from lexspan.plans.runtime import materialize
 
 #: Fixed values of the metric.
 CLASSES = ["real", "inventada", "incompleta"]
@@ -19,15 +19,6 @@ class SubmissionError(ValueError):
     """A submission breaks the format."""
 
 
-def overlap(a: str, b: str) -> Column:
-    return F.greatest(F.lit(0), F.least(f"{a}_end", f"{b}_end") - F.greatest(f"{a}_start", f"{b}_start"))
-
-
-def span_iou(a: str, b: str) -> Column:
-    both = overlap(a, b)
-    return F.when(both > 0, both / (F.col(f"{a}_end") - F.col(f"{a}_start") + F.col(f"{b}_end") - F.col(f"{b}_start") - both)).otherwise(0.0)
-
-
 def _blocks(frame: DataFrame, doc: str) -> DataFrame:
     cell = F.trim(F.coalesce(F.col("citacoes"), F.lit("")))
     blocks = F.when(cell.isin("", "-"), F.array().cast("array<string>")).otherwise(F.split(cell, r"\|"))
@@ -69,55 +60,72 @@ def parse_golds(solution: DataFrame, doc: str = "documento_id") -> DataFrame:
     return rows.join(solution.select(doc, F.col("nivel").cast("int").alias("nivel")), doc)
 
 
+def _body_iou(a: Column, b: Column) -> Column:
+    return F.when(F.col("both") > 0, F.col("both") / (a["end"] - a["start"] + b["end"] - b["start"] - F.col("both"))).otherwise(0.0)
+
+
+def _shared(pairs: DataFrame) -> DataFrame:
+    both = F.least("x.end", "y.end") - F.greatest("x.start", "y.start")
+    return pairs.withColumn("both", both).withColumn("iou", _body_iou(F.col("x"), F.col("y")))
+
+
+def _spans(frame: DataFrame, doc: str, name: str, letter: str) -> DataFrame:
+    return frame.select(doc, F.col(name).alias("at"), F.col(f"{letter}_start").alias("start"), F.col(f"{letter}_end").alias("end"))
+
+
+def _both_ways(pairs: DataFrame, doc: str) -> DataFrame:
+    """(doc, a, b): the two places of a pair, the smaller first."""
+    return pairs.select(F.col(f"x.{doc}").alias(doc), F.least("x.at", "y.at").alias("a"), F.greatest("x.at", "y.at").alias("b"))
+
+
 def duplicate_predictions(preds: DataFrame, doc: str = "documento_id") -> DataFrame:
     """Pairs of a document's predictions that overlap by half or more."""
-    a = preds.select(doc, F.col("pred").alias("a"), F.col("p_start").alias("a_start"), F.col("p_end").alias("a_end"))
-    b = preds.select(doc, F.col("pred").alias("b"), F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
-    return a.join(b, doc).filter((F.col("a") < F.col("b")) & (span_iou("a", "b") >= MATCH)).select(doc, "a", "b")
+    return _both_ways(_shared(overlap_pairs(_spans(preds, doc, "pred", "p"), [doc], names=("x", "y"))).filter(F.col("iou") >= MATCH), doc)
 
 
 def overlapping_golds(golds: DataFrame, doc: str = "documento_id") -> DataFrame:
-    a = golds.select(doc, F.col("gold").alias("a"), F.col("g_start").alias("a_start"), F.col("g_end").alias("a_end"))
-    b = golds.select(doc, F.col("gold").alias("b"), F.col("g_start").alias("b_start"), F.col("g_end").alias("b_end"))
-    return a.join(b, doc).filter((F.col("a") < F.col("b")) & (overlap("a", "b") > 0)).select(doc, "a", "b")
+    """Pairs of a document's golds that overlap at all."""
+    return _both_ways(overlap_pairs(_spans(golds, doc, "gold", "g"), [doc], names=("x", "y")), doc)
 
 
 def match_pairs(golds: DataFrame, preds: DataFrame, doc: str = "documento_id") -> DataFrame:
-    """Candidate pairs (doc, gold, pred, iou) that overlap by half or more: an equi-join with a residual."""
-    g = golds.select(doc, "gold", "g_start", "g_end")
-    p = preds.select(doc, "pred", "p_start", "p_end")
-    return g.join(p, doc).withColumn("iou", span_iou("g", "p")).filter(F.col("iou") >= MATCH).select(doc, "gold", "pred", "iou")
+    """Candidate pairs (doc, gold, pred, iou) that overlap by half or more."""
+    pairs = _shared(overlap_join(_spans(golds, doc, "gold", "g"), _spans(preds, doc, "pred", "p"), [doc], names=("x", "y")))
+    return pairs.filter(F.col("iou") >= MATCH).select(F.col(f"x.{doc}").alias(doc), F.col("x.at").alias("gold"), F.col("y.at").alias("pred"), "iou")
 
 
 def greedy_match(pairs: DataFrame, doc: str = "documento_id") -> DataFrame:
     """One-to-one pairs by (-iou, gold, pred), exact for any spans.
 
-    Where every prediction has one gold, a window decides. A document in which a prediction has two is matched by a
-    grouped map over its few pairs.
+    A pair that is the best of its gold and of its prediction is taken, whatever the others are: windows find it. Pairs
+    of which neither side is taken then are folded in order, document by document; with golds that do not
+    overlap few are left. pairs is read twice: give a written table where it is costly.
     """
-    ship(pairs.sparkSession)
-    flagged = pairs.withColumn("n", F.count("*").over(Window.partitionBy(doc, "pred")))
-    flagged = flagged.withColumn("hard", F.max(F.col("n") > 1).over(Window.partitionBy(doc)))
-    best = Window.partitionBy(doc, "gold").orderBy(F.desc("iou"), "pred")
-    easy = flagged.filter("NOT hard").withColumn("r", F.row_number().over(best)).filter("r = 1").select(doc, "gold", "pred", "iou")
-    kind = pairs.schema[doc].dataType.simpleString()
-
-    def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-        golds, preds, rows = set(), set(), []
-        for row in pdf.sort_values(["iou", "gold", "pred"], ascending=[False, True, True]).itertuples(index=False):
-            if row.gold not in golds and row.pred not in preds:
-                golds.add(row.gold)
-                preds.add(row.pred)
-                rows.append(row)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    hard = flagged.filter("hard").select(doc, "gold", "pred", "iou").groupBy(doc).applyInPandas(by_document, f"{doc} {kind}, gold int, pred int, iou double")
-    return easy.unionByName(hard)
+    order = [F.desc("iou"), "gold", "pred"]
+    ranked = pairs.withColumn("g", F.row_number().over(Window.partitionBy(doc, "gold").orderBy(*order)))
+    ranked = ranked.withColumn("p", F.row_number().over(Window.partitionBy(doc, "pred").orderBy(*order)))
+    best = (F.col("g") == 1) & (F.col("p") == 1)
+    ranked = ranked.withColumn("best", best)
+    ranked = ranked.withColumn("gone", F.max("best").over(Window.partitionBy(doc, "gold")) | F.max("best").over(Window.partitionBy(doc, "pred")))
+    item = F.struct((-F.col("iou")).alias("order"), "gold", "pred")
+    # One row a document: its best pairs, and what is left to fold.
+    per = ranked.filter("best OR NOT gone").groupBy(doc).agg(F.collect_list(F.when(F.col("best"), item)).alias("taken"), F.array_sort(F.collect_list(F.when(~F.col("best"), item))).alias("rest"))
+    kind = f"array<{per.schema['taken'].dataType.elementType.simpleString()}>"
+    nothing = F.struct(F.array().cast("array<int>").alias("golds"), F.array().cast("array<int>").alias("preds"), F.array().cast(kind).alias("out"))
+
+    def turn(acc: Column, x: Column) -> Column:
+        free = ~F.array_contains(acc["golds"], x["gold"]) & ~F.array_contains(acc["preds"], x["pred"])
+        more = F.struct(F.concat(acc["golds"], F.array(x["gold"])).alias("golds"), F.concat(acc["preds"], F.array(x["pred"])).alias("preds"), F.concat(acc["out"], F.array(x)).alias("out"))
+        return F.when(free, more).otherwise(acc)
+
+    folded = F.aggregate("rest", nothing, turn, lambda acc: acc["out"])
+    every = F.concat("taken", folded)
+    return per.select(doc, F.explode(every).alias("x")).select(doc, F.col("x.gold").alias("gold"), F.col("x.pred").alias("pred"), (-F.col("x.order")).alias("iou"))
 
 
 def outcomes(golds: DataFrame, preds: DataFrame, levels: DataFrame, doc: str = "documento_id") -> DataFrame:
     """Events of golds and predictions; levels has (doc, nivel) of every document. (nivel, kind, class, n, tau, brier): tp, fp, fn and support events with what severe errors and confidence add."""
-    matched = greedy_match(match_pairs(golds, preds, doc), doc)
+    matched = materialize(greedy_match(match_pairs(golds, preds, doc), doc))
     both = matched.join(golds.drop("error"), [doc, "gold"]).join(preds.drop("error"), [doc, "pred"])
     same = F.col("g_class") == F.col("p_class")
     linked = F.array_contains("g_ids", F.col("p_id"))
@@ -132,9 +140,10 @@ def outcomes(golds: DataFrame, preds: DataFrame, levels: DataFrame, doc: str = "
     support = golds.select("nivel", F.lit("support").alias("kind"), F.col("g_class").alias("class"), *none)
     missed = golds.join(matched.select(doc, "gold"), [doc, "gold"], "left_anti").select("nivel", F.lit("fn").alias("kind"), F.col("g_class").alias("class"), *none)
     spurious = preds.join(matched.select(doc, "pred"), [doc, "pred"], "left_anti")
-    homes = golds.join(matched.select(doc, "gold"), [doc, "gold"], "left_semi").select(F.col(doc).alias("__d"), "g_start", "g_end")
-    inside = (F.col(doc) == F.col("__d")) & (overlap("p", "g") / (F.col("p_end") - F.col("p_start")) >= INSIDE)
-    spurious = spurious.join(homes, inside, "left_anti").join(levels.select(doc, F.col("nivel").cast("int").alias("nivel")), doc, "left")
+    homes = golds.join(matched.select(doc, "gold"), [doc, "gold"], "left_semi")
+    within = _shared(overlap_join(_spans(homes, doc, "gold", "g"), _spans(spurious, doc, "pred", "p"), [doc], names=("x", "y")))
+    within = within.filter(F.col("both") / (F.col("y.end") - F.col("y.start")) >= INSIDE).select(F.col(f"y.{doc}").alias(doc), F.col("y.at").alias("pred")).distinct()
+    spurious = spurious.join(within, [doc, "pred"], "left_anti").join(levels.select(doc, F.col("nivel").cast("int").alias("nivel")), doc, "left")
     spurious = spurious.select("nivel", F.lit("fp").alias("kind"), F.col("p_class").alias("class"), *none)
     return pairs.unionByName(marks).unionByName(support).unionByName(missed).unionByName(spurious)
 
