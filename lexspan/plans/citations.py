@@ -19,6 +19,8 @@ from lexspan.plans.pipeline import resolve_texts
 from lexspan.plans.runtime import Scratch, table
 
 QUERIES, SQL = {}, {}
+#: Three digits of a key, which stand for {n} in templates.
+_N = "lpad(CAST({key} % 1000 AS {string}), 3, '0')"
 KIND = {"processo_ou_recurso": "processo", "sumula_numerada": "sumula", "lei_com_diploma": "lei", "dispositivo_legal": "artigo"}
 
 
@@ -32,6 +34,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _values(rows: list[tuple]) -> str:
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(quote(x) for x in (i, *r)) + ")" for i, r in enumerate(rows))
+
+
 def _spans(frame: DataFrame) -> DataFrame:
     return frame.withColumnRenamed("start", "span_start").withColumnRenamed("end", "span_end").withColumn("kind", law.lookup(F.col("rule"), KIND))
 
@@ -43,7 +50,7 @@ def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "parse_fields",
-    f"""WITH {S.SPANS_SQL} SELECT documento_id, kind, CASE kind WHEN 'processo' THEN 'REsp' END AS classe_raw,
+    f"""WITH {S.SPANS_SQL} SELECT documento_id, kind, CASE kind WHEN 'processo' THEN {S.CITED_CLASS} END AS classe_raw,
     CASE kind WHEN 'processo' THEN regexp_replace(regexp_extract(text, '[0-9][0-9.]+'), '[^0-9]', '', 'g') END AS numero_normalizado, CASE WHEN kind = 'processo' AND text LIKE '%SP' THEN 'SP' END AS uf,
     CASE kind WHEN 'sumula' THEN regexp_extract(text, '[0-9]+') END AS sumula_numero, CASE WHEN kind IN ('lei', 'artigo') THEN regexp_extract(text, '[0-9]+') END AS artigo,
     CASE kind WHEN 'lei' THEN 'CDC' END AS diploma_normalizado, CASE kind WHEN 'lei' THEN '1990' END AS law_year FROM spans""",
@@ -67,6 +74,33 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_identities(S.corpus(spark, sf_dir)).select("documento_id", "tribunal", "numero_normalizado")
 
 
+#: A header, its court, the number that it shows (null: none, or more than one) and where it was read.
+HEADERS = [
+    ("SEGUNDA TURMA\nHABEAS CORPUS 12.345.{n} RIO DE JANEIRO RELATOR : MIN. Y", "STF", "12345{n}", "formal_header"),
+    ("PLENÁRIO AGRAVO 11.222.{n} e 11.333.{n} PARANÁ RELATORA : MIN. Y", "STF", None, None),
+    ("AgInt no RECURSO ESPECIAL Nº 1.234.{n} - PR (2020/0) RELATOR : MINISTRO X", "STJ", "1234{n}", "formal_header"),
+    ("RECURSO ESPECIAL Nº 1.234.{n} - PR sem quem relate", "STJ", None, None),
+    ("VISTOS, RELATADOS E DISCUTIDOS ESTES AUTOS de Recurso TST-RR-12{n}-67.2015.5.24.0001, em que é", "TST", "12{n}6720155240001", "formal_header"),
+    ("VISTOS RELATADOS E DISCUTIDOS ESTES AUTOS TST-RR-12{n}-67.2015.5.24.0001 e TST-RR-13{n}-67.2015.5.24.0001, em que é", "TST", None, None),
+    ("APELAÇÃO Nº 7000{n}-45.2019.7.00.0000/DF RELATOR", "STM", "7000{n}4520197000000", "formal_header"),
+    ("TRIBUNAL SUPERIOR ELEITORAL ACÓRDÃO RECURSO ESPECIAL Nº 1{n}-45.2016.6.13.0001 RELATOR", "TSE", "1{n}4520166130001", "formal_header"),
+    ("TRIBUNAL SUPERIOR ELEITORAL ACÓRDÃO RECURSO ESPECIAL Nº 1{n}-4 5.2016.6.13.0001 RELATOR", "TSE", "1{n}4520166130001", "normalized_header"),
+    ("TRIBUNAL SUPERIOR ELEITORAL ACÓRDÃO RECURSO Nº 25.{n} RELATOR", "TSE", "25{n}", "formal_header"),
+    ("TRIBUNAL SUPERIOR ELEITORAL ACÓRDÃO sem título RELATOR Fulano. No AgR-REspe 1{n}-45.2016.6.13.0001 decidiu", "TSE", "1{n}4520166130001", "intradocument_fallback"),
+    ("TRIBUNAL SUPERIOR ELEITORAL ACÓRDÃO 1{n}-45.2016.6.13.0001 e 2{n}-45.2016.6.13.0001 RELATOR", "TSE", None, None),
+    ("outra corte Nº 1.234.{n} - PR RELATOR", "TJX", None, None),
+]
+
+
+@query("court_identities", f"SELECT c_custkey, CASE WHEN t <> 'TJX' THEN t END AS tribunal, replace(w, '{{n}}', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) AS numero, src AS source FROM customer JOIN (VALUES {_values([h[1:] for h in HEADERS])}) v(k, t, w, src) ON k = c_custkey % {len(HEADERS)}")
+def court_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c, _, _ in HEADERS])
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.get(every, (F.col("c_custkey") % len(HEADERS)).cast("int")).alias("x"))
+    text = F.replace("x.t", F.lit("{n}"), F.expr(_N.format(key="c_custkey", string="STRING")))
+    rulings = c.select(F.col("c_custkey").cast("string").alias("documento_id"), F.col("c_custkey").alias("id"), F.col("x.c").alias("tribunal"), F.lit("acordao").alias("natureza"), text.alias("texto"))
+    return case_identities(rulings).select(F.col("id").alias("c_custkey"), "tribunal", F.col("numero_normalizado").alias("numero"), F.col("identity.parse_source").alias("source"))
+
+
 @query(
     "index_stats",
     f"""WITH k AS (SELECT {S.NUMBER} AS n, count(*) AS c FROM customer GROUP BY 1)
@@ -86,12 +120,12 @@ def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).cases.select("numero_normalizado", ids.alias("ids"))
 
 
-@query("provision_keys", "SELECT (2000000000000 + p_partkey)::BIGINT AS id, CAST(p_partkey AS VARCHAR) AS article, 'CDC' AS diploma FROM part")
+@query("provision_keys", f"SELECT (2000000000000 + p_partkey)::BIGINT AS id, CAST({S.SERIAL} AS VARCHAR) AS article, 'CDC' AS diploma FROM part")
 def provision_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).provisions.select(F.explode("ids").alias("id"), "article", "diploma")
 
 
-@query("sumula_numbers", "SELECT CAST(p_partkey AS VARCHAR) AS number, (1000000000000 + p_partkey)::BIGINT AS id, 'STJ' AS tribunal FROM part")
+@query("sumula_numbers", f"SELECT CAST({S.SERIAL} AS VARCHAR) AS number, (1000000000000 + p_partkey)::BIGINT AS id, 'STJ' AS tribunal FROM part")
 def sumula_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).sumulas.select("number", F.explode("records").alias("r")).select("number", "r.id", "r.tribunal")
 
@@ -120,14 +154,6 @@ ALIASES = [
     ("CF/88", 0, None, "guarded_alias"), ("Código Penal", 0, "CP", "recognized_uncovered_alias"), ("Código de Defsa", 0, None, "unknown"), ("Lei Complementar nº 64/1990", 0, "LC:64:1990", "safe_alias"),
     ("Estatuto", 1, None, "unknown"), ("Lei n. 1.0{n}/2001", 0, "LEI:10{n}:2001", "statute_number_alias"),
 ]
-_N = "lpad(CAST({key} % 1000 AS {string}), 3, '0')"
-
-
-def _values(rows: list[tuple]) -> str:
-    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(quote(x) for x in (i, *r)) + ")" for i, r in enumerate(rows))
-
-
 @query(
     "fold_alias",
     f"""SELECT p_partkey, replace(d, '{{n}}', {_N.format(key="p_partkey", string="VARCHAR")}) AS diploma, w AS source FROM part JOIN (VALUES {_values(ALIASES)}) v(k, name, strong, d, w) ON k = p_partkey % {len(ALIASES)}""",
