@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import patterns as P
 from lexspan.operators import arbitrate as A
 from lexspan.operators.detect import detect
-from lexspan.operators.index import Corpus
+from lexspan.operators.index import Corpus, provision_catalog, sumula_index
 from lexspan.operators.parse import parse
 from lexspan.operators.resolve import resolve
 from lexspan.operators.serialize import with_class
@@ -46,6 +46,20 @@ DETECT = [
     ("o art. {n}, da\n\nCF/88", [("dispositivo_legal", WITHOUT, "art. {n}")]),
     ("Lei n. 8.{n}/1990 apenas", []),
     ("acórdão do STJ.\n\nEm 2019 {n}", []),
+    # 20 digits without a layout; a number that a class rule has already; letters read for digits; a prefix of a CNJ number
+    ("visto Ag. Int. No 12345678901234567{n}, sim", [("degraded_compact_cnj", NUMBERED, "Ag. Int. No 12345678901234567{n}")]),
+    ("a REspe. n° 1234567-89.0123-\n.4.56.7{n}/BA, sim", [("degraded_compact_cnj", NUMBERED, "REspe. n° 1234567-89.0123-\n.4.56.7{n}/BA")]),
+    ("o REsp 12345678901234567{n}, visto", [("processo_ou_recurso", NUMBERED, "REsp 12345678901234567{n}")]),
+    ("o REsp. 12345678901234567{n} sim", []),
+    ("o REsp nº 1{n}O5/PR visto", [("processo_ou_recurso", NUMBERED, "REsp nº 1{n}O5/PR")]),
+    ("o REsp nº 1{n}X5/PR visto", [("processo_ou_recurso", NUMBERED, "REsp nº 1{n}")]),
+    ("o Recurso Especial Eleitoral nº 1{n}-73.2014.6.21.0000, visto", [("cnj", CNJ, "Recurso Especial Eleitoral nº 1{n}-73.2014.6.21.0000")]),
+    ("Recurso Especial Eleitoral nº foi mencionado. Autos 1234{n}-89.2020.1.23.4567", [("cnj", CNJ, "1234{n}-89.2020.1.23.4567")]),
+    # a chain of decision, court, year and relator covers the court's own context
+    ("o Recurso Especial nº 1{n}-73.2014.6.21.0000, visto", [("processo_ou_recurso", CNJ, "Recurso Especial nº 1{n}-73.2014.6.21.0000"), ("cnj", CNJ, "1{n}-73.2014.6.21.0000")]),
+    ("Rcl STJ, julgado em 2019 Rel. Ana Lima disse {n}", [("decision_tribunal_relator_year", CONTEXTUAL, "Rcl STJ, julgado em 2019 Rel. Ana Lima")]),
+    ("Rcl do STF de 2024, Rel. Rosa Lima disse {n}", [("decision_tribunal_relator_year", CONTEXTUAL, "Rcl do STF de 2024, Rel. Rosa Lima"), ("tribunal_contextual", CONTEXTUAL, "STF de 2024")]),
+    ("a AR n. 2{n} (SP) vista", [("processo_ou_recurso", NUMBERED, "AR n. 2{n} (SP)")]),
 ]
 _DETECT_ROWS = [(k, r, f, s) for k, (_, found) in enumerate(DETECT) for r, f, s in found]
 
@@ -219,6 +233,75 @@ def cnj_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(rows.withColumns(empty), corpus).select("o_orderkey", "resolution.status", "resolution.reason", "resolution.id_canonico")
 
 
+#: A statute reference to article {c}, whether it has no diploma's family, and what resolution says where the catalogue has no say.
+STATUTE_TEXTS = [
+    ("art. {c} da CF/88", None), ("art. {c} do CPC", None), ("art. {c} da CLT", "legal_diploma_namespace_uncovered"), ("art. {c}", "legal_identity_incomplete"), ("art. {c} do Código Penal", "legal_identity_incomplete"),
+    ("art. {c} do Código de De", "legal_identity_critical_ocr"), ("art. {c}-A da CF/88", "legal_identity_incomplete"), ("art. {c} da Lei nº 12.345/2020", "legal_identity_incomplete"),
+]
+#: The catalogue has two provisions of a part in three, no header in one of four parts; CF and CPC by turns.
+_CATALOGUE = "CAST(1 + floor(p_partkey / 4) AS BIGINT)"
+
+
+def _cited_text(spark: SparkSession, sf_dir: str, texts: list[str], number: str) -> DataFrame:
+    """(o_orderkey, start, end, text, rule): a template of each order with the number that it cites in place of {c}."""
+    o = table(spark, sf_dir, "orders")
+    text = F.replace(F.get(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts)).cast("int")), F.lit("{c}"), F.expr(number).cast("string"))
+    return o.select("o_orderkey", F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"), F.lit("r").alias("rule"))
+
+
+def _dimensions(spark: SparkSession, **given: DataFrame) -> Corpus:
+    none = {
+        "identities": "id bigint", "cases": "tribunal string, numero_normalizado string, records array<struct<documento_id:string,id:bigint,classe:string>>",
+        "sumulas": "number string, records array<struct<id:bigint,tribunal:string>>", "provisions": "article string, diploma string, ids array<bigint>", "namespaces": "diploma string",
+    }
+    return Corpus(**{k: given.get(k) if k in given else spark.createDataFrame([], schema) for k, schema in none.items()})
+
+
+@query(
+    "statute_status",
+    f"""WITH cat AS (SELECT p_partkey AS id, {_CATALOGUE} AS article, CASE WHEN p_partkey % 4 = 1 THEN 'CPC' ELSE 'CF' END AS diploma FROM part WHERE p_partkey % 4 IN (0, 1) OR (p_partkey % 4 = 2 AND {_CATALOGUE} % 3 = 0)),
+    hits AS (SELECT article, diploma, count(*) AS n, min(id) AS id FROM cat GROUP BY 1, 2),
+    q AS (SELECT o_orderkey, o_custkey, r FROM orders JOIN (VALUES {_values([(r,) for _, r in STATUTE_TEXTS])}) v(k, r) ON k = o_orderkey % {len(STATUTE_TEXTS)})
+    SELECT o_orderkey, CASE WHEN r IS NOT NULL THEN 'insufficient' WHEN n IS NULL THEN 'no_match' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+           CASE WHEN r IS NOT NULL THEN r WHEN n IS NULL THEN 'legal_article_diploma_not_found' WHEN n = 1 THEN 'legal_article_diploma_unique' ELSE 'legal_catalog_key_ambiguous' END AS reason,
+           CASE WHEN r IS NULL AND n = 1 THEN id END AS id_canonico
+    FROM q LEFT JOIN hits ON article = 1 + o_custkey AND diploma = CASE o_orderkey % {len(STATUTE_TEXTS)} WHEN 1 THEN 'CPC' ELSE 'CF' END""",
+)
+def statute_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    name = F.when(p % 4 == 1, ". Código de Processo Civil").otherwise(". Constituição da República")
+    text = F.when((p % 4 < 2) | ((p % 4 == 2) & (F.expr(_CATALOGUE) % 3 == 0)), F.concat(F.lit("Art. "), F.expr(_CATALOGUE).cast("string"), name)).otherwise("sem cabeçalho")
+    catalog = provision_catalog(table(spark, sf_dir, "part").select(p.alias("id"), F.lit("dispositivo").alias("natureza"), text.alias("texto")))
+    known = _dimensions(spark, provisions=catalog.groupBy("article", "diploma").agg(F.sort_array(F.collect_list("id")).alias("ids")), namespaces=catalog.select("diploma").distinct())
+    rows = _cited_text(spark, sf_dir, [t for t, _ in STATUTE_TEXTS], "1 + o_custkey")
+    parsed = parse(rows.withColumn("family", F.when(F.col("text").contains(" d"), WITH).otherwise(WITHOUT)))
+    return resolve(materialize(parsed), known).select("o_orderkey", "resolution.status", "resolution.reason", "resolution.id_canonico")
+
+
+#: A súmula as cited, with the court that it names.
+SUMULA_TEXTS = [("Súmula {c} do STJ", "STJ"), ("Súmula {c} do Tribunal Superior do Trabalho", "TST"), ("Súmula {c}", None), ("Súmula {c} do TSE", "TSE"), ("súmula sem número {c}", "-")]
+
+
+@query(
+    "sumula_status",
+    f"""WITH s AS (SELECT p_partkey AS id, CAST(1 + floor(p_partkey / 3) AS BIGINT) AS number, CASE WHEN p_partkey % 3 = 0 THEN 'STJ' WHEN p_partkey % 3 = 1 THEN 'TST' WHEN floor(p_partkey / 3) % 4 = 0 THEN 'TST' END AS court FROM part),
+    q AS (SELECT o_orderkey, o_custkey, court FROM orders JOIN (VALUES {_values([(c,) for _, c in SUMULA_TEXTS])}) v(k, court) ON k = o_orderkey % {len(SUMULA_TEXTS)}),
+    h AS (SELECT q.o_orderkey, q.court, count(s.id) AS n, min(s.id) AS id FROM q LEFT JOIN s ON s.court IS NOT NULL AND s.number = 1 + q.o_custkey // 2 AND (q.court IS NULL OR q.court = s.court) GROUP BY 1, 2)
+    SELECT o_orderkey, CASE WHEN court = '-' THEN 'insufficient' WHEN n = 0 THEN 'no_match' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+           CASE WHEN court = '-' THEN 'sumula_number_missing' WHEN n = 0 THEN CASE WHEN court IS NULL THEN 'sumula_number_not_found' ELSE 'sumula_not_found' END WHEN n = 1 THEN 'sumula_unique'
+                WHEN court IS NULL THEN 'sumula_number_ambiguous' ELSE 'sumula_has_multiple_canonical_ids' END AS reason, CASE WHEN court IS DISTINCT FROM '-' AND n = 1 THEN id END AS id_canonico FROM h""",
+)
+def sumula_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    third = F.floor(p / 3)
+    court = F.when(p % 3 == 0, "STJ").when(p % 3 == 1, "TST").when(third % 4 == 0, "TST")
+    text = F.when(court.isNotNull(), F.concat(F.lit("SÚMULA "), (1 + third).cast("string"))).otherwise("sem número")
+    rows = table(spark, sf_dir, "part").select(p.alias("id"), F.lit("sumula").alias("natureza"), court.alias("tribunal"), text.alias("texto"))
+    cited = _cited_text(spark, sf_dir, [t for t, _ in SUMULA_TEXTS], "1 + CAST(floor(o_custkey / 2) AS BIGINT)")
+    parsed = parse(cited.withColumn("family", F.lit("sumula_numerada")))
+    return resolve(materialize(parsed), _dimensions(spark, sumulas=sumula_index(rows))).select("o_orderkey", "resolution.status", "resolution.reason", "resolution.id_canonico")
+
+
 # --- the whole run ----------------------------------------------------------------------------------------------------------
 
 #: An article inside a statute span is suppressed; nothing else of the template overlaps.

@@ -1,19 +1,27 @@
 """A read-only SQLite source: spark.read.format("sqlite_table"), for databases on a path that every executor sees.
 
-Options: path, table, columns (comma-separated; all by default), partitions. Rows are split by rowid ranges.
+Options: path (a database, or a folder of *.db that all have the table), table, columns (comma-separated; all by default),
+partitions. Filters that Spark finds above the scan go into SQLite's own query; rows are split by ranks of their rowid.
 """
 
 from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not,
+)
 from pyspark.sql.types import StructType
 
+from lexspan.plans.runtime import ship
+
 _TYPES = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "TEXT": "string", "BLOB": "binary"}
+_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 def connect(path: str) -> sqlite3.Connection:
@@ -28,28 +36,80 @@ def _name(value: str) -> str:
     return '"' + value.replace('"', '""') + '"'
 
 
+@dataclass
 class RowRange(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    """Rows of one database file; without bounds the whole table."""
+
+    file: str
+    low: int | None = None
+    high: int | None = None
+
+
+def database_files(path: str) -> list[str]:
+    """The file itself, or the *.db files of a folder: a table may be dealt to several databases."""
+    p = Path(path.removeprefix("file://"))
+    return sorted(map(str, p.glob("*.db"))) if p.is_dir() else [str(p)]
 
 
 class SqliteReader(DataSourceReader):
+    """Filters on integers and texts are evaluated by SQLite; partitions have about equal numbers of the rows that pass them."""
+
     def __init__(self, schema: StructType, options: dict):
         self.names, self.options = schema.names, dict(options)
+        self.kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+        self.where: list[str] = []
+        self.values: list = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if (found := self._condition(f)) is None:
+                yield f  # Spark evaluates it
+            else:
+                self.where.append(found[0])
+                self.values += found[1]
+
+    def _condition(self, f: Filter) -> tuple[str, list] | None:
+        if isinstance(f, Not):
+            inner = self._condition(f.child)
+            return inner and (f"NOT ({inner[0]})", inner[1])
+        column = getattr(f, "attribute", ())
+        if len(column) != 1 or column[0] not in self.kinds:
+            return None
+        name = _name(column[0])
+        if isinstance(f, (IsNull, IsNotNull)):
+            return f"{name} IS {'' if isinstance(f, IsNull) else 'NOT '}NULL", []
+        values = list(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
+        kind = {"bigint": int, "string": str}.get(self.kinds[column[0]])
+        if kind is None or not all(type(v) is kind for v in values):
+            return None
+        side = f"{name} COLLATE BINARY" if kind is str else name
+        if isinstance(f, In):
+            return f"{side} IN ({', '.join('?' * len(values))})", values
+        return (f"{side} {_SIGNS[type(f)]} ?", values) if type(f) in _SIGNS else None
+
+    def _query(self, what: str, more: str = "") -> str:
+        conditions = " AND ".join(self.where + [more] * bool(more))
+        return f"SELECT {what} FROM {_name(self.options['table'])}" + f" WHERE {conditions}" * bool(conditions)
 
     def partitions(self) -> list[RowRange]:
-        n = max(1, int(self.options.get("partitions", 1)))
-        with connect(self.options["path"]) as c:
-            low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {_name(self.options['table'])}").fetchone()
-        if low is None:
-            return []
-        step = -(-(high - low + 1) // n)
-        return [RowRange(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+        n, out = max(1, int(self.options.get("partitions", 1))), []
+        files = database_files(self.options["path"])
+        each = max(1, -(-n // max(1, len(files))))
+        for file in files:
+            with closing(connect(file)) as c:
+                # Bounds by rank, not by value: ids with gaps still give equal parts.
+                ranked = self._query(f"rowid AS r, ntile({each}) OVER (ORDER BY rowid) AS part")
+                try:
+                    out += [RowRange(file, low, high) for low, high in c.execute(f"SELECT min(r), max(r) FROM ({ranked}) GROUP BY part ORDER BY part", self.values)]
+                except sqlite3.OperationalError:  # a table without row ids
+                    out.append(RowRange(file))
+        return out or [RowRange(file) for file in files[:1]]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
-        columns = ", ".join(map(_name, self.names))
-        with connect(self.options["path"]) as c:
-            yield from c.execute(f"SELECT {columns} FROM {_name(self.options['table'])} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (partition.low, partition.high))
+        ranged = partition.low is not None
+        query = self._query(", ".join(map(_name, self.names)), "rowid BETWEEN ? AND ?" if ranged else "")
+        with closing(connect(partition.file)) as c:
+            yield from c.execute(query + " ORDER BY rowid" * ranged, [*self.values, *([partition.low, partition.high] if ranged else [])])
 
 
 class SqliteSource(DataSource):
@@ -59,7 +119,7 @@ class SqliteSource(DataSource):
 
     def schema(self) -> str:
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-        with connect(self.options["path"]) as c:
+        with closing(connect(database_files(self.options["path"])[0])) as c:
             kinds = {r[1]: (r[2] or "TEXT").upper() for r in c.execute(f"PRAGMA table_info({_name(self.options['table'])})")}
         if not kinds:
             raise ValueError(f"no table {self.options['table']}")
@@ -71,8 +131,12 @@ class SqliteSource(DataSource):
         return SqliteReader(schema, self.options)
 
 
-def read_table(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, partitions: int = 1):
+def read_table(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, partitions: int | None = None):
+    """The table as a frame; by default as many partitions as the session has cores."""
+    ship(spark)
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    partitions = partitions or spark.sparkContext.defaultParallelism
     reader = spark.read.format("sqlite_table").option("path", path).option("table", table).option("partitions", partitions)
     return (reader.option("columns", ",".join(columns)) if columns else reader).load()
 

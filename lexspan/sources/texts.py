@@ -5,30 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.plans.runtime import ship
+from lexspan.sources import files, textfolder
+
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(documento_id, text) of every *.txt directly in a folder: UTF-8, the name without its end as the id.
 
-    Spark's binary source skips empty files and names that begin with a dot or underscore; those few come from a
-    listing of the folder. Line ends become \\n, so that positions count one sign per line end. Any path Spark reads.
+    Line ends become \n, so that positions count one sign per line end. Executors read the files, empty and hidden ones too.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
-        raise ValueError(f"not a folder: {folder}")
-    named = [s for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().endswith(".txt")]
-    hidden = [s.getPath().getName() for s in named if s.getPath().getName()[:1] in "._" or s.getLen() == 0]
-    frame = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
-    for name in hidden:  # rare: each is opened by its full path
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(path, name))
-        try:
-            content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
-        frame = frame.unionByName(spark.createDataFrame([(f"{folder}/{name}", bytearray(content))], "path string, content binary"))
-    name = F.regexp_replace(F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1), r"\.txt$", "")
-    return frame.select(name.alias("documento_id"), F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"))
+    if not files.readable(folder):
+        raise ValueError(f"no file system for {folder}: use a mounted path, or a scheme that Arrow opens")
+    files.names(folder, textfolder.END)  # a wrong path is named before anything is planned
+    ship(spark)
+    spark.dataSource.register(textfolder.TextFolderSource)
+    return spark.read.format("text_folder").load(folder)
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

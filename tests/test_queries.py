@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexspan.plans import analytics, product, profile  # noqa: F401
+from lexspan.plans import analytics, exchange, product, profile  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
