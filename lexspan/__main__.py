@@ -13,6 +13,7 @@ from lexspan.sources import sqlite, texts
 
 #: The corpus's table and the columns that the run reads, and where a database is looked for if none is named.
 TABLE, COLUMNS = "documentos", ["documento_id", "id", "tribunal", "ano", "relator", "natureza", "texto"]
+KINDS = ["acordao", "sumula", "dispositivo"]
 DEFAULT_DATABASE = os.path.join("data", "corpus.db")
 
 
@@ -29,7 +30,7 @@ def submit(spark: SparkSession, database: str | None, folder: str, output: str,
     database = database_path(database)
     if "://" not in folder and not os.path.isdir(folder):
         raise ValueError(f"no folder of texts at {folder}")
-    corpus = sqlite.read_table(spark, database, TABLE, COLUMNS, partitions)
+    corpus = sqlite.read_corpus(spark, database, TABLE, COLUMNS, KINDS, partitions=partitions)
     run = run_pipeline(texts.read_texts(spark, folder), corpus)
     write_submission(run.rows, output)
     return run

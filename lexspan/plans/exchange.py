@@ -70,7 +70,7 @@ def database_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(k % 4 < 2, "acordao").when(k % 4 == 2, "sumula")
     rows = table(spark, sf_dir, "customer").select(k.alias("id"), kind.alias("natureza"), (2000 + k % 20).cast("long").alias("ano"), "c_mktsegment")
     write_databases(rows.repartition(4), folder, "documentos")
-    found = sqlite.read_table(spark, folder, "documentos")
+    found = sqlite.read_table(spark, folder, "documentos", pushdown=True)
     return found.filter("natureza = 'acordao' AND ano >= 2005 AND upper(c_mktsegment) <> 'BUILDING'").select("id", "natureza", "ano")
 
 

@@ -1,18 +1,21 @@
 """A read-only SQLite source: spark.read.format("sqlite_table"), for databases on a path that every executor sees.
 
 Options: path (a database, or a folder of *.db that all have the table), table, columns (comma-separated; all by default),
-partitions. Filters that Spark finds above the scan go into SQLite's own query; rows are split by ranks of their rowid.
+equals (JSON, column to value, evaluated by SQLite), pushdown (true: filters above the scan go into SQLite's query), partitions.
+Rows are split by ranks of their rowid.
 """
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from collections.abc import Iterator
 from contextlib import closing
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not,
 )
@@ -52,13 +55,42 @@ def database_files(path: str) -> list[str]:
 
 
 class SqliteReader(DataSourceReader):
-    """Filters on integers and texts are evaluated by SQLite; partitions have about equal numbers of the rows that pass them."""
+    """SQLite evaluates the option `equals`; partitions have about equal numbers of the rows that pass it."""
 
     def __init__(self, schema: StructType, options: dict):
         self.names, self.options = schema.names, dict(options)
         self.kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
-        self.where: list[str] = []
-        self.values: list = []
+        given = json.loads(self.options.get("equals", "{}"))
+        self.where = [f"{_name(c)} COLLATE BINARY = ?" for c in given]
+        self.values: list = list(given.values())
+
+    def _query(self, what: str, more: str = "") -> str:
+        conditions = " AND ".join(self.where + [more] * bool(more))
+        return f"SELECT {what} FROM {_name(self.options['table'])}" + f" WHERE {conditions}" * bool(conditions)
+
+    def partitions(self) -> list[RowRange]:
+        n, out = max(1, int(self.options.get("partitions", 1))), []
+        files = database_files(self.options["path"])
+        each = max(1, -(-n // max(1, len(files))))
+        for file in files:
+            with closing(connect(file)) as c:
+                # Bounds by rank, not by value: ids with gaps still give equal parts.
+                ranked = self._query(f"rowid AS r, ntile({each}) OVER (ORDER BY rowid) AS part")
+                try:
+                    out += [RowRange(file, low, high) for low, high in c.execute(f"SELECT min(r), max(r) FROM ({ranked}) GROUP BY part ORDER BY part", self.values)]
+                except sqlite3.OperationalError:  # a table without row ids
+                    out.append(RowRange(file))
+        return out or [RowRange(file) for file in files[:1]]
+
+    def read(self, partition: RowRange) -> Iterator[tuple]:
+        ranged = partition.low is not None
+        query = self._query(", ".join(map(_name, self.names)), "rowid BETWEEN ? AND ?" if ranged else "")
+        with closing(connect(partition.file)) as c:
+            yield from c.execute(query + " ORDER BY rowid" * ranged, [*self.values, *([partition.low, partition.high] if ranged else [])])
+
+
+class PushingReader(SqliteReader):
+    """Takes over the filters on integers and texts that Spark finds above the scan."""
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -87,30 +119,6 @@ class SqliteReader(DataSourceReader):
             return f"{side} IN ({', '.join('?' * len(values))})", values
         return (f"{side} {_SIGNS[type(f)]} ?", values) if type(f) in _SIGNS else None
 
-    def _query(self, what: str, more: str = "") -> str:
-        conditions = " AND ".join(self.where + [more] * bool(more))
-        return f"SELECT {what} FROM {_name(self.options['table'])}" + f" WHERE {conditions}" * bool(conditions)
-
-    def partitions(self) -> list[RowRange]:
-        n, out = max(1, int(self.options.get("partitions", 1))), []
-        files = database_files(self.options["path"])
-        each = max(1, -(-n // max(1, len(files))))
-        for file in files:
-            with closing(connect(file)) as c:
-                # Bounds by rank, not by value: ids with gaps still give equal parts.
-                ranked = self._query(f"rowid AS r, ntile({each}) OVER (ORDER BY rowid) AS part")
-                try:
-                    out += [RowRange(file, low, high) for low, high in c.execute(f"SELECT min(r), max(r) FROM ({ranked}) GROUP BY part ORDER BY part", self.values)]
-                except sqlite3.OperationalError:  # a table without row ids
-                    out.append(RowRange(file))
-        return out or [RowRange(file) for file in files[:1]]
-
-    def read(self, partition: RowRange) -> Iterator[tuple]:
-        ranged = partition.low is not None
-        query = self._query(", ".join(map(_name, self.names)), "rowid BETWEEN ? AND ?" if ranged else "")
-        with closing(connect(partition.file)) as c:
-            yield from c.execute(query + " ORDER BY rowid" * ranged, [*self.values, *([partition.low, partition.high] if ranged else [])])
-
 
 class SqliteSource(DataSource):
     @classmethod
@@ -128,19 +136,40 @@ class SqliteSource(DataSource):
         return ", ".join(f"`{c}` {_TYPES.get(kinds[c], 'string')}" for c in wanted or kinds)
 
     def reader(self, schema: StructType) -> SqliteReader:
-        return SqliteReader(schema, self.options)
+        return (PushingReader if self.options.get("pushdown") == "true" else SqliteReader)(schema, self.options)
 
 
-def read_table(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, partitions: int | None = None):
-    """The table as a frame; by default as many partitions as the session has cores."""
+def read_table(
+    spark: SparkSession, path: str, table: str, columns: list[str] | None = None, partitions: int | None = None, equals: dict | None = None, pushdown: bool = False
+) -> DataFrame:
+    """The table as a frame; by default as many partitions as the session has cores.
+
+    equals: column values that SQLite selects by. pushdown: filters above the scan go into SQLite too. A frame with pushdown is
+    for one use: Spark keeps what a Python source was last given, so that a second query of the same frame would
+    still see the first one's filters.
+    """
     ship(spark)
     spark.dataSource.register(SqliteSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    partitions = partitions or spark.sparkContext.defaultParallelism
-    reader = spark.read.format("sqlite_table").option("path", path).option("table", table).option("partitions", partitions)
+    reader = spark.read.format("sqlite_table").option("path", path).option("table", table).option("partitions", partitions or spark.sparkContext.defaultParallelism)
+    if equals:
+        reader = reader.option("equals", json.dumps(equals))
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        reader = reader.option("pushdown", "true")
     return (reader.option("columns", ",".join(columns)) if columns else reader).load()
 
 
+def read_corpus(spark: SparkSession, path: str, table: str, columns: list[str], kinds: list[str], kind: str = "natureza", partitions: int | None = None) -> DataFrame:
+    """The rows of each kind, selected inside SQLite. The kind is a constant of its branch, so that a filter on it above leaves
+    one branch of the plan, and the others are not read."""
+    names = [c for c in columns if c != kind]
+    parts = [read_table(spark, path, table, names, partitions, {kind: k}).withColumn(kind, F.lit(k)).select(*columns) for k in kinds]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def catalog(path: str) -> dict[str, list[tuple[str, str]]]:
     """Tables of a database with their columns and types."""
     with connect(path) as c:

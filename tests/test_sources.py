@@ -37,7 +37,8 @@ def test_sqlite_evaluates_filters_and_splits_by_rank(spark, tmp_path):
         with sqlite3.connect(str(path / f"{k}.db")) as c:
             c.execute("CREATE TABLE documentos (id INTEGER PRIMARY KEY, natureza TEXT COLLATE NOCASE, ano INTEGER)")
             c.executemany("INSERT INTO documentos VALUES (?, ?, ?)", [(k + 10**i, ["acordao", "Acordao", "sumula", None][i % 4], i) for i in range(17)])
-    frame = sqlite.read_table(spark, str(path), "documentos", partitions=8)
+    fresh = lambda: sqlite.read_table(spark, str(path), "documentos", partitions=8, pushdown=True)
+    frame = fresh()
     reader = sqlite.SqliteReader(frame.schema, {"path": str(path), "table": "documentos", "partitions": 8})
     assert len(reader.partitions()) == 8 and {len(list(reader.read(p))) for p in reader.partitions()} == {4, 5}
     some = frame.filter("natureza = 'acordao' AND ano >= 4 AND id % 2 = 0")
@@ -45,8 +46,19 @@ def test_sqlite_evaluates_filters_and_splits_by_rank(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     kept = [line for line in plan.splitlines() if "Filter (" in line]
     assert kept and all("natureza" not in line and "ano" not in line and "id#" in line for line in kept)
-    assert frame.filter("natureza IN ('sumula', 'x') OR ano = 3").count() == 10 and frame.filter("natureza IS NULL").count() == 8
-    assert frame.filter("natureza NOT IN ('acordao', 'sumula')").count() == 8
+    assert fresh().filter("natureza IN ('sumula', 'x') OR ano = 3").count() == 10 and fresh().filter("natureza IS NULL").count() == 8
+    assert fresh().filter("natureza NOT IN ('acordao', 'sumula')").count() == 8 and fresh().count() == 34
+
+
+def test_corpus_reads_one_kind_only(spark, tmp_path):
+    path = str(tmp_path / "c.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE documentos (id INTEGER, natureza TEXT, texto TEXT)")
+        c.executemany("INSERT INTO documentos VALUES (?, ?, ?)", [(i, ["acordao", "sumula", "x"][i % 3], f"t{i}") for i in range(30)])
+    frame = sqlite.read_corpus(spark, path, "documentos", ["id", "natureza", "texto"], ["acordao", "sumula"], partitions=2)
+    one = frame.filter("natureza = 'sumula'")
+    assert sorted(r.id for r in one.collect()) == list(range(1, 30, 3)) and frame.count() == 20
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 1
 
 
 def test_many_empty_files(spark, tmp_path):
