@@ -232,18 +232,26 @@ def repeated_lines(index: LineIndex, lines: DataFrame) -> DataFrame:
     """(doc_id, row, pos) of the keyed lines whose key another, smaller doc_id owns: lines to drop.
 
     Lines meet their shard's filter in a sorted stream: the filter's row comes first, then the lines, batch by batch.
-    A shard's lines are dealt to several tasks (salted by document, the filter goes to each), so that a hot shard
-    does not end in one task. Lines that the filter passes are checked against the exact counts; hot keys, at most
-    HOT_SHARE in number, are checked by a broadcast, all others by a shuffled join.
+    Hot keys, at most HOT_SHARE in number, are known from the exact counts by a broadcast before lines are dealt out: their
+    lines need no filter and go to tasks by document, so that a line in every document loads all tasks alike. No other key
+    has more than 1 in HOT_SHARE of the postings. Few shards are dealt to several tasks each (salted by document, the
+    filter goes to each). Lines that the filter passes are checked against the exact counts by a shuffled join.
     """
     spark = lines.sparkSession
     ship(spark)
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // index.shards))
-    own = lines.withColumn("shard", _shard(index.shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    total = index.counts.agg(F.sum("documents")).first()[0] or 0
+    hot = F.col("documents") * HOT_SHARE > total
+    hot_keys = F.broadcast(index.counts.filter(hot).select(*KEY, F.col("owner").alias("hot_owner")))
+    cold_keys = index.counts.filter(~hot).select(*KEY, "owner")
+    own = lines.join(hot_keys, KEY, "left")
+    by_document = F.pmod(F.xxhash64("doc_id"), F.lit(index.shards * salts))
+    shard = F.when(F.col("hot_owner").isNull(), _shard(index.shards)).otherwise(F.floor(by_document / salts))
+    own = own.withColumn("shard", shard.cast("int")).withColumn("salt", F.when(F.col("hot_owner").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(by_document % salts).cast("int"))
     first = index.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "table")
-    rows = own.select("shard", "salt", F.lit(1).alias("kind"), "doc_id", "row", "pos", *KEY, F.lit(None).cast("binary").alias("table"))
+    rows = own.select("shard", "salt", F.lit(1).alias("kind"), "doc_id", "row", "pos", *KEY, "hot_owner", F.lit(None).cast("binary").alias("table"))
     none = [F.lit(0).cast("long").alias(c) for c in ("doc_id", "row", "k1", "k2")]
-    rows = rows.unionByName(first.select("shard", "salt", F.lit(0).alias("kind"), *none, F.lit(0).alias("pos"), "table"))
+    rows = rows.unionByName(first.select("shard", "salt", F.lit(0).alias("kind"), *none, F.lit(0).alias("pos"), F.lit(None).cast(own.schema["hot_owner"].dataType).alias("hot_owner"), "table"))
     dealt = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,20 +261,15 @@ def repeated_lines(index: LineIndex, lines: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])))
             for low, high in zip(cuts, np.append(cuts[1:], len(at))):
                 if kind[low] == 0:
-                    shard, f = at[low], CuckooFilter.from_bytes(batch.column(8)[int(low)].as_py())
+                    shard, f = at[low], CuckooFilter.from_bytes(batch.column(9)[int(low)].as_py())
                     continue
-                part = batch.slice(int(low), int(high - low)).select(["doc_id", "row", "pos", "k1", "k2"])
-                if shard != at[low]:
-                    continue  # a shard without a filter has no repeated keys
-                passed = f.contains(part.column(3).to_numpy().view(np.uint64))
+                part = batch.slice(int(low), int(high - low)).select(["doc_id", "row", "pos", "k1", "k2", "hot_owner"])
+                passed = part.column(5).is_valid().to_numpy(zero_copy_only=False)  # hot: known without the filter
+                if shard == at[low]:  # a shard without a filter has no repeated keys
+                    passed = passed | f.contains(part.column(3).to_numpy().view(np.uint64))
                 yield part.filter(pa.array(passed))
 
-    passed = dealt.mapInArrow(probe, "doc_id long, row long, pos int, k1 long, k2 long")
-    total = index.counts.agg(F.sum("documents")).first()[0] or 0
-    hot = F.col("documents") * HOT_SHARE > total
-    hot_keys = F.broadcast(index.counts.filter(hot).select(*KEY, F.col("owner").alias("hot_owner")))
-    cold_keys = index.counts.filter(~hot).select(*KEY, "owner")
-    passed = passed.join(hot_keys, KEY, "left")
+    passed = dealt.mapInArrow(probe, f"doc_id long, row long, pos int, k1 long, k2 long, hot_owner {own.schema['hot_owner'].dataType.simpleString()}")
     hit = passed.filter("hot_owner < doc_id").select("doc_id", "row", "pos")
     rest = passed.filter("hot_owner IS NULL").join(cold_keys, KEY).filter("owner < doc_id")
     return hit.unionByName(rest.select("doc_id", "row", "pos"))
