@@ -124,7 +124,7 @@ def greedy_match(pairs: DataFrame, doc: str = "documento_id") -> DataFrame:
 
 
 def outcomes(golds: DataFrame, preds: DataFrame, levels: DataFrame, doc: str = "documento_id") -> DataFrame:
-    """Events of golds and predictions; levels has (doc, nivel) of every document. (nivel, kind, class, n, tau, brier): tp, fp, fn and support events with what severe errors and confidence add."""
+    """Events of golds and predictions; levels has (doc, nivel) of every document. (doc, nivel, kind, class, tau, brier): tp, fp, fn and support events with what severe errors and confidence add."""
     matched = materialize(greedy_match(match_pairs(golds, preds, doc), doc))
     both = matched.join(golds.drop("error"), [doc, "gold"]).join(preds.drop("error"), [doc, "pred"])
     same = F.col("g_class") == F.col("p_class")
@@ -134,17 +134,17 @@ def outcomes(golds: DataFrame, preds: DataFrame, levels: DataFrame, doc: str = "
     severe = ((F.col("g_class") == "inventada") & (F.col("p_class") == "real")).cast("long")
     event = lambda kind, cls: F.struct(F.lit(kind).alias("kind"), cls.alias("class"))
     hits = F.when(right, F.array(event("tp", F.col("g_class")))).when(same, F.array(event("fp", F.col("p_class")))).otherwise(F.array(event("fn", F.col("g_class")), event("fp", F.col("p_class"))))
-    pairs = both.select("nivel", F.explode(hits).alias("e")).select("nivel", "e.kind", "e.class", F.lit(0).cast("long").alias("tau"), F.lit(None).cast("double").alias("brier"))
-    marks = both.select("nivel", F.lit("pair").alias("kind"), F.lit("-").alias("class"), severe.alias("tau"), brier.alias("brier"))
+    pairs = both.select(doc, "nivel", F.explode(hits).alias("e")).select(doc, "nivel", "e.kind", "e.class", F.lit(0).cast("long").alias("tau"), F.lit(None).cast("double").alias("brier"))
+    marks = both.select(doc, "nivel", F.lit("pair").alias("kind"), F.lit("-").alias("class"), severe.alias("tau"), brier.alias("brier"))
     none = [F.lit(0).cast("long").alias("tau"), F.lit(None).cast("double").alias("brier")]
-    support = golds.select("nivel", F.lit("support").alias("kind"), F.col("g_class").alias("class"), *none)
-    missed = golds.join(matched.select(doc, "gold"), [doc, "gold"], "left_anti").select("nivel", F.lit("fn").alias("kind"), F.col("g_class").alias("class"), *none)
+    support = golds.select(doc, "nivel", F.lit("support").alias("kind"), F.col("g_class").alias("class"), *none)
+    missed = golds.join(matched.select(doc, "gold"), [doc, "gold"], "left_anti").select(doc, "nivel", F.lit("fn").alias("kind"), F.col("g_class").alias("class"), *none)
     spurious = preds.join(matched.select(doc, "pred"), [doc, "pred"], "left_anti")
     homes = golds.join(matched.select(doc, "gold"), [doc, "gold"], "left_semi")
     within = _shared(overlap_join(_spans(homes, doc, "gold", "g"), _spans(spurious, doc, "pred", "p"), [doc], names=("x", "y")))
     within = within.filter(F.col("both") / (F.col("y.end") - F.col("y.start")) >= INSIDE).select(F.col(f"y.{doc}").alias(doc), F.col("y.at").alias("pred")).distinct()
     spurious = spurious.join(within, [doc, "pred"], "left_anti").join(levels.select(doc, F.col("nivel").cast("int").alias("nivel")), doc, "left")
-    spurious = spurious.select("nivel", F.lit("fp").alias("kind"), F.col("p_class").alias("class"), *none)
+    spurious = spurious.select(doc, "nivel", F.lit("fp").alias("kind"), F.col("p_class").alias("class"), *none)
     return pairs.unionByName(marks).unionByName(support).unionByName(missed).unionByName(spurious)
 
 
@@ -166,6 +166,49 @@ def final_score(levels: DataFrame) -> DataFrame:
     return levels.agg((F.sum(weight * F.col("score")) / F.sum(weight)).alias("score_final"))
 
 
+COUNTS = [(k, c) for c in CLASSES for k in ("tp", "fp", "fn", "support")]
+STATE = [f"{k}_{c}" for k, c in COUNTS] + ["tau", "brier", "pairs"]
+
+
+def metric_state(events: DataFrame, *by: str) -> DataFrame:
+    """(by, STATE): what the metric needs of some documents. States add up and subtract column by column."""
+    counted = [F.count_if((F.col("kind") == k) & (F.col("class") == c)).alias(f"{k}_{c}") for k, c in COUNTS]
+    marks = [F.sum("tau").alias("tau"), F.coalesce(F.sum("brier"), F.lit(0.0)).alias("brier"), F.count("brier").alias("pairs")]
+    return events.groupBy(*by).agg(*counted, *marks)
+
+
+def state_score(state: dict[str, Column]) -> Column:
+    """The score of a level from its state; null without golds."""
+    f1 = lambda c: F.when(2 * state[f"tp_{c}"] + state[f"fp_{c}"] + state[f"fn_{c}"] > 0, 2 * state[f"tp_{c}"] / (2 * state[f"tp_{c}"] + state[f"fp_{c}"] + state[f"fn_{c}"])).otherwise(0.0)
+    there = [(state[f"support_{c}"] > 0, f1(c)) for c in CLASSES]
+    total = sum((F.when(t, x).otherwise(0.0) for t, x in there[1:]), F.when(there[0][0], there[0][1]).otherwise(0.0))
+    number = sum((t.cast("int") for t, _ in there[1:]), there[0][0].cast("int"))
+    tau = F.when(state["support_inventada"] > 0, state["tau"] / state["support_inventada"]).otherwise(0.0)
+    bonus = F.when(state["pairs"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(BONUS), F.lit(BONUS) * (1.0 - state["brier"] / state["pairs"])))).otherwise(0.0)
+    return F.when(number > 0, total / number * (1.0 - F.lit(SEVERE) * tau) * (1.0 + bonus))
+
+
+def leave_one_out(events: DataFrame, doc: str = "documento_id") -> DataFrame:
+    """(doc, nivel, without, delta): the final score without each document, and what it adds to the score with all.
+
+    One pass: a document's state is taken from its level's, the other levels stay as they are. Levels are few.
+    """
+    own = metric_state(events, doc, "nivel")
+    weight = F.coalesce(*[F.when(F.col("nivel") == n, F.lit(w)) for n, w in LEVEL_WEIGHTS.items()], F.lit(1.0))
+    levels = own.groupBy("nivel").agg(*[F.sum(c).alias(f"all_{c}") for c in STATE])
+    score = state_score({c: F.col(f"all_{c}") for c in STATE})
+    levels = levels.withColumn("weight", F.when(score.isNotNull(), weight).otherwise(0.0)).withColumn("score", F.coalesce(score, F.lit(0.0)))
+    every = Window.partitionBy()  # a row a level
+    levels = levels.withColumn("top", F.sum(F.col("weight") * F.col("score")).over(every)).withColumn("base", F.sum("weight").over(every))
+    joined = own.join(levels, "nivel")
+    less = state_score({c: F.col(f"all_{c}") - F.col(c) for c in STATE})
+    joined = joined.withColumn("less", less)
+    left = F.when(F.col("less").isNotNull(), F.col("weight")).otherwise(0.0)
+    joined = joined.withColumn("rest", F.col("base") - F.col("weight") + left)
+    without = F.when(F.col("rest") > 0, (F.col("top") - F.col("weight") * F.col("score") + left * F.coalesce("less", F.lit(0.0))) / F.col("rest"))
+    return joined.withColumn("without", without).select(doc, "nivel", "without", (F.col("top") / F.col("base") - F.col("without")).alias("delta"))
+
+
 def evaluate(solution: DataFrame, submission: DataFrame, doc: str = "documento_id", order: str | None = None) -> DataFrame:
     """The final score. Of rows that repeat a document the first by `order` counts; extra documents are ignored."""
     for frame, needed in ((solution, {doc, "nivel", "citacoes"}), (submission, {doc, "citacoes"})):

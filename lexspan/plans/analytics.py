@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import fold
+from lexspan.operators.order import exact_quantiles, relation_digest, row_ids
 from lexspan.plans.runtime import table
 
 QUERIES, SQL = {}, {}
@@ -43,7 +44,8 @@ def _(t, spark):
 
 @query("median_p90_by_group", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_quantity, 0.9), 6) AS p90 FROM lineitem GROUP BY l_returnflag")
 def _(t, spark):
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_quantity"), 6).alias("median"), F.round(F.percentile("l_quantity", 0.9), 6).alias("p90"))
+    found = exact_quantiles(t("lineitem"), "l_returnflag", "l_quantity", {"median": 0.5, "p90": 0.9})
+    return found.select("l_returnflag", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
 @query("conditional_counts", "SELECT o_orderpriority, count(*) FILTER (o_totalprice > 100000)::BIGINT AS large, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS open FROM orders GROUP BY 1")
@@ -314,9 +316,10 @@ def _(t, spark):
     return spark.sql("SELECT n_name, n_nationkey FROM {nation} WHERE n_regionkey = :region AND n_name LIKE :like", args={"region": 2, "like": "%N%"}, nation=t("nation"))
 
 
-@query("row_ids", "SELECT (row_number() OVER (ORDER BY n_name, n_nationkey) - 1)::INTEGER AS row_id, n_name FROM nation")
+@query("row_ids", "SELECT (row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1)::BIGINT AS row_id, l_orderkey, l_linenumber FROM lineitem")
 def _(t, spark):
-    return t("nation").select((F.row_number().over(Window.orderBy("n_name", "n_nationkey")) - 1).alias("row_id"), "n_name")
+    lines = t("lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return row_ids(lines, ["l_shipdate", "l_orderkey", "l_linenumber"]).drop("l_shipdate")
 
 
 @query("fold_names", "SELECT n_nationkey, upper('Ação ' || n_name || '/SP') AS raw, 'ACAO ' || upper(n_name) || '/SP' AS folded FROM nation")
@@ -346,7 +349,7 @@ def _(t, spark):
     return d.agg(F.min("d").alias("lo"), F.median("d").alias("mid"), F.max("d").alias("hi"))
 
 
-@query("determinism_digest", "SELECT sha256(string_agg(n_nationkey || ':' || n_name, '|' ORDER BY n_nationkey)) AS digest FROM nation")
+@query("determinism_digest", """SELECT count(*)::BIGINT AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS VARCHAR) AS digest
+    FROM (SELECT sha256(length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber || '|' || length(l_linestatus) || ':' || l_linestatus || '|' || length(CAST(l_orderkey AS VARCHAR)) || ':' || l_orderkey || '|' || length(CAST(l_partkey AS VARCHAR)) || ':' || l_partkey) AS h FROM lineitem)""")
 def _(t, spark):
-    row = F.struct("n_nationkey", F.concat_ws(":", "n_nationkey", "n_name").alias("r"))
-    return t("nation").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]), "|"), 256).alias("digest"))
+    return relation_digest(t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_linestatus"))
\ No newline at end of file

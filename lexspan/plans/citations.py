@@ -235,6 +235,30 @@ def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluate(_solution(spark, sf_dir), _submission(spark, sf_dir)).select(F.round("score_final", 6).alias("score_final"))
 
 
+_LOO_SQL = f"""o AS (SELECT o_orderkey, 1 + o_orderkey % 2 AS nivel, {_CLS} AS g, {_PRED} AS p FROM orders),
+e AS (SELECT o_orderkey, nivel, CASE WHEN g = p THEN 'tp' ELSE 'fn' END AS kind, g AS class FROM o UNION ALL SELECT o_orderkey, nivel, 'fp', p FROM o WHERE g <> p
+  UNION ALL SELECT o_orderkey, nivel, 'support', g FROM o UNION ALL SELECT o_orderkey, nivel, 'fp', 'inventada' FROM o WHERE o_orderkey % 11 = 0),
+k AS (SELECT unnest(['real', 'inventada', 'incompleta']) AS class),
+own AS (SELECT o.o_orderkey, o.nivel, k.class, count(*) FILTER (e.kind = 'tp') AS tp, count(*) FILTER (e.kind = 'fp') AS fp, count(*) FILTER (e.kind = 'fn') AS fn, count(*) FILTER (e.kind = 'support') AS sup
+  FROM o, k LEFT JOIN e ON e.o_orderkey = o.o_orderkey AND e.class = k.class GROUP BY ALL),
+lv AS (SELECT nivel, class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(sup) AS sup FROM own GROUP BY ALL),
+mark AS (SELECT o_orderkey, nivel, CASE WHEN g = 'inventada' AND p = 'real' THEN 1 ELSE 0 END AS tau, pow(0.85::DOUBLE - CASE WHEN g = p THEN 1 ELSE 0 END, 2) AS brier, CASE WHEN g = 'inventada' THEN 1 ELSE 0 END AS inv FROM o),
+lm AS (SELECT nivel, sum(tau) AS tau, sum(brier) AS brier, count(*) AS n, sum(inv) AS inv FROM mark GROUP BY 1),
+f AS (SELECT own.o_orderkey, own.nivel, avg(CASE WHEN 2 * (lv.tp - own.tp) + lv.fp - own.fp + lv.fn - own.fn > 0 THEN 2.0::DOUBLE * (lv.tp - own.tp) / (2 * (lv.tp - own.tp) + lv.fp - own.fp + lv.fn - own.fn) ELSE 0 END) FILTER (lv.sup - own.sup > 0) AS macro
+  FROM own JOIN lv ON lv.nivel = own.nivel AND lv.class = own.class GROUP BY ALL),
+less AS (SELECT f.o_orderkey, f.nivel, macro * (1 - 0.5::DOUBLE * coalesce((lm.tau - m.tau)::DOUBLE / nullif(lm.inv - m.inv, 0), 0)) * (1 + greatest(0, least(0.1::DOUBLE, 0.1::DOUBLE * (1 - (lm.brier - m.brier) / (lm.n - 1))))) AS score FROM f JOIN mark m ON m.o_orderkey = f.o_orderkey JOIN lm ON lm.nivel = f.nivel),
+fl AS (SELECT lv.nivel, avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)) AS macro FROM lv WHERE sup > 0 GROUP BY 1),
+sc AS (SELECT fl.nivel, macro * (1 - 0.5::DOUBLE * tau::DOUBLE / inv) * (1 + greatest(0, least(0.1::DOUBLE, 0.1::DOUBLE * (1 - brier / n)))) AS score FROM fl JOIN lm ON lm.nivel = fl.nivel)"""
+
+
+@query("loo_scores", f"""WITH {_LOO_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS documento_id, less.nivel::INTEGER AS nivel, round((less.nivel * less.score + other.nivel * other.score) / 3, 9) AS without
+    FROM less JOIN sc other ON other.nivel <> less.nivel""")
+def loo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sol, sub = _solution(spark, sf_dir), _submission(spark, sf_dir)
+    events = M.outcomes(M.parse_golds(sol), M.parse_predictions(sub), sol)
+    return M.leave_one_out(events).select("documento_id", "nivel", F.round("without", 9).alias("without"))
+
+
 @query("greedy_match", f"SELECT CAST(o_orderkey AS VARCHAR) AS documento_id, 0 AS gold, 0 AS pred, round((20 - o_orderkey % 5)::DOUBLE / (20 + o_orderkey % 5), 6) AS iou FROM orders")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, p = M.parse_golds(_solution(spark, sf_dir)), M.parse_predictions(_submission(spark, sf_dir))
