@@ -53,9 +53,10 @@ def _(t, spark):
     return t("orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 100000).alias("large"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
 
 
-@query("null_profile", "SELECT count(*) FILTER (text IS NULL)::BIGINT AS no_text, count(*) FILTER (lang IS NULL)::BIGINT AS no_lang, count(*) FILTER (source IS NULL)::BIGINT AS no_source FROM documents")
+@query("null_profile", "SELECT lang, count(*) FILTER (quality IS NULL)::BIGINT AS no_quality, count(*) FILTER (toxic IS NULL)::BIGINT AS no_toxic, count(*) FILTER (d.text IS NULL)::BIGINT AS no_text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY lang")
 def _(t, spark):
-    return t("documents").agg(*[F.count_if(F.isnull(c)).alias(f"no_{c}") for c in ("text", "lang", "source")])
+    joined = t("documents").select("doc_id", "text", "lang").join(t("labels"), "doc_id", "left")
+    return joined.groupBy("lang").agg(*[F.count_if(F.isnull(c)).alias(f"no_{c}") for c in ("quality", "toxic", "text")])
 
 
 @query("having_multi", "SELECT l_partkey, count(DISTINCT l_suppkey)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
@@ -98,9 +99,9 @@ def _(t, spark):
     return t("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(n(), F.min("doc_id").alias("first_doc")).filter("n > 1")
 
 
-@query("domain_fill_counts", "SELECT r_name, count(n_nationkey) FILTER (n_name LIKE 'A%')::BIGINT AS n FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+@query("domain_fill_counts", "SELECT r_name, count(n_nationkey) FILTER (n_nationkey % 7 = 1)::BIGINT AS n FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
 def _(t, spark):
-    some = t("nation").filter("n_name LIKE 'A%'").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(n())
+    some = t("nation").filter("n_nationkey % 7 = 1").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(n())
     return t("region").join(some, "r_regionkey", "left").select("r_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -217,10 +218,11 @@ def _(t, spark):
     return t("customer").join(t("orders").filter("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("before_after_full_join", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS delta FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
+@query("before_after_full_join", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS delta
+    FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 > 1 GROUP BY 1) b ON a.k = b.k""")
 def _(t, spark):
-    a = t("customer").groupBy(F.col("c_nationkey").alias("k")).agg(n("a"))
-    b = t("supplier").groupBy(F.col("s_nationkey").alias("k")).agg(n("b"))
+    a = t("orders").filter("o_orderkey % 3 > 0").groupBy(F.col("o_custkey").alias("k")).agg(n("a"))
+    b = t("orders").filter("o_orderkey % 5 > 1").groupBy(F.col("o_custkey").alias("k")).agg(n("b"))
     delta = F.when(F.isnull("a"), "new").when(F.isnull("b"), "gone").when(F.col("a") == F.col("b"), "same").otherwise("changed")
     return a.join(b, "k", "full").select("k", delta.alias("delta"))
 
@@ -270,12 +272,12 @@ def _(t, spark):
     return t("documents").withColumn("k", F.row_number().over(w)).filter("k <= 20").select("lang", "doc_id")
 
 
-@query("leave_one_out", "SELECT source, (sum(count(*)) OVER () - count(*))::BIGINT AS without, round((sum(sum(n_chars)) OVER () - sum(n_chars))::DOUBLE / (sum(count(*)) OVER () - count(*)), 6) AS mean_without FROM documents GROUP BY source")
+@query("leave_one_out", "SELECT lang, (sum(count(*)) OVER () - count(*))::BIGINT AS without, round((sum(sum(n_chars)) OVER () - sum(n_chars))::DOUBLE / (sum(count(*)) OVER () - count(*)), 6) AS mean_without FROM documents GROUP BY lang")
 def _(t, spark):
     every = Window.partitionBy()
-    g = t("documents").groupBy("source").agg(n(), F.sum("n_chars").alias("s"))
+    g = t("documents").groupBy("lang").agg(n(), F.sum("n_chars").alias("s"))
     without = F.sum("n").over(every) - F.col("n")
-    return g.select("source", without.alias("without"), F.round((F.sum("s").over(every) - F.col("s")) / without, 6).alias("mean_without"))
+    return g.select("lang", without.alias("without"), F.round((F.sum("s").over(every) - F.col("s")) / without, 6).alias("mean_without"))
 
 
 @query("phrase_search", "SELECT doc_id FROM documents WHERE instr(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' of the ') > 0")
@@ -290,9 +292,9 @@ def _(t, spark):
     return t("documents").filter(at > 0).select("doc_id", (at - 1).cast("long").alias("at"), at.between(1, 500).alias("in_header"))
 
 
-@query("regex_features", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+'))::INTEGER AS numbers, regexp_matches(text, '[A-Za-z]+@[A-Za-z]+') AS mail, length(text)::INTEGER AS chars FROM documents")
+@query("regex_features", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+'))::INTEGER AS numbers, regexp_matches(text, '[A-Za-z0-9.]+@[a-z]') AS mail, length(text)::INTEGER AS chars FROM documents")
 def _(t, spark):
-    return t("documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]+")).alias("numbers"), F.rlike("text", F.lit("[A-Za-z]+@[A-Za-z]+")).alias("mail"), F.length("text").alias("chars"))
+    return t("documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]+")).alias("numbers"), F.rlike("text", F.lit("[A-Za-z0-9.]+@[a-z]")).alias("mail"), F.length("text").alias("chars"))
 
 
 @query(
@@ -342,10 +344,10 @@ def _(t, spark):
     return wide.unpivot([], [str(m) for m in range(8)], "mask", "n").select(F.col("mask").cast("int").alias("mask"), "n")
 
 
-@query("stability", "SELECT min(d) AS lo, median(d) AS mid, max(d) AS hi FROM (SELECT count(*) - (SELECT count(*) FROM documents) / 20.0::DOUBLE AS d FROM documents GROUP BY source)")
+@query("stability", "SELECT min(d) AS lo, median(d) AS mid, max(d) AS hi FROM (SELECT count(*) - (SELECT count(*) FROM documents) / 4.0::DOUBLE AS d FROM documents GROUP BY lang)")
 def _(t, spark):
-    g = t("documents").groupBy("source").agg(n())
-    d = g.select((F.col("n") - F.sum("n").over(Window.partitionBy()) / 20.0).alias("d"))
+    g = t("documents").groupBy("lang").agg(n())
+    d = g.select((F.col("n") - F.sum("n").over(Window.partitionBy()) / 4.0).alias("d"))
     return d.agg(F.min("d").alias("lo"), F.median("d").alias("mid"), F.max("d").alias("hi"))
 
 
