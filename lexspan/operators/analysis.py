@@ -222,6 +222,15 @@ def legal_lookups(refs: DataFrame, records: DataFrame, keep: list[str]) -> DataF
     return out
 
 
+def gold_text_faults(golds: DataFrame, docs: DataFrame, doc: str = "documento_id") -> DataFrame:
+    """(doc, inicio, fim, trecho, found): golds (doc, inicio, fim, trecho) whose excerpt is not the text between their places, or
+    whose document is not there. Excerpts have line ends as two signs, \\n, as the gold file writes them."""
+    texts = docs.select(F.col(doc).alias("__doc"), F.col("text").alias("__text"))
+    found = cut(F.col("__text"), F.col("inicio"), F.col("fim"))
+    joined = golds.join(texts, F.col(doc) == F.col("__doc"), "left").withColumn("found", F.replace(found, F.lit("\n"), F.lit("\\n")))
+    return joined.filter(~F.col("found").eqNullSafe(F.col("trecho"))).select(doc, "inicio", "fim", "trecho", "found")
+
+
 # --- the corpus ------------------------------------------------------------------------------------------------------------------
 
 

@@ -169,6 +169,16 @@ def legal_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", "strategy", F.array_join(F.transform("ids", text), ",").alias("ids"))
 
 
+@query("gold_text", f"""SELECT CAST(o_orderkey AS VARCHAR) AS documento_id, CAST(instr(text, 'Sumula') - 1 AS INTEGER) AS inicio, CASE o_orderkey % 4 WHEN 1 THEN 'Sumula' ELSE 'Sumula ' END AS trecho,
+    CASE o_orderkey % 4 WHEN 1 THEN 'Sumul' ELSE 'Sumula' END AS found FROM (SELECT o_orderkey, {S.TEXT} AS text FROM orders) WHERE o_orderkey % 4 IN (1, 2)""")
+def gold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of each order's text, of which half end one sign too late or too early."""
+    docs, k = S.documents(spark, sf_dir), F.col("documento_id").cast("long") % 4
+    start = F.instr("text", "Sumula") - 1
+    golds = docs.select("documento_id", start.alias("inicio"), (start + F.when(k == 1, 5).otherwise(6)).alias("fim"), F.when(k == 2, "Sumula ").otherwise("Sumula").alias("trecho"))
+    return N.gold_text_faults(golds, docs).select("documento_id", "inicio", "trecho", "found")
+
+
 @query("corpus_summary", """SELECT 'total' AS what, '' AS value, ((SELECT count(*) FROM customer) + 2 * (SELECT count(*) FROM part))::BIGINT AS n UNION ALL SELECT 'natureza', 'acordao', count(*) FROM customer UNION ALL SELECT 'natureza', 'sumula', count(*) FROM part
     UNION ALL SELECT 'natureza', 'dispositivo', count(*) FROM part UNION ALL SELECT 'tribunal', 'STJ', count(*) FROM customer""")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
