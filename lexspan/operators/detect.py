@@ -162,8 +162,9 @@ def drop_overlapped(c: Column, by: Column, which=None) -> Column:
     return let(F.array_sort(by), kept)
 
 
-def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates", keep_chunks: bool = False) -> DataFrame:
-    """docs with an array of candidates: ordered, one per exact span. keep_chunks leaves the text's chunks in column __k."""
+def found_arrays(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with what all rules find: candidates (__c), damaged numbers (__d) and chains (__h), before overlaps are settled; also the
+    text (__text), its chunks (__k) and its length (__n)."""
     t, k, n, c = F.col("__text"), F.col("__k"), F.col("__n"), F.col("__c")
     df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__k", chunks(t)).withColumn("__n", F.length(t))
     whole = [scan(t, rule, pattern, kind=kind, keep=(lambda m: bounded(m["text"])) if kind == "lei" else None) for rule, pattern, kind in RULES]
@@ -188,12 +189,39 @@ def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates",
         return F.when(x["family"] == NUMBERED, let(x["end"] + tail(k, n, x["end"], P.OCR_TAIL, 1), lambda end: _moved(x, k, x["start"], end))).otherwise(x)
 
     df = df.withColumn("__c", F.transform(c, ocr)).withColumn("__d", degraded(t, k, n)).withColumn("__h", scan(t, "compound_procedural_chain", P.COMPOUND_CHAIN, NUMBERED, keep=lambda m: chain_is_short(m["text"])))
+    return df
+
+
+def settled(df: DataFrame, out: str = "candidates") -> DataFrame:
+    """Overlaps between __c, __d and __h settled: candidates in order, one per exact span."""
+    c = F.col("__c")
     df = df.withColumn("__c", F.concat(c, F.when(F.size("__d") == 0, F.col("__d")).otherwise(drop_overlapped(F.col("__d"), c))))
     df = df.withColumn("__c", F.concat(drop_overlapped(c, F.col("__h")), F.col("__h")))
     decided = F.filter(c, lambda h: h["rule"] == "decision_tribunal_relator_year")
     df = df.withColumn("__c", F.array_sort(drop_overlapped(c, decided, lambda x: x["rule"] == "tribunal_contextual")))
     new = lambda x, i: (i == 0) | (F.get(c, i - 1)["start"] != x["start"]) | (F.get(c, i - 1)["end"] != x["end"])
-    return df.withColumn(out, F.filter(c, new)).drop("__text", "__n", "__c", "__d", "__h", *[] if keep_chunks else ["__k"])
+    return df.withColumn(out, F.filter(c, new)).drop("__c", "__d", "__h")
+
+
+def detect_arrays(docs: DataFrame, text: str = "text", out: str = "candidates", keep_chunks: bool = False) -> DataFrame:
+    """docs with an array of candidates: ordered, one per exact span. keep_chunks leaves the text's chunks in column __k."""
+    return settled(found_arrays(docs, text), out).drop("__text", "__n", *[] if keep_chunks else ["__k"])
+
+
+#: Rules that can be taken away without a new scan: the bits of an ablation's mask, from the lowest.
+BRANCHES = ["degraded_compact_cnj", "compound_procedural_chain", "decision_tribunal_relator_year", "rcl_relator_year_no_tribunal"]
+
+
+def ablations(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(keep, mask, start, end, rule, family, text): the candidates under each subset of BRANCHES. Texts are scanned once; each
+    subset settles the overlaps of what its rules found."""
+    found = found_arrays(docs, text).select(*keep, "__c", "__d", "__h", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(BRANCHES) - 1))).alias("mask"))
+    on = [F.col("mask").bitwiseAND(1 << k) != 0 for k in range(len(BRANCHES))]
+    none = F.array().cast(CANDIDATES)
+    left = F.filter("__c", lambda x: ((x["rule"] != BRANCHES[2]) | on[2]) & ((x["rule"] != BRANCHES[3]) | on[3]))
+    subset = found.withColumns({"__c": left, "__d": F.when(on[0], F.col("__d")).otherwise(none), "__h": F.when(on[1], F.col("__h")).otherwise(none)})
+    each = settled(subset).select(*keep, "mask", F.explode_outer("candidates").alias("x")).filter("x IS NOT NULL")
+    return each.select(*keep, "mask", "x.start", "x.end", "x.rule", "x.family", "x.text")
 
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, around: int | None = None) -> DataFrame:

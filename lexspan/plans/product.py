@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import patterns as P
 from lexspan.operators import arbitrate as A
-from lexspan.operators.detect import detect
+from lexspan.operators.detect import BRANCHES, ablations, detect
 from lexspan.operators.index import Corpus, provision_catalog, sumula_index
 from lexspan.operators.parse import parse
 from lexspan.operators.resolve import resolve
@@ -84,6 +84,23 @@ def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "rule", "family", "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
+#: Template, rule and branch: what stands where a branch's rule is taken away, besides what that rule found.
+UNCOVERED = [(7, "cnj", 1), (30, "tribunal_contextual", 2)]
+
+
+@query(
+    "rule_ablation",
+    f"""WITH v AS (SELECT k, rule, CAST(NULL AS INTEGER) AS without FROM (VALUES {_values([r[:2] for r in _DETECT_ROWS])}) v(i, k, rule) UNION ALL SELECT k, rule, bit FROM (VALUES {_values(UNCOVERED)}) u(i, k, rule, bit)),
+    b AS (SELECT * FROM (VALUES {_values([(r,) for r in BRANCHES])}) b(bit, rule)),
+    o AS (SELECT o_orderkey % {len(DETECT)} AS k, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT unnest(range({2 ** len(BRANCHES)})) AS mask)
+    SELECT CAST(mask AS INTEGER) AS mask, v.rule, sum(n)::BIGINT AS n FROM m, v JOIN o ON o.k = v.k LEFT JOIN b ON b.rule = v.rule
+    WHERE (b.bit IS NULL OR (mask >> b.bit) & 1 = 1) AND (without IS NULL OR (mask >> without) & 1 = 0) GROUP BY 1, 2""",
+)
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each rule under every subset of the branches that can be taken away; texts are scanned once."""
+    return ablations(_pick(spark, sf_dir, [t for t, _ in DETECT]), "x", ["o_orderkey"]).groupBy("mask", "rule").agg(F.count("*").alias("n"))
+
+
 #: A statute reference and its article, paragraph, inciso, alinea, diploma, whether it is complete, and its warnings.
 STATUTES = [
     ("art. {n}, § 2º, da CF/88", "2", None, None, "CF", True, ""),
