@@ -8,11 +8,13 @@ are finitely many, since the suffix is a node of the vocabulary's trie and no lo
 transition is annotated with the change in emitted tokens. Transitions are determinised when first taken and kept (up
 to MAX_STATES, then the machine starts anew, so memory is bounded).
 
-A long text is cut into chunks anywhere. A chunk's state map sends the state in which it is entered to the state at its
-end and the tokens emitted: a chunk in which a pre-token begins ends in one state whatever its entry, so its map is what
-the bytes before that beginning do, plus a constant. The maps compose associatively; all entries follow from a scan
-over the chunks. A long pre-token is cut into pieces that all run at once from the start state; the true entry of
-each is then followed only until it meets the piece's own run, from where on both agree.
+Every text is cut into chunks (most have one), anywhere. What a chunk does is a row of state maps, each of which sends
+the states in which it can be entered to the state at its end and the tokens emitted: the bytes before its first
+pre-token, the pre-tokens that begin and end in it (a constant map: it leaves the start state whatever its entry), and the
+bytes of the last one that begins. Bytes are cut into pieces that all run at once from the start state; another entry is
+followed only until it meets the piece's own run, from where on both agree. A map is a table over the states that the map
+before it can end in, so that two neighbours compose by one lookup; composition is associative, and a text's maps are
+composed by a prefix scan of doubling distances. Long pre-tokens inside a chunk are scanned over their pieces alike.
 
 Defined results: null or empty text 0 tokens; equal texts equal counts, also in rows that repeat; the strings of added
 special tokens inside a text count one token each, as the tokenizers library has it by default; very long texts and
@@ -42,6 +44,14 @@ _B = np.uint64(0x100000001B3)
 _FREE = np.int64(2**40)
 
 
+Maps = tuple[np.ndarray, np.ndarray]
+
+
+def compose(a: Maps, b: Maps) -> Maps:
+    """Row by row the map a, then the map b: (column that follows, tokens emitted) for each entry column of a. Associative."""
+    return np.take_along_axis(b[0], a[0], axis=1), a[1] + np.take_along_axis(b[1], a[0], axis=1)
+
+
 @lru_cache(maxsize=4)
 def read_tokenizer(path: str) -> tuple[tuple[bytes, ...], tuple[tuple[int, int, int], ...], tuple[str, ...]]:
     """Of a byte-level BPE tokenizer file: tokens by id, merges as (left, right, merged) in order, special strings."""
@@ -118,7 +128,6 @@ class Transducer:
         """Drop all states but the start, 0. Of a state's first path: parent, last token, count, bytes and marks so far;
         reach: the length of the suffix that may begin a token; delta: the annotation of transitions into it."""
         self.next, self.known, self.windows = PairTable(1 << 16), PairTable(1 << 16), PairTable(1 << 16)
-        self.walked: dict[int, int] = {}
         self.states = 1
         self.parent, self.last, self.count, self.reach, self.delta = (np.zeros(1 << 12, np.int32) for _ in range(5))
         self.code, self.marks = (np.zeros(1 << 12, np.uint64) for _ in range(2))
@@ -205,138 +214,147 @@ class Transducer:
             to = self.next.get(keys)
         return to.astype(np.int64)
 
-    def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens emitted, state in the end) of each byte span from its entry state: all advance by one byte at a time."""
-        entry = np.zeros(len(start), np.int64) if entry is None else entry
-        out, exits = np.zeros(len(start), np.int64), entry.copy()
-        for k in np.flatnonzero(end - start > 4 * PIECE):
-            out[k], exits[k] = self.run_long(data[start[k] : end[k]], int(entry[k]))
-        short = np.flatnonzero(end - start <= 4 * PIECE)
+    def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens emitted by each byte span from the start state: all advance by one byte at a time, long ones as pieces."""
+        out = np.zeros(len(start), np.int64)
+        short = np.flatnonzero(end - start <= PIECE)
         order = short[np.argsort((start - end)[short], kind="stable")]  # longest first: those still running are a prefix
         at, length = start[order], (end - start)[order]
-        state, emitted = entry[order], np.zeros(len(at), np.int64)
-        running = len(at)
+        state, emitted = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for j in range(int(length[0]) if len(length) else 0):
             running = int(np.searchsorted(-length, -j, side="left"))
             to = self.step(state[:running], data[at[:running] + j])
             emitted[:running] += self.delta[to]
             state[:running] = to
-        out[order], exits[order] = emitted, state
-        return out, exits
-
-    def run_long(self, word: np.ndarray, entry: int) -> tuple[int, int]:
-        """(tokens emitted, state in the end) of one long span, by its pieces' state maps."""
-        n = -(-len(word) // PIECE)
-        padded = np.zeros(n * PIECE, np.uint8)
-        padded[: len(word)] = word
-        padded = padded.reshape(n, PIECE)
-        size = np.full(n, PIECE)
-        size[-1] = len(word) - (n - 1) * PIECE
-        states, emitted = np.zeros((n, PIECE + 1), np.int32), np.zeros((n, PIECE + 1), np.int32)
-        for j in range(PIECE):  # from the start state: the images of all entries that have met this run
-            some = slice(0, n if j < size[-1] else n - 1)
-            to = self.step(states[some, j].astype(np.int64), padded[some, j])
-            states[some, j + 1], emitted[some, j + 1] = to, emitted[some, j] + self.delta[to]
-        ends, totals = states[np.arange(n), size], emitted[np.arange(n), size]
-        total, state = 0, entry
-        for k in range(n):
-            count = 0
-            for j in range(size[k]):
-                if state == states[k, j]:
-                    count += int(totals[k] - emitted[k, j])
-                    state = int(ends[k])
+        out[order] = emitted
+        long = np.flatnonzero(end - start > PIECE)
+        if len(long):
+            rows = [(k, None, data[low : min(low + PIECE, end[k])].tobytes()) for k in long for low in range(start[k], end[k], PIECE)]
+            np.add.at(out, long, self.scanned(rows))
+        return out
+
+    def scanned(self, rows: list[tuple[int, int | None, bytes]]) -> np.ndarray:
+        """Tokens of each chain from the start state. rows: (chain, tokens of a constant map or None, bytes of a piece), the maps of
+        a chain in their order, chains one after another."""
+        chain = np.array([r[0] for r in rows])
+        constant = np.array([r[1] is not None for r in rows])
+        given = np.array([r[1] or 0 for r in rows], np.int64)
+        to, count = self.state_maps(chain, constant, given, [r[2] for r in rows])
+        head = np.flatnonzero(np.append(True, chain[1:] != chain[:-1]))
+        place = np.arange(len(rows)) - np.repeat(head, np.diff(np.append(head, len(rows))))
+        by = 1
+        while by <= place.max():
+            late = np.flatnonzero(place >= by)
+            to[late], count[late] = compose((to[late - by], count[late - by]), (to[late], count[late]))
+            by *= 2
+        return count[np.append(head[1:], len(rows)) - 1, 0]
+
+    def state_maps(self, chain: np.ndarray, constant: np.ndarray, given: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(to, count), a row a map and a column an entry: the next map's column for the state at the end, and the tokens emitted.
+        Column 0 is the start state; the columns are closed: what a map ends in is a column of the next one."""
+        n = len(chain)
+        size = np.array([len(p) for p in pieces], np.int64)
+        width = int(size.max(initial=0))
+        data = np.zeros((n, width), np.uint8)
+        data[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        path, emitted = np.zeros((n, width + 1), np.int32), np.zeros((n, width + 1), np.int32)
+        for j in range(width):  # every piece's own run
+            some = np.flatnonzero(size > j)
+            to = self.step(path[some, j].astype(np.int64), data[some, j])
+            path[some, j + 1], emitted[some, j + 1] = to, emitted[some, j] + self.delta[to]
+        ends, totals = path[np.arange(n), size].astype(np.int64), emitted[np.arange(n), size] + given
+
+        def follow(row: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            exits, count, left = state.copy(), np.zeros(len(row), np.int64), np.arange(len(row))
+            for j in range(width):
+                left = left[size[row[left]] > j]
+                met = exits[left] == path[row[left], j]
+                done, left = left[met], left[~met]
+                exits[done], count[done] = ends[row[done]], count[done] + totals[row[done]] - emitted[row[done], j]
+                if not len(left):
                     break
-                state = self._walk(state, int(padded[k, j]))
-                count += int(self.delta[state])
-            total += count
-        return total, state
-
-    def _walk(self, state: int, byte: int) -> int:
-        key = state << 8 | byte
-        to = self.walked.get(key)
-        if to is None:
-            to = self.walked[key] = int(self.step(np.array([state]), np.array([byte], np.uint8))[0])
-        return to
+                exits[left] = self.step(exits[left], data[row[left], j])
+                count[left] += self.delta[exits[left]]
+            return exits, count
+
+        later = np.flatnonzero(chain[1:] == chain[:-1]) + 1
+        entries, exits, counts = [np.zeros(n, np.int64)], [ends], [totals]
+        while True:
+            want = exits[-1][later - 1]
+            missing = ~constant[later] & ~np.any([e[later] == want for e in entries], axis=0)
+            if not missing.any():
+                break
+            row = later[missing]
+            entry, end, count = np.zeros(n, np.int64), ends.copy(), totals.copy()
+            entry[row] = want[missing]
+            end[row], count[row] = follow(row, want[missing])
+            entries.append(entry)
+            exits.append(end)
+            counts.append(count)
+        to = np.tile(np.arange(len(entries)), (n, 1))  # the last map of a chain has none after it
+        for c, end in enumerate(exits):
+            to[later - 1, c] = np.where(constant[later], 0, np.argmax([e[later] == end[later - 1] for e in entries], axis=0))
+        return to, np.stack(counts, axis=1)
 
     def count_spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Token counts of pre-tokens; each distinct one runs through the machine once."""
         keys, first, which = np.unique(span_hashes(data, start, end) | np.uint64(1), return_index=True, return_inverse=True)
-        if self.states > MAX_STATES or self.known.size > MAX_STATES or self.next.size > 2 * MAX_STATES or len(self.walked) > MAX_STATES:
+        if self.states > MAX_STATES or self.known.size > MAX_STATES or self.next.size > 2 * MAX_STATES:
             self.forget()
         counts = self.known.get(keys).astype(np.int64)
         new = np.flatnonzero(counts < 0)
         if len(new):
-            counts[new] = self.run(data, start[first[new]], end[first[new]])[0]
+            counts[new] = self.run(data, start[first[new]], end[first[new]])
             self.known.put(keys[new], counts[new].astype(np.int32))
         return counts[which]
 
-    def chunk_maps(self, text: str) -> Iterator[tuple[bytes, bool, int, bytes]]:
-        """The state map of each chunk: (bytes before a pre-token begins, whether one does, tokens of the pre-tokens that
-        begin and end in the chunk, bytes of the last one that begins)."""
-        for low in range(0, len(text), CHUNK_CHARS):
-            chunk, before = text[low : low + CHUNK_CHARS], text[max(0, low - AROUND) : low]
-            after = text[low + CHUNK_CHARS : low + CHUNK_CHARS + AROUND]
-            data, begin, _, _ = pretokens([before + chunk + after])
-            first = len(before.encode("utf-8", "surrogatepass"))
-            stop = first + len(chunk.encode("utf-8", "surrogatepass"))
-            begin = begin[(begin >= first) & (begin < stop)]
-            if not len(begin):
-                yield data[first:stop].tobytes(), False, 0, b""
-                continue
-            inner = int(self.count_spans(data, begin[:-1], begin[1:]).sum()) if len(begin) > 1 else 0
-            yield data[first : begin[0]].tobytes(), True, inner, data[begin[-1] : stop].tobytes()
-
-    def count_long(self, text: str) -> int:
-        """Tokens of a text of several chunks: the composition of their state maps, from the start state."""
-        maps = list(self.chunk_maps(text))
-        closed = np.array([m[1] for m in maps])
-
-        def run_all(parts: list[bytes], entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-            end = np.cumsum([len(p) for p in parts], dtype=np.int64)
-            start = end - np.array([len(p) for p in parts], np.int64)
-            return self.run(np.frombuffer(b"".join(parts), np.uint8), start, end, entry)
-
-        total, exits = run_all([m[3] for m in maps])
-        total = int(total.sum()) + sum(m[2] for m in maps)
-        # The chunk before each one fixes its entry, unless no pre-token begins there: then the scan goes on through it.
-        known = np.flatnonzero(closed[:-1]) + 1
-        heads, through = run_all([maps[k][0] for k in known], exits[known - 1])
-        total += int(heads.sum())
-        exits[known] = np.where(closed[known], exits[known], through)
-        for k in np.flatnonzero(~closed[:-1]) + 1:
-            n, state = run_all([maps[k][0]], exits[k - 1 : k])
-            total += int(n[0])
-            if not closed[k]:
-                exits[k] = state[0]
-        return total
+    def chunk_rows(self, chunks: list[tuple[int, str, str, str]]) -> Iterator[tuple[int, int | None, bytes]]:
+        """The maps of chunks, as scanned takes them. chunks: (chain, signs before, chunk, signs after; none after a chain's last)."""
+        data, begin, end, own = pretokens(["".join(c[1:]) for c in chunks])
+        sizes = np.array([[len(x.encode("utf-8", "surrogatepass")) for x in c[1:]] for c in chunks], np.int64)
+        first = np.cumsum(sizes.sum(axis=1)) - sizes.sum(axis=1) + sizes[:, 0]
+        stop = first + sizes[:, 1]
+        inside = (begin >= first[own]) & (begin < stop[own])
+        begin, end, own = begin[inside], end[inside], own[inside]
+        upto = np.cumsum(np.bincount(own, minlength=len(chunks)))
+        some = np.diff(upto, prepend=0) > 0
+        whole = np.ones(len(begin), bool)
+        whole[upto[some & (sizes[:, 2] > 0)] - 1] = False  # these may go on in the next chunk
+        tokens = np.zeros(len(chunks), np.int64)
+        np.add.at(tokens, own[whole], self.count_spans(data, begin[whole], end[whole]))
+        for i, (chain, _, _, after) in enumerate(chunks):
+            lead = int(begin[upto[i - 1] if i else 0]) if some[i] else int(stop[i])
+            yield from ((chain, None, data[k : min(k + PIECE, lead)].tobytes()) for k in range(int(first[i]), lead, PIECE))
+            if some[i]:
+                yield chain, int(tokens[i]), b""
+                if after:
+                    yield from ((chain, None, data[k : min(k + PIECE, int(stop[i]))].tobytes()) for k in range(int(begin[upto[i] - 1]), int(stop[i]), PIECE))
 
     def count_texts(self, texts: list[str], special: tuple[str, ...] = ()) -> np.ndarray:
         """Token counts of whole texts."""
         out = np.zeros(len(texts), np.int64)
-        pieces: list[str] = []
         owners: list[int] = []
+        rows: list[tuple[int, int | None, bytes]] = []
+        step: list[tuple[int, str, str, str]] = []
+        held_chars = 0
         for i, text in enumerate(texts):
             parts = [text]
             for s in special:
                 if s in text:
                     out[i] += text.count(s)
                     parts = [part for piece in parts for part in piece.split(s)]
-            for part in parts:
-                if len(part) > CHUNK_CHARS:
-                    out[i] += self.count_long(part)
-                else:
-                    pieces.append(part)
-                    owners.append(i)
-        low = 0
-        while low < len(pieces):
-            high, size = low, 0
-            while high < len(pieces) and (high == low or size + len(pieces[high]) <= STEP_CHARS):
-                size += len(pieces[high])
-                high += 1
-            data, start, end, owner = pretokens(pieces[low:high])
-            if len(start):
-                np.add.at(out, np.array(owners[low:high])[owner], self.count_spans(data, start, end))
-            low = high
+            for part in filter(None, parts):
+                for low in range(0, len(part), CHUNK_CHARS):
+                    high = low + CHUNK_CHARS
+                    step.append((len(owners), part[max(0, low - AROUND) : low], part[low:high], part[high : high + AROUND]))
+                    held_chars += len(step[-1][2])
+                    if held_chars >= STEP_CHARS:
+                        rows.extend(self.chunk_rows(step))
+                        step, held_chars = [], 0
+                owners.append(i)
+        rows.extend(self.chunk_rows(step) if step else [])
+        if rows:
+            np.add.at(out, np.array(owners), self.scanned(rows))
         return out
 
 

@@ -86,6 +86,25 @@ def test_chunks_and_pieces_cut_anywhere(monkeypatch):
     assert MACHINE.states < 1.2 * sum(len(t.encode()) for t in texts)
 
 
+def test_composition_is_associative():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list(a), 400)).encode() for a in ("ab", "theandof", "=-", "abc")] + [b"a" * 400, b"abc" * 133, "日本語é".encode() * 30]
+    rows = [(i, None, w[k : k + 7]) for i, w in enumerate(words) for k in range(0, len(w), 7)]
+    MACHINE.forget()
+    chain = np.array([r[0] for r in rows])
+    to, count = MACHINE.state_maps(chain, np.zeros(len(rows), bool), np.zeros(len(rows), np.int64), [r[2] for r in rows])
+    assert to.shape[1] > 1
+    for i in range(len(words)):
+        maps = [(to[k : k + 1], count[k : k + 1]) for k in np.flatnonzero(chain == i)]
+        left, right = maps[0], maps[-1]
+        for m in maps[1:]:
+            left = tokfst.compose(left, m)
+        for m in maps[-2::-1]:
+            right = tokfst.compose(m, right)
+        assert (left[0] == right[0]).all() and (left[1] == right[1]).all()
+        assert left[1][0, 0] == MACHINE.run(np.frombuffer(words[i], np.uint8), np.array([0]), np.array([len(words[i])]))[0]
+
+
 def test_long_texts_repeats_and_clashing_names(docs):
     from pyspark.sql import functions as F
 
