@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import patterns as P
 from lexspan.functions.text import cut, finditer, fold, has, iou, let
+from lexspan.operators.intervals import overlap_join
 
 #: Which fields say what a reference of a family refers to: fixed values.
 IDENTITY_FIELDS = {
@@ -22,6 +23,12 @@ LEGAL_KEYS = {
     "legal_article_diploma_law": ["artigo", "diploma", "law_number"],
 }
 
+#: Labels of errors: nothing near, the prediction inside the gold, the gold inside the prediction, a taken partner, else: fixed values.
+ERROR_LABELS = {
+    "FN": ["no_candidate", "candidate_contained_in_gold", "gold_contained_in_candidate", "matching_conflict", "partial_low_iou"],
+    "FP": ["true_spurious", "subspan_of_gold", "superspan_of_gold", "overlap_conflict", "near_miss_low_iou"],
+}
+
 
 # --- numbers and classes ----------------------------------------------------------------------------------------------------
 
@@ -125,6 +132,37 @@ def error_class(matched: Column, overlap: Column, same_class: Column) -> Column:
     return F.when(matched & same_class, "hit").when(matched, "wrong_class").when(overlap > 0, "boundary").otherwise("missed")
 
 
+def error_categories(golds: DataFrame, preds: DataFrame, matches: DataFrame, doc: str = "documento_id") -> DataFrame:
+    """(doc, side, item, category): golds that no prediction got (FN) and predictions that got no gold (FP), by what they overlap.
+
+    The closest span of the other side decides (by overlap over hull, then by overlap, then by its number): whether one of the
+    two holds the other; if not, whether any overlapping span of the other side is taken. Pairs come from a sweep line; a
+    span without a pair costs no comparison.
+    """
+
+    def spans(frame: DataFrame, item: str, a: str) -> DataFrame:
+        hit = matches.select(doc, item, F.lit(True).alias("hit")).distinct()
+        taken = frame.join(hit, [doc, item], "left")
+        return taken.select(doc, F.col(item).alias("item"), F.col(f"{a}_start").alias("start"), F.col(f"{a}_end").alias("end"), F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    frames = {"g": spans(golds, "gold", "g"), "p": spans(preds, "pred", "p")}
+    pairs = overlap_join(frames["g"], frames["p"], [doc], names=("g", "p")).filter("NOT g.hit OR NOT p.hit")
+    g, p = F.col("g"), F.col("p")
+    shared = F.least(g["end"], p["end"]) - F.greatest(g["start"], p["start"])
+    inside = (p["start"] >= g["start"]) & (p["end"] <= g["end"])
+    around = (p["start"] <= g["start"]) & (p["end"] >= g["end"])
+    pairs = pairs.select("g", "p", iou(g, p).alias("iou"), shared.alias("shared"), inside.alias("inside"), around.alias("around"))
+
+    def missed(side: str, a: str, b: str) -> DataFrame:
+        closest = F.max(F.struct("iou", "shared", (-F.col(f"{b}.item")).alias("first"), "inside", "around")).alias("closest")
+        near = pairs.filter(f"NOT {a}.hit").groupBy(F.col(f"{a}.{doc}").alias(doc), F.col(f"{a}.item").alias("item")).agg(closest, F.max(f"{b}.hit").alias("rival"))
+        none, inside_, around_, rival, low = ERROR_LABELS[side]
+        label = F.when(F.col("closest").isNull(), none).when(F.col("closest.inside"), inside_).when(F.col("closest.around"), around_).when(F.col("rival"), rival).otherwise(low)
+        return frames[a].filter("NOT hit").join(near, [doc, "item"], "left").select(doc, F.lit(side).alias("side"), "item", label.alias("category"))
+
+    return missed("FN", "g", "p").unionByName(missed("FP", "p", "g"))
+
+
 def new_candidates(now: DataFrame, before: DataFrame, doc: str = "documento_id") -> DataFrame:
     """Candidates whose place in their document an earlier run did not have."""
     return now.join(before.select(doc, "start", "end").distinct(), [doc, "start", "end"], "left_anti")

@@ -99,8 +99,8 @@ def tse(s: Column) -> Column:
 
 
 def normal_court(value: Column) -> Column:
-    """One of the five courts, or null."""
-    v = F.upper(F.trim(value))
+    """One of the five courts, or null; white space at the ends and case do not count."""
+    v = F.upper(F.regexp_replace(value, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
     return F.when(v.isin(P.COURTS), v)
 
 

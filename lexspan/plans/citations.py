@@ -11,7 +11,7 @@ from lexspan.functions import text as X
 from lexspan.operators import metric as M
 from lexspan.operators.detect import detect
 from lexspan.operators.identity import case_identities, class_signature
-from lexspan.operators.index import build_corpus, index_stats
+from lexspan.operators.index import build_corpus, index_stats, lookup
 from lexspan.operators.parse import parse
 from lexspan.operators.resolve import segment_court
 from lexspan.plans import synthetic as S
@@ -120,6 +120,18 @@ def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).cases.select("numero_normalizado", ids.alias("ids"))
 
 
+@query(
+    "case_lookup",
+    f"""WITH h AS (SELECT {S.NUMBER} AS number, string_agg(CAST(c_custkey AS VARCHAR), ':' ORDER BY 'r' || CAST(c_custkey AS VARCHAR)) AS ids FROM customer GROUP BY 1)
+    SELECT CAST(o_orderkey AS VARCHAR) AS documento_id, CASE WHEN o_orderkey % 4 < 2 THEN ids END AS ids FROM orders LEFT JOIN h ON number = {S.CITED}""",
+)
+def case_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    court = F.get(F.array(*[F.lit(c) for c in ("STJ", " stj\t", "STF", None)]), (F.col("o_orderkey") % 4).cast("int"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("documento_id"), court.alias("court"), F.expr(S.dotted(S.CITED)).alias("number"))
+    ids = F.array_join(F.transform("records", lambda r: r["id"].cast("string")), ":")
+    return lookup(asked, build_corpus(S.corpus(spark, sf_dir)).cases).select("documento_id", ids.alias("ids"))
+
+
 @query("provision_keys", f"SELECT (2000000000000 + p_partkey)::BIGINT AS id, CAST({S.SERIAL} AS VARCHAR) AS article, 'CDC' AS diploma FROM part")
 def provision_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(S.corpus(spark, sf_dir)).provisions.select(F.explode("ids").alias("id"), "article", "diploma")

@@ -90,6 +90,37 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("documento_id", error.alias("error"), F.round("overlap", 6).alias("overlap"))
 
 
+#: Spans of golds and of predictions, and what is wrong with which of them.
+ERROR_CASES = [
+    ([(0, 20)], [], [("FN", 0, "no_candidate")]),
+    ([(0, 20)], [(5, 10)], [("FN", 0, "candidate_contained_in_gold"), ("FP", 0, "subspan_of_gold")]),
+    ([(5, 10)], [(0, 20)], [("FN", 0, "gold_contained_in_candidate"), ("FP", 0, "superspan_of_gold")]),
+    ([(0, 20)], [(15, 30)], [("FN", 0, "partial_low_iou"), ("FP", 0, "near_miss_low_iou")]),
+    ([(0, 20)], [(40, 50)], [("FN", 0, "no_candidate"), ("FP", 0, "true_spurious")]),
+    ([(0, 20), (20, 40)], [(12, 40)], [("FN", 0, "matching_conflict")]),
+    ([(0, 20)], [(0, 20), (15, 30)], [("FP", 1, "overlap_conflict")]),
+    ([(0, 20)], [(0, 19)], []),
+    ([], [(3, 9)], [("FP", 0, "true_spurious")]),
+]
+_WRONG = ", ".join(f"({k}, '{side}', {item}, '{label}')" for k, (_, _, wrong) in enumerate(ERROR_CASES) for side, item, label in wrong)
+
+
+@query("error_categories", f"SELECT CAST(o_orderkey AS VARCHAR) AS documento_id, side, item, category FROM orders JOIN (VALUES {_WRONG}) v(k, side, item, category) ON k = o_orderkey % {len(ERROR_CASES)}")
+def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    key = (F.col("o_orderkey") % len(ERROR_CASES)).cast("int")
+
+    def spans(side: int, item: str, a: str) -> DataFrame:
+        # Every document's spans are moved by its key.
+        every = F.array(*[F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in case[side]]).cast("array<struct<s:int,e:int>>") for case in ERROR_CASES])
+        rows = o.select("o_orderkey", F.posexplode(F.get(every, key)).alias(item, "x"))
+        return rows.select(F.col("o_orderkey").cast("string").alias("documento_id"), item, *[(F.col(f"x.{c}") + F.col("o_orderkey")).cast("int").alias(f"{a}_{name}") for c, name in (("s", "start"), ("e", "end"))])
+
+    g, p = spans(0, "gold", "g"), spans(1, "pred", "p")
+    matches = materialize(M.greedy_match(materialize(M.match_pairs(g, p))).select("documento_id", "gold", "pred"))
+    return N.error_categories(g, p, matches)
+
+
 _RUN = "o_orderkey % 7"
 
 
