@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.text import normal_id
 from lexspan.operators.intervals import overlap_join, overlap_pairs
-from lexspan.plans.runtime import materialize
+from lexspan.plans.runtime import materialize, spread
 
 #: Fixed values of the metric.
 CLASSES = ["real", "inventada", "incompleta"]
@@ -99,10 +99,10 @@ def greedy_match(pairs: DataFrame, doc: str = "documento_id") -> DataFrame:
 
     A pair that is the best of its gold and of its prediction is taken, whatever the others are: windows find it. Pairs
     of which neither side is taken then are folded in order, document by document; with golds that do not
-    overlap few are left. pairs is read twice: give a written table where it is costly.
+    overlap few are left. All steps find a document's pairs where one shuffle by document puts them.
     """
     order = [F.desc("iou"), "gold", "pred"]
-    ranked = pairs.withColumn("g", F.row_number().over(Window.partitionBy(doc, "gold").orderBy(*order)))
+    ranked = spread(pairs, doc).withColumn("g", F.row_number().over(Window.partitionBy(doc, "gold").orderBy(*order)))
     ranked = ranked.withColumn("p", F.row_number().over(Window.partitionBy(doc, "pred").orderBy(*order)))
     best = (F.col("g") == 1) & (F.col("p") == 1)
     ranked = ranked.withColumn("best", best)

@@ -140,3 +140,10 @@ def test_many_matches_in_one_text(spark):
     began = time.time()
     x = detect(df).agg(F.count("*").alias("n"), F.max("end").alias("end"), F.sum("start").alias("s")).first()
     assert (x.n, x.end, x.s) == (n, 14 * n - 3, 2 * n + 14 * n * (n - 1) // 2) and time.time() - began < 90
+
+
+def test_matching_keeps_the_parts_that_were_asked_for(spark):
+    """One shuffle by document serves all steps of the matching, and its parts are not put together again."""
+    pairs = spark.createDataFrame([("d", 0, 0, 0.5)], "doc string, gold int, pred int, iou double")
+    plan = M.greedy_match(pairs, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc") == 1 and "REPARTITION_BY_NUM" in plan
