@@ -2,15 +2,19 @@
 
 Postings are written once: a row for each token of a record with its places as differences, in folders by a hash of the
 token, files sorted by token. A search reads the folders of its words only, and of these the row groups whose range has
-them. Ranges are cut through a token that many records have, so that no task writes all of it.
+them. Postings are made inside each record's row and dealt out once, a folder's to several tasks by the record's key, so
+that no task writes all of a token that many records have. Phrases that are searched together share one scan and one
+shuffle, which carries each posting once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import prefix_sums
+from lexspan.functions.text import let, prefix_sums
 from lexspan.operators.analysis import tokens
 
 BUCKETS = 64
@@ -20,14 +24,38 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _steps(words: Column) -> Column:
+    """(token, steps) of each token of an array of words, by one sort of its (word, place) pairs."""
+
+    def cut(pairs: Column) -> Column:
+        token = lambda i: F.get(pairs, i)["token"]
+        heads = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))
+
+        def group(ends: Column, head: Column, k: Column) -> Column:
+            own = F.slice(pairs, head + 1, F.coalesce(F.get(ends, k + 1), F.size(pairs)) - head)
+            step = lambda x, i: x["pos"] - F.when(i > 0, F.get(pairs, head + i - 1)["pos"]).otherwise(0)
+            return F.struct(token(head).alias("token"), F.transform(own, step).alias("steps"))
+
+        return let(heads, lambda h: F.transform(h, lambda head, k: group(h, head, k)))
+
+    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+    return F.when(F.size(words) > 0, let(pairs, cut))
+
+
+def postings(records: DataFrame, key: str, text: str) -> DataFrame:
+    """(token, key, steps): steps are the places of the token in the record, each less the one before. No shuffle; records that
+    share a key have their own rows."""
+    each = records.filter(F.col(key).isNotNull()).select(key, F.explode_outer(let(tokens(F.col(text)), _steps)).alias("x"))
+    return each.filter("x IS NOT NULL").select("x.token", key, "x.steps")
+
+
 def write_index(records: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS) -> None:
-    """(bucket, token, key, steps): steps are the places of the token in the record, each less the one before."""
-    each = records.filter(F.col(key).isNotNull()).select(key, F.posexplode_outer(tokens(F.col(text))).alias("pos", "token")).filter("token IS NOT NULL")
-    places = each.groupBy(key, "token").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    steps = F.transform("places", lambda x, i: x - F.when(i > 0, F.get("places", i - 1)).otherwise(0))
-    rows = places.select(_bucket(F.col("token"), buckets).alias("bucket"), "token", key, steps.alias("steps"))
+    """(bucket, token, key, steps), in folders by bucket; steps as postings has them."""
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "bucket", "token", key).sortWithinPartitions("bucket", "token", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    bucket, streams = _bucket(F.col("token"), buckets), max(1, n // buckets)
+    dealt = postings(records, key, text).repartitionById(n, F.pmod(bucket * streams + F.pmod(F.xxhash64(key), F.lit(streams)).cast("int"), F.lit(n)))
+    rows = dealt.select(bucket.alias("bucket"), "token", key, "steps")
+    rows.sortWithinPartitions("bucket", "token", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def phrase_words(spark: SparkSession, phrase: str, buckets: int = BUCKETS) -> list[tuple[str, int]]:
@@ -36,14 +64,27 @@ def phrase_words(spark: SparkSession, phrase: str, buckets: int = BUCKETS) -> li
     return [tuple(r) for r in words]
 
 
-def search(spark: SparkSession, path: str, phrase: str, key: str, buckets: int = BUCKETS) -> DataFrame:
-    """(key, places): where the words of a phrase stand one after the other; a phrase without words is nowhere."""
-    words = phrase_words(spark, phrase, buckets)
+def search_all(spark: SparkSession, path: str, phrases: list[str], key: str, buckets: int = BUCKETS) -> DataFrame:
+    """(phrase, key, places): where the words of each phrase stand one after the other; a phrase without words is nowhere."""
+    words = {phrase: phrase_words(spark, phrase, buckets) for phrase in phrases}
+    every = {x for found in words.values() for x in found}
     index = spark.read.parquet(path)
-    wanted = index.filter(F.col("bucket").isin(sorted({b for _, b in words})) & F.col("token").isin(sorted({w for w, _ in words})))
-    turns = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, (w, _) in enumerate(words)] or [F.struct(F.lit(0).alias("i"), F.lit("").alias("w"))]), lambda x: x["w"] == F.col("token"))
-    starts = wanted.select(key, prefix_sums(F.col("steps")).alias("places"), F.explode(turns).alias("turn"))
-    starts = starts.select(key, F.transform("places", lambda p: p - F.col("turn.i")).alias("starts"))
-    met = starts.groupBy(key).agg(F.collect_list("starts").alias("every")).filter(F.size("every") == max(1, len(words)))
-    common = F.aggregate(F.slice("every", 2, max(1, len(words))), F.get("every", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-    return met.select(key, F.sort_array(common).alias("places")).filter(F.size("places") > 0)
+    wanted = index.filter(F.col("bucket").isin(sorted({b for _, b in every})) & F.col("token").isin(sorted({w for w, _ in every})))
+    met = wanted.groupBy(key).agg(F.collect_list(F.struct("token", "steps")).alias("found"))
+
+    def places(found: Column, phrase: str) -> Column:
+        def starts(i: int, word: str) -> Column:
+            return F.transform(F.flatten(F.filter(found, lambda x: x["token"] == word)["places"]), lambda p: p - i)
+
+        turns = [starts(i, w) for i, (w, _) in enumerate(words[phrase])]
+        common = reduce(F.array_intersect, turns[1:], turns[0]) if turns else F.array().cast("array<int>")
+        return F.struct(F.lit(phrase).alias("phrase"), F.sort_array(F.array_distinct(common)).alias("places"))
+
+    summed = F.transform("found", lambda x: F.struct(x["token"].alias("token"), prefix_sums(x["steps"]).alias("places")))
+    hits = let(summed, lambda found: F.array(*[places(found, phrase) for phrase in words]))
+    return met.select(key, F.explode_outer(hits).alias("hit")).filter("size(hit.places) > 0").select("hit.phrase", key, "hit.places")
+
+
+def search(spark: SparkSession, path: str, phrase: str, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """(key, places) of one phrase."""
+    return search_all(spark, path, [phrase], key, buckets).drop("phrase")

@@ -103,11 +103,10 @@ _WORDS_SQL = "list_filter(string_split_regex(lower(strip_accents(coalesce(text,
 @query("stored_phrases", f"""WITH w AS (SELECT doc_id, lang, {_WORDS_SQL} AS t FROM documents), x AS (SELECT doc_id, lang, t, unnest(range(1, len(t) + 1)) AS i FROM w)
     SELECT phrase, doc_id, lang, count(*)::BIGINT AS places FROM x, (VALUES ('Of the', ['of', 'the']), ('to the', ['to', 'the']), ('the of the', ['the', 'of', 'the'])) v(phrase, p) WHERE t[i : i + len(p) - 1] = p GROUP BY ALL""")
 def stored_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of all documents, written once; each phrase reads its words' part, and hits meet the records by id."""
+    """An index of all documents, written once; the phrases read their words' part together, and hits meet the records by id."""
     folder, docs = f"{own_folder(spark)}/{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     positional.write_index(docs, "doc_id", "text", folder)
-    found = [positional.search(spark, folder, p, "doc_id").withColumn("phrase", F.lit(p)) for p in PHRASES]
-    every = found[0].unionByName(found[1]).unionByName(found[2])
+    every = positional.search_all(spark, folder, PHRASES, "doc_id")
     hits = every.select("phrase", "doc_id", F.size("places").cast("long").alias("places"))
     return hits.join(docs.select("doc_id", "lang"), "doc_id").select("phrase", "doc_id", "lang", "places")
 

@@ -1,5 +1,6 @@
 """Total order, exact quantiles, digests, mergeable scores and the stored index against plain forms."""
 
+import itertools
 import random
 import re
 import statistics
@@ -54,3 +55,26 @@ def test_stored_index_reads_its_words_only(spark, tmp_path):
     assert find("zz") == {} and find("!") == {} and find("b a b") == {}
     plan = positional.search(spark, path, "a b", "k")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ IN \(", plan) and "PushedFilters: [In(token, [a,b])]" in plan
+
+
+def test_index_is_dealt_out_once_and_phrases_share_a_search(spark, tmp_path):
+    docs = [(i, " ".join("abcd"[(i * j * j + j // 3) % 4] for j in range(i % 40))) for i in range(120)] + [(None, "a b"), (500, "a b c"), (500, "b a"), (501, "c - A á b"), (502, "\t.")]
+    frame, path = spark.createDataFrame(docs, "k long, t string"), str(tmp_path / "index")
+    rows = positional.postings(frame, "k", "t")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    texts = [(k, re.findall("[a-z]", t.lower().replace("á", "a"))) for k, t in docs if k is not None]
+    places = sorted((k, w, [i for i, x in enumerate(t) if x == w]) for k, t in texts for w in set(t))
+    assert sorted((r.k, r.token, list(itertools.accumulate(r.steps))) for r in rows.collect()) == places
+    positional.write_index(frame, "k", "t", path)
+    phrases = ["a b", "B", "c a c", "a a", "zz a", "!"]
+    found = positional.search_all(spark, path, phrases, "k")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for phrase in phrases:
+        words = re.findall("[a-z]+", phrase.lower())
+        for k, t in texts:
+            if k != 500 and words and (at := [i for i in range(len(t)) if t[i : i + len(words)] == words]):
+                want[phrase, k] = at
+    got = {(r.phrase, r.k): r.places for r in found.collect()}
+    assert {x: at for x, at in got.items() if x[1] != 500} == want and len(want) > 100
+    assert got["a b", 500] == [0] and got["B", 500] == [0, 1]  # rows that share a key are one record, as before
