@@ -50,11 +50,16 @@ def postings(records: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def write_index(records: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS) -> None:
-    """(bucket, token, key, steps), in folders by bucket; steps as postings has them."""
+    """(bucket, token, key, steps), in folders by bucket; steps as postings has them.
+
+    Token and steps are dealt out as one short text, of which a shuffle takes less than of a text and an array."""
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket, streams = _bucket(F.col("token"), buckets), max(1, n // buckets)
-    dealt = postings(records, key, text).repartitionById(n, F.pmod(bucket * streams + F.pmod(F.xxhash64(key), F.lit(streams)).cast("int"), F.lit(n)))
-    rows = dealt.select(bucket.alias("bucket"), "token", key, "steps")
+    streams, parts = max(1, n // buckets), F.split("posting_", " ")
+    part = _bucket(F.substring_index("posting_", " ", 1), buckets) * streams + F.pmod(F.xxhash64(key), F.lit(streams)).cast("int")
+    packed = postings(records, key, text).select(key, F.concat_ws(" ", "token", F.col("steps").cast("array<string>")).alias("posting_"))
+    dealt = packed.repartitionById(n, F.pmod(part, F.lit(n))).select(key, parts.alias("parts_"))
+    rows = dealt.select(F.get("parts_", F.lit(0)).alias("token"), key, F.slice("parts_", 2, F.size("parts_") - 1).cast("array<int>").alias("steps"))
+    rows = rows.select(_bucket(F.col("token"), buckets).alias("bucket"), "token", key, "steps")
     rows.sortWithinPartitions("bucket", "token", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
